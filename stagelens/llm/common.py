@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,11 @@ def words(text: Column) -> Column:
 def pieces(n: int, size: int) -> int:
     """How many pieces of about size rows hold n rows; 1 at least."""
     return max(1, -(-n // size))
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column's bytes, end to end, and each row's start with the end of the last (null rows are empty)."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]

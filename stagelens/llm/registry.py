@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .language import op10_language
 from .mixing import op7_mixing
 from .sharding import op6_sharding
+from .simhash import op8_simhash
 from .token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_simhash": op8_simhash,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {}
