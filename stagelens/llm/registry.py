@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .language import op10_language
+from .line_dedup import op5_line_dedup
 from .mixing import op7_mixing
 from .sharding import op6_sharding
 from .simhash import op8_simhash
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
