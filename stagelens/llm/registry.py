@@ -8,11 +8,13 @@ from .line_dedup import op5_line_dedup
 from .mixing import op7_mixing
 from .sharding import op6_sharding
 from .simhash import op8_simhash
+from .suffix_dedup import op3_suffix_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
