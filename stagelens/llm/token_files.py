@@ -11,7 +11,8 @@ run over all blocks at once. Spark writes the files (Parquet as the container),
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,37 @@ SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 COUNTS = np.array([n for n, _ in SELECTORS])
 END_ID = 2
 #: Words whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 FILE_SCHEMA = "part int, segment int, first long, id_table array<int>, doc_ids array<long>, lengths array<int>, words binary, word_offsets array<int>, escapes array<int>, escape_offsets array<int>"
 
 
+def _steps(width: np.ndarray) -> np.ndarray:
+    """At each place, the selector that packs most values from there on, by their widths in bits (places past the end have none)."""
+    run = {1: width}  # longest width of the next n values, by doubling
+    n = 1
+    while n < 240:
+        run[2 * n] = run[n].copy()
+        np.maximum(run[n][:-n], run[n][n:], out=run[2 * n][:-n])
+        n *= 2
+    sel = np.full(len(width), 15, dtype=np.uint8)
+    for s in range(14, -1, -1):
+        count, bits = SELECTORS[s]
+        n = 1 << (count.bit_length() - 1)
+        widest = run[n].copy()
+        if count > n:
+            np.maximum(run[n][: n - count], run[n][count - n :], out=widest[: n - count])
+        sel[widest <= bits] = s
+    return sel
+
+
+def _groups(sel: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(words of a selector, its count of values, their bits), where it holds any bits."""
+    for s, (count, bits) in enumerate(SELECTORS):
+        if bits and len(mine := np.flatnonzero(sel == s)):
+            yield mine, count, bits
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Non-negative integers below 2^60 to (words uint64, word offsets by block, escapes, escape offsets by block)."""
     n = len(values)
@@ -42,95 +69,127 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     escape_offsets = np.searchsorted(np.flatnonzero(escaped), np.arange(blocks + 1) * BLOCK)
     v = np.zeros(n + 240, dtype=np.uint64)
     v[:n] = np.where(escaped, ESCAPE, values)
-    width = np.zeros(n + 240, dtype=np.uint8)
-    width[:n] = np.array([int(x).bit_length() for x in range(ESCAPE + 1)], dtype=np.uint8)[v[:n].astype(np.int64)]
+    sel = _steps(np.array([x.bit_length() for x in range(ESCAPE + 1)], dtype=np.uint8)[v.astype(np.int64)])
+    ahead = COUNTS[sel]
     at = np.arange(blocks) * BLOCK
     end = np.minimum(at + BLOCK, n)
-    live = np.arange(blocks)
-    starts, chosen, owner = [], [], []
-    near = np.arange(15)
+    live, starts, owner = np.arange(blocks), [], []
     while len(live):
-        p, e = at[live], end[live]
-        w = np.maximum.accumulate(np.where(near < (e - p)[:, None], width[p[:, None] + near], 0), axis=1)
-        sel = np.full(len(live), 15)
-        for s in range(14, 4, -1):
-            sel[w[:, SELECTORS[s][0] - 1] <= SELECTORS[s][1]] = s
-        narrow = np.flatnonzero(w[:, 14] <= 3)  # 15 values of at most 3 bits: look further
-        for s in range(4, -1, -1):
-            if len(narrow):
-                count, bits = SELECTORS[s]
-                reach = np.arange(count)
-                fits = np.where(reach < (e - p)[narrow, None], width[p[narrow, None] + reach], 0).max(axis=1) <= bits
-                narrow = narrow[fits]
-                sel[narrow] = s
+        p = at[live]
         starts.append(p)
-        chosen.append(sel)
         owner.append(live)
-        at[live] = p + COUNTS[sel]
-        live = live[at[live] < e]
+        at[live] = p + ahead[p]
+        live = live[at[live] < end[live]]
     if not starts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), escapes, np.zeros(1, np.int64)
-    p, sel, own = np.concatenate(starts), np.concatenate(chosen), np.concatenate(owner)
-    order = np.argsort(own, kind="stable")
-    p, sel, own = p[order], sel[order], own[order]
-    words = sel.astype(np.uint64) << np.uint64(60)
-    for s, (count, bits) in enumerate(SELECTORS):
-        mine = np.flatnonzero(sel == s)
-        if len(mine) and bits:
-            i = p[mine, None] + np.arange(count)
-            x = np.where(i < end[own[mine], None], v[i], np.uint64(0)) << (np.arange(count, dtype=np.uint64) * np.uint64(bits))
-            words[mine] |= np.bitwise_or.reduce(x, axis=1)
+    p, own = np.concatenate(starts), np.concatenate(owner)
+    p, own = np.sort(p), np.sort(own)
+    chosen = sel[p]
+    words = chosen.astype(np.uint64) << np.uint64(60)
+    room = end[own] - p  # the last word of a block may have values of the next one in reach: they stay out
+    for mine, count, bits in _groups(chosen):
+        i, w = p[mine], np.zeros(len(mine), np.uint64)
+        for j in range(count):
+            w |= np.where(room[mine] > j, v[i + j], np.uint64(0)) << np.uint64(bits * j)
+        words[mine] |= w
     return words, np.searchsorted(own, np.arange(blocks + 1)), escapes, escape_offsets
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The n values of pack."""
-    out = np.zeros(n, dtype=np.int64)
-    if not n:
-        return out
+    out = np.zeros(n + 240, dtype=np.int64)
     sel = (words >> np.uint64(60)).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(COUNTS[sel])])
     block = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = block * BLOCK + before[:-1] - before[offsets[block]]
-    end = np.minimum((block + 1) * BLOCK, n)
-    for s, (count, bits) in enumerate(SELECTORS):
-        mine = np.flatnonzero(sel == s)
-        if len(mine) and bits:
-            x = words[mine, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(bits)) & np.uint64((1 << bits) - 1)
-            i = at[mine, None] + np.arange(count)
-            ok = i < end[mine, None]
-            out[i[ok]] = x[ok].astype(np.int64)
+    room = np.minimum((block + 1) * BLOCK, n) - at
+    for mine, count, bits in _groups(sel):
+        w, i, r = words[mine], at[mine], room[mine]
+        for j in range(count):
+            x = (w >> np.uint64(bits * j) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            if j and (r <= j).any():
+                x, k = x[r > j], i[r > j] + j
+                out[k] = x
+            else:
+                out[i + j] = x
+    out = out[:n]
     out[out == ESCAPE] = escapes
     return out
 
 
-class WordIds(dict):
-    """The ids of a run of text without plain white space. The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order."""
-
-    def __init__(self, tokenizer: object) -> None:
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+class WordIds:
+    """The ids (as little-endian 16-bit integers) of runs of text without plain white space, each asked of the tokenizer once.
 
+    The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order. A run of letters is one word to it,
+    whose last piece alone ends a word: many are encoded in one call and told apart by that. Letters with ASCII marks behind are the two in turn.
+    """
 
-def word_encoder(path: str) -> Callable[[str], np.ndarray]:
-    from itertools import chain
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids must fit 16 bits")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith("</w>")
+
+    def alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        new = words
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {"": b""}
+        parts = {}
+        for w in new:
+            stem = w.rstrip(punctuation)
+            parts[w] = (stem, w[len(stem) :]) if stem.isalpha() else (w, "")
+        stems = [w for w in {a for a, _ in parts.values()} if w not in self.known and w.isalpha()]
+        for i in range(0, len(stems), 1000):
+            some = stems[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                self.known.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+        for w, (stem, mark) in parts.items():
+            for x in (stem, mark):
+                if x not in self.known:
+                    self.known[x] = self.alone(x)
+            self.known[w] = self.known[stem] + self.known[mark]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of whole texts, each with the end id."""
+        out: list[np.ndarray] = []
+        end = END_ID.to_bytes(2, "little")
+        at = 0
+        while at < len(texts):
+            some, gaps, size, get = [], [], 0, self.known.get
+            while at < len(texts) and size < 1 << 20:
+                text = texts[at] or ""
+                words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                found = [*map(get, words)]
+                gaps += [(found, i, words[i]) for i, x in enumerate(found) if x is None]
+                some.append(found)
+                size += len(text)
+                at += 1
+            self.learn({w for _, _, w in gaps})
+            for found, i, w in gaps:
+                found[i] = self.known[w]
+            out += [np.frombuffer(b"".join(found) + end, "<u2") for found in some]
+        return out
 
-    from tokenizers import Tokenizer
 
-    known = WordIds(Tokenizer.from_file(path))
+#: One for each tokenizer file in a worker process, which tasks share.
+ENCODERS: dict[str, WordIds] = {}
 
-    def encode(text: str) -> np.ndarray:
-        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.array([*chain.from_iterable(map(known.__getitem__, found)), END_ID], dtype=np.int32)
 
-    return encode
+def encoder(path: str) -> WordIds:
+    if path not in ENCODERS:
+        ENCODERS[path] = WordIds(path)
+    return ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = 2_000_000, files: int | None = None) -> DataFrame:
@@ -143,7 +202,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: i
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, part, segment, first = word_encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        words_of, part, segment, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
@@ -160,8 +219,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: i
             return pa.RecordBatch.from_pydict({k: pa.array([x], kinds.get(k, pa.list_(pa.int32()))) for k, x in row.items()})
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(to_ids(text.as_py() or ""))
+            for doc, text_ids in zip(batch.column(0).to_pylist(), words_of.encode(batch.column(1).to_pylist()), strict=True):
+                ids.append(text_ids)
                 docs.append(doc)
                 held += len(ids[-1])
                 if held >= segment_ids:
