@@ -6,6 +6,7 @@ from .decontaminate import op1_decontaminate
 from .language import op10_language
 from .line_dedup import op5_line_dedup
 from .mixing import op7_mixing
+from .search import op9_search
 from .sharding import op6_sharding
 from .simhash import op8_simhash
 from .suffix_dedup import op3_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_search": op9_search,
     "op10_language": op10_language,
 }
 
