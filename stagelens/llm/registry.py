@@ -6,6 +6,7 @@ from .decontaminate import op1_decontaminate
 from .language import op10_language
 from .line_dedup import op5_line_dedup
 from .mixing import op7_mixing
+from .pii import op4_pii
 from .search import op9_search
 from .sharding import op6_sharding
 from .simhash import op8_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
