@@ -31,8 +31,8 @@ STARTS = LENGTH - GRAM + 1
 #: Bytes sorted by multikey quicksort before blind tries take over.
 SHALLOW = 32
 #: Bytes of text a task works on at once (more only for one longer text), and items it holds before it sends them.
-AT_ONCE = 1 << 22
-HELD_ITEMS = 1 << 20
+AT_ONCE = 1 << 20
+HELD_ITEMS = 1 << 19
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
 NULL_ID = -(1 << 63)
@@ -318,7 +318,7 @@ def sorted_items(docs: DataFrame, wanted: DataFrame, partitions: int) -> DataFra
         for b in batches:  # sorted by key: a group may go on in the next batch
             k = b.column(0).to_numpy()
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if rows + cut > 20_000 and held and (cut or held[-1].column(0)[-1].as_py() != k[0]):
+            if rows + cut > 10_000 and held and (cut or held[-1].column(0)[-1].as_py() != k[0]):
                 yield out([*held, b.slice(0, cut)])
                 held, rows, b = [], 0, b.slice(cut)
             if b.num_rows:
