@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +51,36 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     return data, offsets - offsets[0]
+
+
+#: Bits of the tables that say which values may be in a set. They are of fixed size, whatever the set; what they let through is joined with the set after.
+TABLE_BITS = 1 << 27
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """SplitMix64's finalizer."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """A table with a bit set for each value of the one long column of values. A few tables, each compressed, come to the driver one by one."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(TABLE_BITS // 8, np.uint8)
+        for b in batches:
+            slot = mixed(b.column(0).to_numpy().view(np.uint64)) % np.uint64(TABLE_BITS)
+            np.bitwise_or.at(held, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(held.tobytes(), "zstd", asbytes=True)], pa.binary())], ["bits"])
+
+    out = np.zeros(TABLE_BITS // 8, np.uint8)
+    for r in values.coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
+        out |= np.frombuffer(pa.decompress(r["bits"], TABLE_BITS // 8, "zstd"), np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values (long) may be in the set of a bit_table."""
+    slot = mixed(values.view(np.uint64)) % np.uint64(TABLE_BITS)
+    return bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0

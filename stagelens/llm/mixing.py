@@ -117,6 +117,35 @@ def taken(sized: DataFrame, **params: object) -> DataFrame:
     return joined.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")).drop("row")
 
 
+#: Where a new word begins: behind white space, before anything else.
+WORD_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+
+
+def mixed_documents(docs: DataFrame, **params: object) -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the mix as rows of the same columns: for each document and pass, its words that the pass takes, in order.
+
+    A document that a pass takes whole keeps its text; of others the words keep the white space behind them. n_chars, if there, is the new text's
+    length. Documents without words are not in a mix. Other columns stay; names of docs that begin with two underscores are reserved.
+    """
+    h = F.xxhash64("text")
+    keyed = docs.withColumn("__h", h)
+    if docs.groupBy("doc_id", h.alias("__h")).count().filter("count > 1").isEmpty():
+        keyed = keyed.withColumn("__copy", F.lit(0))
+    else:
+        keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("source")))
+    sized = materialize(keyed.select("doc_id", "source", words(F.col("text")).alias("size"), "__h", "__copy"))
+    parts, uses = plan(sized, **params)
+    taken = parts.join(uses, ["sid", "b"]).groupBy("doc_id", "__h", "__copy", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__cut"), F.sum("n_words").alias("__n"))
+    taken = taken.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__g"), F.col("__copy").alias("__c"), "__cut", (F.col("__n") == F.col("size")).alias("__whole"))
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")) & (F.col("__copy") == F.col("__c")))
+    split = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), WORD_START, -1)
+    cut = F.array_join(F.transform("__cut", lambda c: F.array_join(F.slice(F.col("__words"), (c["from_word"] + 1).cast("int"), c["n_words"].cast("int")), "")), "")
+    out = joined.withColumn("__words", F.when(~F.col("__whole"), split)).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")))
     return taken(sized)
