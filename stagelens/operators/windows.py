@@ -36,14 +36,14 @@ def exception_groups(lines: DataFrame, file: str, seq: str, line: str, header: s
     """
     c = F.col(line)
     w = Window.partitionBy(file).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    blank = F.trim(c) == ""
+    blank = c.rlike(r"^\s*$")
     state = F.when(c.rlike(dump), 1).when(blank | prefixed, 0)
     marked = lines.withColumn("__dump", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0)))
     opens = c.rlike(header) & (F.col("__dump") == 0)
     closes = blank | (prefixed & ~opens) | (F.col("__dump") == 1)
     marked = marked.withColumn("__open", F.when(opens, F.col(seq)).when(closes, F.lit(-1)))
     marked = marked.withColumn("__group", F.last("__open", ignorenulls=True).over(w)).filter("__group >= 0")
-    frames = F.sort_array(F.collect_list(F.when(c.rlike(frame), F.struct(F.col(seq).alias("s"), F.trim(c).alias("f")))))
+    frames = F.sort_array(F.collect_list(F.when(c.rlike(frame), F.struct(F.col(seq).alias("s"), F.regexp_replace(c, r"^\s+|\s+$", "").alias("f")))))
     out = marked.groupBy(file, F.col("__group").alias(seq)).agg(F.min_by(c, seq).alias("__head"), frames.alias("__f"))
     return out.select(file, seq, F.regexp_extract("__head", header, 1).alias("exception"), F.nullif(F.regexp_extract("__head", header, 2), F.lit("")).alias("message"), F.slice(F.transform("__f", lambda x: x["f"]), 1, top).alias("frames"))
 

@@ -31,10 +31,10 @@ def path_attributes(path: Column) -> list[Column]:
 def order_key(path: Column) -> Column:
     """Sorts files of a folder as written: by family, rolled ones before the active one, runs of digits by value."""
     name = F.element_at(F.split(path, "/"), -1)
-    family = F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"[-._]?(active|\d[\d\-_.T]*)", "")
+    rolled = r"[-._]+\d[\d\-_T]*(?=\.|$)"
+    family = F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), rf"[-._]+active(?=\.|$)|{rolled}", "")
     digits = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda d: F.lpad(d, 20, "0"))
-    active = (~name.rlike(r"\d")) | name.contains("active")
-    return F.struct(F.regexp_replace(path, r"/[^/]*$", "").alias("folder"), family.alias("family"), active.alias("active"), F.array_join(digits, ".").alias("digits"), name.alias("name"))
+    return F.struct(F.regexp_replace(path, r"/[^/]*$", "").alias("folder"), family.alias("family"), (~name.rlike(rolled)).alias("active"), F.array_join(digits, ".").alias("digits"), name.alias("name"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
