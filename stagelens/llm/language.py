@@ -48,7 +48,7 @@ def padded(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(t[:WINDOW].ljust(WINDOW, b"\0") for t in texts), np.uint8).reshape(-1, WINDOW)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 14, batch: int = 64, rate: float = 3e-3, seed: int = 5) -> ByteNet | None:
+def train(texts: list[bytes], labels: list[str], steps: int = 1500, batch: int = 64, rate: float = 3e-3, seed: int = 5) -> ByteNet | None:
     """Adam on the cross-entropy; None without labels. Texts are cut to the window."""
     languages = sorted(set(labels))
     if not languages:
@@ -59,9 +59,9 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 14, batch: int =
     net = ByteNet(languages, rng.normal(0, 0.5, (256, EMBED)), [rng.normal(0, (2 / s[0]) ** 0.5, s) for s in shape], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))), np.zeros(len(languages)))
     ws = net.weights()
     first, second, step = [np.zeros_like(w) for w in ws], [np.zeros_like(w) for w in ws], 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
+        for at in range(0, min(len(x), (steps - step) * batch), batch):
             i = order[at : at + batch]
             xb, n = x[i], len(i)
             e = net.embed[xb].astype(np.float32)

@@ -204,7 +204,7 @@ def rewritten(kind: str, s: str, rng: np.random.Generator) -> str:
     return str(rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"]))
 
 
-def train(texts: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 4) -> Tagger | None:
+def train(texts: list[str], steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 4) -> Tagger | None:
     """texts: cuts of documents. None if the patterns find nothing in them."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -233,9 +233,9 @@ def train(texts: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01
     net = Tagger.new()
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
+        for at in range(0, min(len(x), (steps - step) * batch), batch):
             i = order[at : at + batch]
             step += 1
             for k, g in net.gradients(x[i], y[i]).items():
