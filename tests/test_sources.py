@@ -71,8 +71,8 @@ def test_log_lines(spark, log_dir):
     assert rows[4]["ts"] == rows[2]["ts"] and rows[2]["source"] == "driver" and not rows[2]["line"].endswith("\r")
     found = logs.signals(ll, [Signal("oom", "java.lang.OutOfMemoryError", "high")])
     assert found.count() == 2
-    e = logs.errors(ll).collect()
-    assert len(e) == 1 and e[0]["user_frame"] == "at my.app(Z.java:2)" and len(e[0]["frames"]) == 2
+    e = logs.errors(ll).orderBy("seq").collect()  # the logged line names the exception, the next one opens the trace
+    assert [x["seq"] for x in e] == [2, 3] and e[0]["frames"] == [] and e[1]["user_frame"] == "at my.app(Z.java:2)" and len(e[1]["frames"]) == 2
     assert logs.catalogue(spark, log_dir).filter("top = 'driver'").count() == 2
 
 
