@@ -64,7 +64,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def bit_table(values: DataFrame) -> np.ndarray:
+class Packed:
+    """An array that travels compressed; a worker unpacks it once."""
+
+    def __init__(self, array: np.ndarray) -> None:
+        self.kind, self.size = array.dtype.str, array.nbytes
+        self.raw = pa.compress(np.ascontiguousarray(array).tobytes(), "zstd", asbytes=True)
+
+    def array(self) -> np.ndarray:
+        if not hasattr(self, "_array"):
+            self._array = np.frombuffer(pa.decompress(self.raw, self.size, "zstd", asbytes=True), self.kind)
+        return self._array
+
+    def __getstate__(self) -> dict:
+        return {"kind": self.kind, "size": self.size, "raw": self.raw}
+
+
+def bit_table(values: DataFrame) -> Packed:
     """A table with a bit set for each value of the one long column of values. A few tables, each compressed, come to the driver one by one."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +93,10 @@ def bit_table(values: DataFrame) -> np.ndarray:
     out = np.zeros(TABLE_BITS // 8, np.uint8)
     for r in values.coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
         out |= np.frombuffer(pa.decompress(r["bits"], TABLE_BITS // 8, "zstd"), np.uint8)
-    return out
+    return Packed(out)
 
 
-def in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+def in_bits(table: Packed, values: np.ndarray) -> np.ndarray:
     """Which values (long) may be in the set of a bit_table."""
     slot = mixed(values.view(np.uint64)) % np.uint64(TABLE_BITS)
-    return bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+    return table.array()[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
