@@ -94,3 +94,42 @@ def test_streams(spark, sf_dir, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None
         assert spark.table(name).count() > 0
+
+
+def test_views(spark, event_dir):
+    from stagelens.operators import findings as FI
+    from stagelens.plans import views as V
+
+    ev = eventlog.events(eventlog.lines(spark, event_dir)).persist()
+    tasks, stages, jobs_, queries, executors = (f(ev).persist() for f in (eventlog.tasks, eventlog.stages, eventlog.jobs, eventlog.queries, eventlog.executors))
+    table = V.stage_table(tasks, stages).persist()
+    ran = table.filter("tasks IS NOT NULL")
+    assert ran.agg(F.sum("tasks")).first()[0] == tasks.count() and ran.filter("skew < 1 AND max_task_ms > 0").count() == 0
+    assert V.stage_jobs(jobs_).groupBy("context", "stage_id").count().filter("count > 1").count() == 0
+    assert V.dag_edges(stages).filter("parent >= child").count() == 0
+    shares = V.stage_executors(tasks).groupBy(*V.STAGE).agg(F.sum("share").alias("s"), F.sum("task_ms").alias("t")).filter("t > 0").collect()
+    assert all(abs(r["s"] - 1) < 1e-9 for r in shares)
+    assert V.executor_profile(tasks, executors).filter("busy_ms IS NULL AND tasks > 0").count() == 0
+    assert V.placement(tasks).count() == V.stage_executors(tasks).count()
+    facts = V.query_facts(queries).persist()
+    assert {"HashAggregate", "Range"} <= {o for r in facts.collect() for o in r["operators"]}
+    assert V.engine_summary(facts).first()["adaptive"] == 2
+    assert facts.filter("count_only").count() == 1
+    assert V.runs(jobs_).first()["status"] == "succeeded"
+    assert V.waiting(table, ["context"]).filter("run_ms > 0").count() == 1
+    assert FI.detect(table, FI.stage_rules(FI.Thresholds()), F.col("stage_id")).count() == 0
+    assert FI.stage_flags(table, FI.Thresholds()).filter("failed OR spill").count() == 0
+    assert {r["kind"]: r["missing"] for r in V.coverage({"tasks": tasks, "none": tasks.limit(0)}).collect()} == {"tasks": False, "none": True}
+    assert V.spill_markers(V.spill_shuffle_timeline(tasks)).count() == 0 and V.peak_buckets(tasks, "task_ms").count() >= 1
+    assert V.skewed_tasks(tasks, table, floor_ms=0, ratio=1.0).filter("rank > 5").count() == 0
+    for df in (V.table_reads(facts), V.micro_batches(queries), V.core_use(tasks, executors), V.reuse_edges(jobs_), V.settings_merge(eventlog.settings(ev), eventlog.settings(ev), eventlog.settings(ev).limit(0)), V.story([(queries.select(F.col("start_time").alias("at"), F.col("description").alias("text")), "query")])):
+        df.collect()
+
+
+def test_plan_text(spark):
+    from stagelens.functions import plan_text as P
+
+    plan = "AdaptiveSparkPlan isFinalPlan=true\n+- *(2) HashAggregate(keys=[], functions=[count(1)])\n   +- Exchange SinglePartition\n      +- FileScan parquet cat.db.sales[a#1]\n   +- Scan JDBCRelation((select count(*) from t) x) [numPartitions=1] [a]"
+    df = spark.createDataFrame([(plan,)], "p string")
+    r = df.select(P.operators(F.col("p")).alias("o"), P.tables_read(F.col("p")).alias("t"), P.jdbc(F.col("p")).alias("j"), P.count_only(F.col("p")).alias("c")).first()
+    assert r["o"] == ["Scan", "FileScan", "Exchange", "HashAggregate"] and r["t"] == ["cat.db.sales"] and r["j"]["kind"] == "count" and r["j"]["partitions"] == 1 and r["c"]
