@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagelens.functions import text as T
@@ -411,3 +411,77 @@ def top_contributor(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").withColumns({"k": F.col("l_partkey") % 20, "q": F.col("l_quantity").cast("long")})
     out = A.top_executors_text(li, ["k"], "l_suppkey", "q").select("k", "top")
     return out.join(A.share(li, ["k"], ["l_suppkey"], "q").groupBy("k").agg(F.max("total").alias("total")), "k")
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, o_totalprice FROM orders), p AS (SELECT a.o_orderkey, b.o_orderkey AS candidate, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 0 ELSE 1 END AS "group", b.o_totalprice AS price
+ FROM k a JOIN k b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, "group" ORDER BY price, candidate) AS rank FROM p)
+SELECT o_orderkey, candidate, "group", rank FROM r WHERE rank <= CASE "group" WHEN 0 THEN 2 ELSE 1 END""")
+def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    group = F.when(F.col("o_orderpriority") == F.col("c_o_orderpriority"), 0).otherwise(1)
+    out = J.ranked_candidates(o, o, "o_custkey", "o_orderkey", ["o_totalprice"], {0: 2, 1: 1}, group)
+    return out.select("o_orderkey", F.col("c_o_orderkey").alias("candidate"), "group", "rank")
+
+
+@query(f"""WITH f AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS t, user_id, epoch_us(ts) // 1000 // {HOUR} AS h FROM events WHERE event_type IN ('error', 'purchase')),
+ s AS (SELECT event_id, event_type, t, 'users:' || user_id AS scope FROM f UNION ALL SELECT event_id, event_type, t, 'hours:' || h FROM f)
+SELECT a.event_id AS cause, b.event_id AS effect, 3 + count(DISTINCT a.scope) AS score FROM s a JOIN s b ON a.scope = b.scope AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.t <= b.t + 1000 GROUP BY ALL""")
+def cause_candidates(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").filter("event_type IN ('error', 'purchase')").withColumn("t", millis("ts"))
+    e = e.select("event_id", "event_type", "t", F.array("user_id").alias("users"), F.array(F.floor(F.col("t") / HOUR)).alias("hours"))
+    rules = spark.createDataFrame([("error", "purchase", 3)], "cause_kind string, effect_kind string, weight int")
+    return G.candidate_pairs(e, "event_id", ["users", "hours"], "event_type", "t", rules, 1000)
+
+
+@query("""WITH RECURSIVE n AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+ b AS (SELECT event_id, before FROM n WHERE before IS NOT NULL AND (k - 1) % 6 <> 0), r AS (SELECT event_id, before AS root, 1 AS steps FROM b UNION ALL SELECT r.event_id, b.before, r.steps + 1 FROM r JOIN b ON r.root = b.event_id)
+SELECT event_id, max_by(root, steps) AS root, max(steps) AS steps FROM r GROUP BY event_id""")
+def root_causes(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    e = read(spark, d, "events").withColumns({"before": F.lag("event_id").over(w), "k": F.row_number().over(w)})
+    best = e.filter("before IS NOT NULL AND (k - 1) % 6 <> 0").select("event_id", "before")
+    return G.follow_roots(best, "event_id", "before", depth=8)
+
+
+@query("""WITH w AS (SELECT user_id AS k, event_id AS src, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'signup'), r AS (SELECT user_id AS k, event_id AS dst, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'click')
+SELECT w.src, r.dst, r.k FROM r ASOF JOIN w ON r.k = w.k AND r.t >= w.t""")
+def lineage_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.col("user_id").alias("k"), "event_id", "event_type", millis("ts").alias("t"))
+    return G.lineage_edges(e.filter("event_type = 'signup'"), e.filter("event_type = 'click'"), "k", "event_id", "t", "t")
+
+
+@query("""WITH c AS (SELECT date_trunc('hour', ts) AS hour, event_type, user_id % 5 AS who, min_by(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, who, event_id, n FROM c""")
+def collapsed_repeats(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumns({"hour": F.date_trunc("hour", "ts"), "who": F.col("user_id") % 5})
+    return W.collapse(e.withColumn("e", F.col("event_id")), ["hour", "event_type", "who"], ["ts", "event_id"], ["event_id"]).select("event_type", "who", "event_id", "n")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linenumber = 3 AND (contains(lower(l_linestatus), 'o'))""")
+def filtered_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = W.where_equal(read(spark, d, "lineitem"), {"l_returnflag": ["R", "A"], "l_linenumber": 3})
+    return out.filter(T.contains_anywhere("O", F.col("l_linestatus"))).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query(f"""WITH {SPANS}, w AS (SELECT user_id, min(start_ms) AS s, min(start_ms) + {5 * DAY} AS e FROM spans GROUP BY user_id)
+SELECT event_id, greatest(start_ms, s) AS start_ms, least(end_ms, e) AS end_ms FROM spans JOIN w USING (user_id) WHERE greatest(start_ms, s) < least(end_ms, e)""")
+def clipped_to_windows(spark: SparkSession, d: str) -> DataFrame:
+    s = spans(spark, d)
+    first = s.groupBy("user_id").agg(F.min("start_ms").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 5 * DAY)
+    return I.clip(s, first, ["user_id"], "start_ms", "end_ms", 12 * HOUR).select("event_id", "start_ms", "end_ms")
+
+
+@query("""SELECT user_id, min_by(value, ts) FILTER (value > 100) AS value, min(epoch_us(ts) // 1000) FILTER (event_type = 'view') AS view_time, min(epoch_us(ts) // 1000) FILTER (event_type = 'error') AS error_time FROM events GROUP BY user_id""")
+def operation_pivot(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("value", F.when(F.col("value") > 100, F.col("value"))).withColumn("t", millis("ts"))
+    return A.pivot_first(e, ["user_id"], "ts", ["value"], "event_type", "t", ["view", "error"])
+
+
+@query("""WITH t AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY l_suppkey),
+ f AS (SELECT l_suppkey, 'often' AS category, CASE WHEN bad > 0.33 * n THEN 0 ELSE 1 END AS severity FROM t WHERE bad > 0.25 * n UNION ALL SELECT l_suppkey, 'many', 2 FROM t WHERE n > 600)
+SELECT category, count(*) FILTER (severity = 0) AS high, count(*) FILTER (severity = 1) AS medium, count(*) FILTER (severity = 2) AS low FROM f GROUP BY category""")
+def finding_counts(spark: SparkSession, d: str) -> DataFrame:
+    from stagelens.operators.findings import Rule, counts, detect
+
+    t = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
+    rules = [Rule("often", F.col("bad") > 0.25 * F.col("n"), F.when(F.col("bad") > 0.33 * F.col("n"), 0).otherwise(1)), Rule("many", F.col("n") > 600, F.lit(2))]
+    return counts(detect(t, rules, F.col("l_suppkey")), ["category"])
