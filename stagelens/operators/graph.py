@@ -70,7 +70,7 @@ def candidate_pairs(findings: DataFrame, ident: str, scopes: Sequence[str], kind
     """
     keyed = None
     for s in scopes:
-        one = findings.select(ident, kind, at, F.explode(F.transform(s, lambda x, s=s: F.concat(F.lit(f"{s}:"), x.cast("string")))).alias("__scope"))
+        one = findings.select(ident, kind, at, F.explode(F.transform(s, lambda x: F.concat(F.lit(f"{s}:"), x.cast("string")))).alias("__scope"))
         keyed = one if keyed is None else keyed.unionByName(one)
     a = keyed.select(F.col(ident).alias("cause"), F.col(kind).alias("cause_kind"), F.col(at).alias("__ta"), "__scope").join(F.broadcast(rules), "cause_kind")
     b = keyed.select(F.col(ident).alias("effect"), F.col(kind).alias("effect_kind"), F.col(at).alias("__tb"), "__scope")

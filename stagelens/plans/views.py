@@ -193,3 +193,144 @@ def story(parts: list[tuple[DataFrame, str]]) -> DataFrame:
         out = one if out is None else out.unionByName(one)
     w = Window.orderBy(F.col("at").asc_nulls_last(), "class", "text")
     return out.withColumn("seq", F.row_number().over(w)).select("seq", "at", "kind", "text")
+
+
+def query_rollup(stages: DataFrame, links: DataFrame) -> DataFrame:
+    """context, sql_execution_id and its stages' totals. links: context, stage_id, sql_execution_id."""
+    sums = ("tasks", "failed_tasks", "task_ms", "gc_ms", "input_bytes", "output_bytes", "shuffle_read", "shuffle_write", "disk_spill")
+    s = stages.join(links, ["context", "stage_id"])
+    return s.groupBy("context", "sql_execution_id").agg(F.count("*").alias("stages"), *[F.sum(c).alias(c) for c in sums], F.max("skew").alias("max_skew"))
+
+
+def grain_distribution(tasks: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """key and the distribution of its good tasks' time (A2 at the grain of a job, query or run); null keys are left out. links: context, stage_id, key."""
+    t = tasks.filter(~F.col("failed")).join(links, ["context", "stage_id"]).filter(F.col(key).isNotNull())
+    return A.distribution(t, ["context", key], "task_ms")
+
+
+def storage_split(tasks: DataFrame) -> DataFrame:
+    """context, stage: input bytes, null where no task of the context knows the metric at all."""
+    known = F.bool_or(F.col("input_bytes").isNotNull()).over(Window.partitionBy("context"))
+    t = tasks.withColumn("known", known).withColumn("input_bytes", F.when(F.col("known"), F.coalesce("input_bytes", F.lit(0))))
+    return t.groupBy("context", "stage_id").agg(F.sum("input_bytes").alias("input_bytes"))
+
+
+def retry_summary(tasks: DataFrame) -> DataFrame:
+    """Stage: tasks with a failure, failed attempts by category, wasted time, and the earliest failure's text."""
+    from stagelens.functions.text import failure_category
+
+    bad = tasks.filter("failed").withColumn("category", failure_category(F.col("end_reason"), F.col("error"), F.lit(None).cast("string")))
+    per = bad.groupBy(*STAGE, "category").agg(F.count("*").alias("n"), F.sum("task_ms").alias("ms"), F.min_by("error", F.struct("finish_time", "task_id")).alias("example"), F.min("finish_time").alias("at"))
+    tasks_hit = bad.groupBy(*STAGE).agg(F.countDistinct("task_index").alias("tasks"))
+    out = per.groupBy(*STAGE).agg(F.sum("n").alias("attempts"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("categories"), F.sum("ms").alias("wasted_ms"), F.min_by("example", "at").alias("example"))
+    return out.join(tasks_hit, STAGE)
+
+
+def first_key(properties: DataFrame, ident: str, keys: list[str], name: str) -> DataFrame:
+    """ident, name, source: the first of the property keys, in this order, that has a value. properties: ident, setting, value."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (k, i)]), F.col("setting"))
+    p = properties.filter(F.col("setting").isin(*keys) & (F.trim("value") != "")).withColumn("__r", rank)
+    return p.groupBy(ident).agg(F.min_by("value", "__r").alias(name), F.min_by("setting", "__r").alias("source"))
+
+
+def default_run(run_table: DataFrame) -> DataFrame:
+    """The run to show first: failed before others, then the longest; application-wide ones only if there is nothing else."""
+    rank = F.struct((~F.col("run_key").startswith("app:")).alias("a"), (F.col("status") == "failed").alias("b"), F.coalesce("duration_ms", F.lit(-1)).alias("c"), "run_key")
+    return run_table.agg(F.max_by("run_key", rank).alias("run_key"))
+
+
+def oom_sites(failed_tasks: DataFrame, errors: DataFrame) -> DataFrame:
+    """executor_id, site: from its failed tasks' texts, else from its log's exceptions (executor_id, seq, exception, frames)."""
+    from stagelens.functions.text import OOM_TEXT, oom_site
+
+    none = F.array().cast("array<string>")
+    t = failed_tasks.filter(F.col("error").rlike(OOM_TEXT)).select("executor_id", F.lit(0).alias("p"), F.unix_millis("finish_time").alias("at"), F.coalesce(oom_site(none, F.col("error")), F.lit("unknown")).alias("site"))
+    e = errors.filter(F.col("exception").rlike(OOM_TEXT)).select("executor_id", F.lit(1).alias("p"), F.col("seq").alias("at"), F.coalesce(oom_site(F.col("frames"), F.col("exception")), F.lit("unknown")).alias("site"))
+    return t.unionByName(e).groupBy("executor_id").agg(F.min_by("site", F.struct("p", "at")).alias("site"))
+
+
+def thread_dumps(lines: DataFrame) -> DataFrame:
+    """file_path, dumps: headers of thread dumps, one dump for headers that follow each other with only dump lines between."""
+    from stagelens.functions.text import DUMP_HEADER
+
+    head = F.col("line").rlike(DUMP_HEADER)
+    w = Window.partitionBy("file_path").orderBy("seq")
+    state = F.when(head, 1).when(F.col("kind").isNotNull(), 0)
+    before = F.coalesce(F.last(state, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.withColumn("__new", head & (before == 0)).groupBy("file_path").agg(F.count_if("__new").alias("dumps"))
+
+
+def totals(tasks: DataFrame, stages: DataFrame, jobs: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: counts by state and sums."""
+    t = tasks.agg(F.count("*").alias("tasks"), F.count_if("failed").alias("failed_tasks"), F.sum("task_ms").alias("task_ms"), F.sum("input_bytes").alias("input_bytes"), F.sum("disk_spill").alias("disk_spill"))
+    s = stages.agg(F.count("*").alias("stages"), F.count_if(F.col("failure_reason").isNotNull()).alias("failed_stages"))
+    j = jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "failed").alias("failed_jobs"))
+    q = queries.agg(F.count("*").alias("queries"), F.count_if(F.col("status") == "failed").alias("failed_queries"))
+    return t.join(s).join(j).join(q)  # one row each
+
+
+def kinds_over_runs(findings: DataFrame, run_table: DataFrame) -> DataFrame:
+    """category: number of runs and failed runs that have it, and its worst example."""
+    f = findings.join(run_table.select("run_key", (F.col("status") == "failed").alias("bad")), "run_key", "left")
+    return f.groupBy("category").agg(F.countDistinct("run_key").alias("runs"), F.countDistinct(F.when(F.col("bad"), F.col("run_key"))).alias("failed_runs"), F.min_by("entity", F.struct("severity", (-F.coalesce("measure", F.lit(0.0))).alias("m"), "entity")).alias("worst"))
+
+
+def top(df: DataFrame, measure: str, ident: list[str], limit: int = 20) -> DataFrame:
+    """The rows with most of a measure, nulls last: a report of `limit` rows (200 at most)."""
+    return df.orderBy(F.col(measure).desc_nulls_last(), *ident).limit(min(limit, 200))
+
+
+def in_window(df: DataFrame, start: str, end: str, lo: Column, hi: Column) -> DataFrame:
+    """Rows whose span meets [lo, hi]; an open end counts as going on."""
+    return df.filter((F.col(start) <= hi) & (F.coalesce(F.col(end), hi) >= lo))
+
+
+def of_run(df: DataFrame, run_table: DataFrame, run: str, at: str) -> DataFrame:
+    """Rows of a run by key, and rows of no run within its span, if no other run overlapped it."""
+    r = run_table.filter(F.col("run_key") == run).select(F.col("start_time").alias("__s"), F.col("end_time").alias("__e"))
+    others = run_table.filter(F.col("run_key") != run).join(F.broadcast(r), (F.col("start_time") < F.col("__e")) & (F.col("end_time") > F.col("__s")))
+    alone = r.join(others.agg(F.count("*").alias("__n"))).filter("__n = 0")
+    shared = df.filter(F.col("run_key").isNull()).join(F.broadcast(alone), F.col(at).between(F.col("__s"), F.col("__e"))).select(*df.columns)
+    return df.filter(F.col("run_key") == run).unionByName(shared)
+
+
+def stage_label(scopes: Column) -> Column:
+    """What a stage does, from its operators' names."""
+    known = (("Scan", "read"), ("Exchange", "shuffle"), ("Sort", "sort"), ("Aggregate", "aggregate"), ("Join", "join"), ("Window", "window"), ("Generate", "explode"), ("Write", "write"), ("InMemory", "cache"))
+    hits = F.array(*[F.when(F.exists(scopes, lambda s: s.contains(k)), F.lit(label)) for k, label in known])
+    return F.nullif(F.array_join(F.array_compact(hits), ", "), F.lit(""))
+
+
+def run_family(job: Column, program: Column, kind: Column, label: Column) -> Column:
+    return F.coalesce(F.concat_ws("|", F.when(job.isNotNull() & program.isNotNull(), F.concat_ws("|", job, program))), program, F.concat_ws("|", kind, label))
+
+
+def stage_times(tasks: DataFrame) -> DataFrame:
+    """Stage: first launch, last finish, the lower 90th percentile of finishes, and the tail after it."""
+    t = tasks.withColumn("fin", ms("finish_time"))
+    out = t.groupBy(*STAGE).agg(F.min(ms("launch_time")).alias("first_launch"), F.max("fin").alias("last_finish"), A.quantile("fin", 0.9).cast("long").alias("p90_finish"))
+    return out.withColumn("tail_ms", F.col("last_finish") - F.col("p90_finish"))
+
+
+def widened(run_table: DataFrame, spans: DataFrame) -> DataFrame:
+    """Runs whose span also covers their queries' (run_key, start_time, end_time)."""
+    q = spans.groupBy("run_key").agg(F.min("start_time").alias("__s"), F.max("end_time").alias("__e"))
+    out = run_table.join(q, "run_key", "left")
+    return out.withColumn("start_time", F.least("start_time", "__s")).withColumn("end_time", F.greatest("end_time", "__e")).drop("__s", "__e")
+
+
+def scopes_of_text(findings: DataFrame, ident: str, text: str) -> DataFrame:
+    """ident, stages, executors: the stages ("stage 6.1") and executors ("executor 3") that a finding's text names."""
+    ids = lambda p: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(p), 1))
+    return findings.select(ident, ids(r"\bstage (\d+)").alias("stages"), ids(r"\bexecutor (\d+)").alias("executors"))
+
+
+def log_context(lines: DataFrame, file: str, seq: int, before: int = 10, after: int = 20) -> DataFrame:
+    """The lines around one line of a file."""
+    return lines.filter((F.col("file_path") == file) & F.col("seq").between(seq - before, seq + after)).orderBy("seq")
+
+
+def cluster_list(summaries: DataFrame, limit: int = 50) -> DataFrame:
+    """The latest outputs: cluster_id and the columns of its newest summary. A report of `limit` rows."""
+    newest = summaries.groupBy("cluster_id").agg(F.max_by(F.struct(*summaries.columns), "built").alias("s")).select("s.*")
+    return newest.orderBy(F.desc("built"), "cluster_id").limit(limit)

@@ -133,3 +133,35 @@ def test_plan_text(spark):
     df = spark.createDataFrame([(plan,)], "p string")
     r = df.select(P.operators(F.col("p")).alias("o"), P.tables_read(F.col("p")).alias("t"), P.jdbc(F.col("p")).alias("j"), P.count_only(F.col("p")).alias("c")).first()
     assert r["o"] == ["Scan", "FileScan", "Exchange", "HashAggregate"] and r["t"] == ["cat.db.sales"] and r["j"]["kind"] == "count" and r["j"]["partitions"] == 1 and r["c"]
+
+
+def test_more_views(spark, event_dir):
+    from stagelens.plans import views as V
+
+    ev = eventlog.events(eventlog.lines(spark, event_dir)).persist()
+    tasks, stages, jobs_, queries = (f(ev).persist() for f in (eventlog.tasks, eventlog.stages, eventlog.jobs, eventlog.queries))
+    table = V.stage_table(tasks, stages)
+    links = V.stage_jobs(jobs_)
+    one = V.totals(tasks, stages, jobs_, queries).first()
+    assert one["tasks"] == tasks.count() and one["queries"] == 2 and one["failed_jobs"] == 0
+    assert V.query_rollup(table, links.withColumnRenamed("job_id", "sql_execution_id")).agg(F.sum("stages")).first()[0] > 0
+    assert V.grain_distribution(tasks, links, "job_id").agg(F.sum("n")).first()[0] == tasks.count()
+    assert V.stage_times(tasks).filter("tail_ms < 0").count() == 0
+    r = V.runs(jobs_)
+    assert V.default_run(r).first()["run_key"].startswith("app:")
+    assert V.retry_summary(tasks).count() == 0 and V.storage_split(tasks).count() > 0
+    found = spark.createDataFrame([("skew", "e1", 1, 3.0, "app:x"), ("skew", "e2", 0, 1.0, "app:y")], "category string, entity string, severity int, measure double, run_key string")
+    assert V.kinds_over_runs(found, r).first()["worst"] == "e2"
+    assert V.top(tasks, "task_ms", ["task_id"], 3).count() == 3
+    assert V.first_key(eventlog.settings(ev), "context", ["no.such", "spark.app.name"], "name").first()["source"] == "spark.app.name"
+    assert tuple(V.scopes_of_text(spark.createDataFrame([("F1", "Stage 6.1 on executor 3")], "id string, t string"), "id", "t").first()) == ("F1", ["6"], ["3"])
+    assert V.widened(r, r.select("run_key", "start_time", "end_time")).count() == r.count()
+    fails = spark.createDataFrame([("1", "java.lang.OutOfMemoryError at TorrentBroadcast", 5)], "executor_id string, error string, t long").withColumn("finish_time", F.timestamp_millis("t"))
+    errs = spark.createDataFrame([("1", 1, "java.lang.OutOfMemoryError", ["x.toPandas"]), ("2", 1, "java.lang.OutOfMemoryError", ["x.toPandas"])], "executor_id string, seq long, exception string, frames array<string>")
+    assert sorted(map(tuple, V.oom_sites(fails, errs).collect())) == [("1", "broadcast"), ("2", "driver_result")]
+    assert spark.range(1).select(V.stage_label(F.array(F.lit("Scan parquet"), F.lit("HashAggregate")))).first()[0] == "read, aggregate"
+    dump = spark.createDataFrame([("f", 1, '"a" prio=5 tid=1', None), ("f", 2, "\tat x", None), ("f", 3, '"b" prio=5 tid=2', None), ("f", 4, "24/01/01 x", "log4j"), ("f", 5, '"c" prio=5 tid=3', None)], "file_path string, seq long, line string, kind string")
+    assert V.thread_dumps(dump).first()["dumps"] == 2
+    shared = spark.createDataFrame([("a", 5), (None, 6), ("b", 7)], "run_key string, at long")
+    spans = spark.createDataFrame([("a", "ok", 1, 9), ("b", "ok", 20, 30)], "run_key string, status string, start_time long, end_time long")
+    assert sorted(r["at"] for r in V.of_run(shared, spans, "a", "at").collect()) == [5, 6]
