@@ -1,148 +1,267 @@
-"""Groups of documents of Jaccard similarity 0.8 or more on five-word shingles, found by SimHash.
+"""Groups of documents of Jaccard similarity 0.8 or more on five-word shingles, found by an exact prefix-filter join.
 
-One changed word changes five shingles, so fingerprints of shingles are far apart at that similarity (some ten of 64 bits), while fingerprints of distinct words
-differ in four or so. Each document has PRINTS such fingerprints, with hashes of their own; a pair is a candidate if any of them are within MAX_DISTANCE
-bits, by the pigeonring filter of simhash.py. What is linked in the end is verified: the Jaccard similarity of the sets of shingles, as 64-bit hashes.
+A document is the set of its shingles, as 64-bit hashes; documents with equal sets are one class, told apart by 64 bits. Shingles are ordered by rarity, in a
+table of fixed size (see line_dedup.py), equal counts by the hash. Two sets with a similarity of at least s share a shingle among the first
+n - ceil(s n) + 1 of each: those are the join keys, whatever was edited, and a pair under a key passes a length and a positional filter. What is linked in
+the end is verified: the Jaccard similarity of the sets.
 
-Documents under one key are not paired with each other: up to FEW give all pairs within the distance; of more, each is a candidate with the least
-id there and with the one before it, so candidates grow with the documents whatever the groups' sizes. Equal texts are linked before, by a hash.
-A pair at similarity 0.8 is a candidate with a probability of about 0.92, at 0.84 of 0.97, at 0.9 of 0.999 (measured figures are in the README).
+Of the classes under one key, up to FEW give all their pairs. Of more, each is a candidate with the least one and with the FIRST_BACK before it, in order
+of length, at first. Then, in rounds, classes of one key that no links have joined are paired with those up to MORE times as far, until every
+pair under every key has been judged, filtered out, or joined by other links: no pair is left out, and candidates grow with the documents where a
+family is similar.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, in_bits, materialize
+from .common import Packed, bit_table, in_bits, materialize
 from .components import components
-from .search import doc_terms
+from .line_dedup import RARITY_PARTS, RARITY_SLOTS, rarity
 from .tokens import U, grams, lowered, mix, tokenize
 
-PRINTS = 12
-MAX_DISTANCE = 2
-SEGMENTS = 8
-FEW = 4
+FEW = 8
+FIRST_BACK = 2
+MORE = 8
 SHINGLE = 5
+#: Postings a task holds before it sends them, and buckets for each shuffle partition.
+HELD_POSTINGS = 1 << 20
 BUCKETS_PER_PARTITION = 4
 
+POSTING = (("key", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"))
+
+
+class Sets:
+    """The sets of shingles of a slice of texts (of the whole sequence where that is shorter), in ascending order, and the hashes of their classes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        h, doc, _, _ = tokenize(data, offsets)
+        docs = len(offsets) - 1
+        words = np.bincount(doc, minlength=docs)
+        found = []
+        for k in range(1, SHINGLE + 1):
+            g, at = grams(h, doc, k)
+            mine = words[doc[at]] >= k if k == SHINGLE else words[doc[at]] == k
+            found.append((doc[at][mine], g[mine]))
+        d, g = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.lexsort((g, d))
+        d, g = d[order], g[order]
+        new = np.r_[True, (d[1:] != d[:-1]) | (g[1:] != g[:-1])] if len(d) else np.zeros(0, bool)
+        self.doc, self.shingle = d[new], g[new]
+        self.n = np.bincount(self.doc, minlength=docs)
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.cls = np.zeros(docs, U)
+        full = np.flatnonzero(self.n)
+        if len(full):
+            self.cls[full] = mix(np.add.reduceat(mix(self.shingle), self.at[full]) + self.n[full].astype(U))
+        for i in np.flatnonzero(self.n == 0).tolist():  # without words, equal texts are a class
+            self.cls[i] = int.from_bytes(hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=8).digest(), "little")
+
+
+def class_table(docs: DataFrame) -> DataFrame:
+    """id, text -> two kinds of rows: id, cls of every document; and, with part set, a task's compressed counts of one part of the rarity table."""
+    per = RARITY_SLOTS // RARITY_PARTS
 
-def word_prints(term: np.ndarray) -> np.ndarray:
-    """PRINTS fingerprints of a set of words' hashes."""
-    seeds = mix(np.arange(1, PRINTS + 1, dtype=U))
-    ones = np.zeros(PRINTS * 64, np.int64)
-    for i in range(0, len(term), 4096):
-        h = mix(term[i : i + 4096, None] ^ seeds)
-        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(term)).view(U)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(RARITY_SLOTS, np.uint32)
+        names = ["id", "cls", "part", "counts"]
+        for b in batches:
+            for row, data, offsets in lowered(b.column(1)):
+                x = Sets(data, offsets)
+                slots, n = np.unique((x.shingle % U(RARITY_SLOTS)).astype(np.int32), return_counts=True)
+                seen[slots] += n.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(x.n)), pa.array(x.cls.view(np.int64)), pa.nulls(len(x.n), pa.int32()), pa.nulls(len(x.n), pa.binary())], names)
+        if seen.any():
+            blobs = [pa.compress(c.astype("<u4").tobytes(), "zstd", asbytes=True) for c in seen.reshape(RARITY_PARTS, per)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(RARITY_PARTS, pa.int64()), pa.nulls(RARITY_PARTS, pa.int64()), pa.array(np.arange(RARITY_PARTS, dtype=np.int32)), pa.array(blobs, pa.binary())], names)
 
-def _turned(fp: np.ndarray, bits: int) -> np.ndarray:
-    return fp if not bits else (fp << U(bits)) | (fp >> U(64 - bits))
+    return docs.mapInArrow(run, "id long, cls long, part int, counts binary")
 
 
-def ring_keys(prints: np.ndarray) -> np.ndarray:
-    """(documents, PRINTS) -> (documents, PRINTS * SEGMENTS) keys: the segments that must be equal from each start, with print and start in the low bits."""
-    width = 64 // SEGMENTS
-    equal = -(-SEGMENTS // MAX_DISTANCE) - 1
-    keep = U(((1 << equal * width) - 1) << (64 - equal * width))
-    label = np.arange(PRINTS, dtype=U) * U(SEGMENTS)
-    return np.stack([(_turned(prints, s * width) & keep) | (label + U(s)) for s in range(SEGMENTS)], axis=2).reshape(len(prints), -1)
+def viable(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, s: float) -> np.ndarray:
+    """Whether sets of n and m shingles, whose first common one is at pos and at, can have a similarity of s."""
+    return (np.minimum(n, m) >= s * np.maximum(n, m) - 1e-6) & (np.minimum(n - pos, m - at) >= s / (1 + s) * (n + m) - 1e-6)
 
 
-def viable(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The pigeonring test of fingerprints from a start: every chain of l segments differs in at most l * MAX_DISTANCE / SEGMENTS bits."""
-    width = 64 // SEGMENTS
-    d = x ^ y
-    turn = (start * width).astype(U)
-    d = np.where(turn == 0, d, (d << turn) | (d >> ((U(64) - turn) & U(63))))
-    ok = np.ones(len(d), bool)
-    for n in range(1, SEGMENTS + 1):
-        ok &= np.bitwise_count(d >> U(64 - n * width)) <= n * MAX_DISTANCE // SEGMENTS
-    return ok
+def _unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, the greater first."""
+    a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+    u, v = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = (np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.zeros(0, bool)) & (u != v)
+    return u[new], v[new]
 
 
-def pairs_under_keys(key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Rows under whole keys -> (2, pairs) of ids, the greater first."""
-    order = np.lexsort((ids, key))
-    key, fp, ids = key[order], fp[order], ids[order]
+def pairs_under_keys(x: dict[str, np.ndarray], s: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x: POSTING in order of key, n, cls, whole keys -> pairs (two arrays) of the first round; which postings are under crowded keys."""
+    key, cls, n, pos = (x[c] for c, _ in POSTING)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(key)])
     lead, many = np.repeat(first, size), np.repeat(size > FEW, size)
     place = np.arange(len(key)) - lead
     out = []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        ok = viable(n[i], pos[i], n[j], pos[j], s)
+        out.append((cls[i[ok]], cls[j[ok]]))
+
     for back in range(1, FEW):
-        i = np.flatnonzero(~many & (place >= back))
-        ok = viable(fp[i], fp[i - back], (key[i] & U(SEGMENTS - 1)).astype(np.int64))
-        out.append((ids[i[ok]], ids[i[ok] - back]))
-    i = np.flatnonzero(many & (place > 0))
-    out += [(ids[i], ids[lead[i]]), (ids[i], ids[i - 1])]
-    u, v = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-    return np.unique(np.stack([u, v])[:, u != v], axis=1)
+        i = np.flatnonzero(place >= back) if back <= FIRST_BACK else np.flatnonzero(~many & (place >= back))
+        add(i, i - back)
+    if many.any():
+        least = np.lexsort((cls, key))[first]  # the least class of each key, the same one under most keys of a family
+        i = np.flatnonzero(many)
+        add(i, np.repeat(least, size)[i])
+    return *_unique_pairs(out), many
+
 
+MET = "u long, v long, key long, n int, pos int"
 
-def candidate_pairs(docs: DataFrame) -> DataFrame:
-    """docs: id (long, set), text -> u, v (u > v)."""
+
+def met(docs: DataFrame, seen: Packed, s: float) -> DataFrame:
+    """id, text -> rows of MET: pairs of classes (key null), and the postings (class u, v null) of crowded keys."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * BUCKETS_PER_PARTITION
+    sent = spark.sparkContext.broadcast(seen)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}  # prints of a task, so that its copies of one text are sent once
+        table = sent.value.array()
+        held: list[dict[str, np.ndarray]] = []
+        known: set[int] = set()  # classes held, so that a task sends a class once
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            ids, prints = np.array(list(seen.values()), np.int64), np.frombuffer(b"".join(seen), U).reshape(-1, PRINTS)
-            seen.clear()
-            key = ring_keys(prints).ravel()
-            fp = np.repeat(prints, SEGMENTS, axis=1).ravel()
-            who = np.repeat(ids, PRINTS * SEGMENTS)
-            bucket = mix(key) % U(buckets)
+            p = {c: np.concatenate([h[c] for h in held]) for c, _ in POSTING}
+            held.clear()
+            known.clear()
+            bucket = (mix(p["key"]) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                if len(i := order[cuts[b] : cuts[b + 1]]):
-                    rows.append((b, pa.compress(key[i].tobytes() + fp[i].tobytes() + who[i].tobytes(), "zstd", asbytes=True), len(i)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], ["bucket", "rows", "n"])
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [pa.compress(b"".join(p[c][order[cuts[b] : cuts[b + 1]]].astype(t).tobytes() for c, t in POSTING), "zstd", asbytes=True) for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(cuts)[some].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "n", "rows"])
 
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for row, data, offsets in lowered(b.column(1)):
-                doc, term, _, _ = doc_terms(data, offsets)
-                cuts = np.searchsorted(doc, np.arange(len(offsets)))
-                for k in range(len(offsets) - 1):
-                    p = word_prints(term[cuts[k] : cuts[k + 1]]).tobytes()
-                    seen[p] = min(seen.get(p, int(ids[row + k])), int(ids[row + k]))
-            if len(seen) >= 8192:
-                yield flush()
-        if seen:
+            for _, data, offsets in lowered(b.column(1)):
+                x = Sets(data, offsets)
+                new = np.zeros(len(x.n), bool)
+                for i, c in enumerate(x.cls.tolist()):
+                    if x.n[i] and c not in known:
+                        known.add(c)
+                        new[i] = True
+                df = table[(x.shingle % U(RARITY_SLOTS)).astype(np.int64)]
+                order = np.argsort((x.doc.astype(U) << U(32)) | df.astype(U), kind="stable")  # rarest first, then by the hash
+                shingle, df = x.shingle[order], df[order]
+                pos = np.arange(len(shingle)) - x.at[x.doc]
+                prefix = x.n - np.ceil(s * x.n - 1e-6).astype(np.int64) + 1
+                use = (pos < prefix[x.doc]) & (df > 1) & new[x.doc]  # a slot counted once is of a shingle that no other document has
+                d = x.doc[use]
+                held.append({"key": shingle[use], "cls": x.cls[d].view(np.int64), "n": x.n[d], "pos": pos[use]})
+                size += len(d)
+                if size >= HELD_POSTINGS:
+                    yield flush()
+                    size = 0
+        if held:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[dict[str, np.ndarray]] = []
         now = None
 
         def flush() -> pa.RecordBatch:
-            u, v = pairs_under_keys(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            x = {c: np.concatenate([h[c] for h in held]) for c, _ in POSTING}
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            order = np.lexsort((x["cls"], x["n"], x["key"]))
+            key, cls = x["key"][order], x["cls"][order]
+            order = order[np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]] if len(order) else order
+            x = {c: v[order] for c, v in x.items()}
+            u, v, many = pairs_under_keys(x, s)
+            none = np.r_[np.ones(len(u), bool), np.zeros(int(many.sum()), bool)]
+            both = lambda left, right: np.concatenate([left, right])
+            zero = np.zeros(len(u), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both(u, x["cls"][many])), pa.array(both(v, np.zeros(int(many.sum()), np.int64)), mask=~none), pa.array(both(zero, x["key"][many].view(np.int64)), mask=none), *(pa.array(both(zero, x[c][many]).astype(np.int32), mask=none) for c in ("n", "pos"))], ["u", "v", "key", "n", "pos"])
 
         for b in batches:  # sorted by bucket
-            for bucket, rows, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for bucket, n, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if held and bucket != now:
                     yield flush()
                 now = bucket
-                raw = pa.decompress(rows.as_py(), n * 24, "zstd", asbytes=True)
-                held.append((np.frombuffer(raw[: n * 8], U), np.frombuffer(raw[n * 8 : n * 16], U), np.frombuffer(raw[n * 16 :], np.int64)))
+                raw, at, x = pa.decompress(rows.as_py(), n * 24, "zstd", asbytes=True), 0, {}
+                for c, t in POSTING:
+                    width = n * np.dtype(t).itemsize
+                    x[c], at = np.frombuffer(raw[at : at + width], t), at + width
+                held.append(x)
         if held:
             yield flush()
 
-    blocks = docs.mapInArrow(send, "bucket int, rows binary, n int").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return blocks.mapInArrow(meet, "u long, v long").distinct()
+    blocks = docs.mapInArrow(send, "bucket int, n int, rows binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return blocks.mapInArrow(meet, MET)
+
+
+def further_pairs(u: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, low: int, high: int, s: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of one key's classes in order of length: viable pairs of different components that are more than low and at most high places apart."""
+    names, member = np.unique(comp, return_inverse=True)
+    if len(names) < 2:
+        return []
+    apart = np.flatnonzero(member != np.bincount(member).argmax())  # any pair of two components has one of these
+    out = []
+    for i in apart.tolist():
+        j = np.r_[max(0, i - high) : max(0, i - low), min(len(u), i + low + 1) : min(len(u), i + high + 1)]
+        j = j[(comp[j] != comp[i])]
+        j = j[viable(n[i], pos[i], n[j], pos[j], s)]
+        out.append((np.full(len(j), u[i]), u[j]))
+    return out
+
+
+def next_round(crowded: DataFrame, labels: DataFrame, low: int, high: int, s: float) -> DataFrame:
+    """crowded: u, key, n, pos -> rows of MET: pairs that are not joined yet, and the postings of keys that are still of several components."""
+    partitions = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            key, u, comp, n, pos = (t[c].to_numpy() for c in ("key", "u", "comp", "n", "pos"))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            pairs, keep = [], np.zeros(len(key), bool)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k = slice(lo, hi)
+                pairs += further_pairs(u[k], comp[k], n[k], pos[k], low, high, s)
+                keep[k] = (comp[k] != comp[lo]).any() and hi - lo - 1 > high
+            a, b = _unique_pairs(pairs)
+            none, zero, m = np.r_[np.ones(len(a), bool), np.zeros(int(keep.sum()), bool)], np.zeros(len(a), np.int64), int(keep.sum())
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[a, u[keep]]), pa.array(np.r_[b, np.zeros(m, np.int64)], mask=~none), pa.array(np.r_[zero, key[keep]], mask=none), *(pa.array(np.r_[zero, x[keep]].astype(np.int32), mask=none) for x in (n, pos))], ["u", "v", "key", "n", "pos"])
+
+        rows = 0
+        for b in batches:  # sorted by key: a group may go on in the next batch
+            if not b.num_rows:
+                continue
+            k = b.column(0).to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            if rows + cut > 100_000 and held and (cut or held[-1].column(0)[-1].as_py() != k[0]):
+                held.append(b.slice(0, cut))
+                yield out()
+                rows, b = 0, b.slice(cut)
+            held.append(b)
+            rows += b.num_rows
+        if held:
+            yield out()
+
+    rows = crowded.join(labels, F.col("u") == F.col("node"), "left").select("key", "u", F.coalesce("label", "u").alias("comp"), "n", "pos")
+    return rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "u").mapInArrow(run, MET)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,14 +277,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 continue
             ids, texts = ids[keep], b.column(1).take(pa.array(keep))
             for row, data, offsets in lowered(texts):
-                h, doc, _, _ = tokenize(data, offsets)
-                n = np.bincount(doc, minlength=len(offsets) - 1)
-                found = [(doc[at], g) for k in range(1, SHINGLE + 1) for g, at in [grams(h, doc, k)] for m in [n[doc[at]] == k if k < SHINGLE else n[doc[at]] >= k] for g, at in [(g[m], at[m])]]
-                d, g = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                both = np.unique(np.rec.fromarrays([d, g], names="d,g"))
-                cuts = np.searchsorted(both.d, np.arange(len(offsets)))
-                g = np.ascontiguousarray(both.g)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row : row + len(n)]), pa.array([g[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(n))], pa.binary())], ["id", "set"])
+                x = Sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row : row + len(x.n)]), pa.array([x.shingle[x.at[i] : x.at[i + 1]].tobytes() for i in range(len(x.n))], pa.binary())], ["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
@@ -175,11 +288,16 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Null and empty texts are equal texts, and so one group.
     """
-    copies = docs.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("m"))
-    least = copies.groupBy("m").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").select("m", "v")
-    exact = copies.join(least, "m").filter("id <> v").select(F.col("id").alias("u"), "v")
-    pairs = materialize(candidate_pairs(docs))
-    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    counted = materialize(class_table(docs))
+    classes = counted.filter("part IS NULL").select("id", "cls")
+    reps = materialize(classes.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    exact = classes.join(reps.filter("n > 1"), "cls").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    found = materialize(met(docs, Packed(rarity(counted.filter("part IS NOT NULL"))), similarity))
+    rep = lambda k: reps.select(F.col("cls").alias(k), F.col("rep").alias(f"{k}_rep"))
+    pairs = found.filter("key IS NULL").select("u", "v").distinct().join(rep("u"), "u").join(rep("v"), "v")
+    pairs = materialize(pairs.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")))
+    crowded = materialize(found.filter("key IS NOT NULL").join(rep("u"), "u").select(F.col("u_rep").alias("u"), "key", "n", "pos"))
+    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(crowded.select(F.col("u").alias("id"))).distinct())
     sets = materialize(shingle_sets(docs, wanted))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +309,13 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 ok.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
-    linked = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(judge, "u long, v long")
-    return components(exact.unionByName(linked))
+    def linked(pairs: DataFrame) -> DataFrame:
+        side = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}"))
+        return materialize(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(judge, "u long, v long"))
+
+    links, low, high = [linked(pairs)], 0, FIRST_BACK * MORE  # from 0 again: equal lengths are in another order than in the first round
+    while not crowded.isEmpty():
+        found = materialize(next_round(crowded, components(reduce(DataFrame.unionByName, links)), low, high, similarity))
+        links.append(linked(found.filter("key IS NULL").select("u", "v").distinct()))
+        crowded, low, high = found.filter("key IS NOT NULL").select("u", "key", "n", "pos"), high, high * MORE
+    return components(reduce(DataFrame.unionByName, links, exact))

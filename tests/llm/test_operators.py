@@ -457,6 +457,33 @@ def test_similar_groups(spark, empty):
     assert similar.groups(spark.createDataFrame([], "id long, text string")).count() == 0
 
 
+def shingled(text):
+    w = text_tokens(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(x, y):
+    return x == y if not (x and y) else 5 * len(x & y) >= 4 * len(x | y)
+
+
+def assert_grouped(spark, texts):
+    got = {r["node"]: r["label"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute_components([shingled(t) for t in texts], alike)
+
+
+def test_similar_block_edits(spark):
+    """Of pairs by bands of similarity whose tail is replaced, cut off or added to, all are found."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(120):
+        w = words(rng, rng.randrange(60, 400), 5000).split()
+        n = max(1, int(len(w) * (0.02, 0.05, 0.08, 0.1, 0.17, 0.3)[g % 6]))
+        texts += [" ".join(w), " ".join([w[:-n] + words(rng, n, 5000).split(), w + words(rng, n, 5000).split(), w[:-n], words(rng, n, 5000).split() + w][g // 6 % 4])]
+    bands = Counter(int(20 * len(a & b) / len(a | b)) for a, b in ((shingled(texts[i]), shingled(texts[i + 1])) for i in range(0, len(texts), 2)))
+    assert all(bands[k] >= 8 for k in (16, 17, 18, 19))
+    assert_grouped(spark, texts)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
