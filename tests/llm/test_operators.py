@@ -484,6 +484,17 @@ def test_similar_block_edits(spark):
     assert_grouped(spark, texts)
 
 
+def test_similar_reformatted(spark):
+    """Texts of equal words in another case, white space, punctuation, repetition or order: judged by their shingles, in one task or not."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        t = words(rng, 80, 5000)
+        w = t.split()
+        texts += [t, t.upper(), t.replace(" ", ",\n"), t + " " + t, " ".join(w[40:] + w[:40]), " ".join(sorted(w))]
+    assert_grouped(spark, texts)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
