@@ -495,6 +495,24 @@ def test_similar_reformatted(spark):
     assert_grouped(spark, texts)
 
 
+def test_similar_crowded(spark):
+    """Families under one key of which only some pairs are similar: every viable pair is judged."""
+    rng = random.Random(13)
+    texts = []
+    for edits in (2, 4, 5, 7):
+        base = words(rng, 300, 5000).split()
+        for _ in range(70):
+            w = list(base)
+            for i in rng.sample(range(300), rng.randrange(1, 2 * edits)):
+                w[i] = f"other{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    template = words(rng, 200, 5000)
+    for _ in range(60):
+        own = words(rng, 60, 10**6)
+        texts += [own + " " + template, own.rsplit(" ", 2)[0] + " " + template] if rng.random() < 0.5 else [own + " " + template]
+    assert_grouped(spark, texts)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
