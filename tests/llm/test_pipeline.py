@@ -49,3 +49,12 @@ def test_repeated_ids_and_empty(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, twice, folder).count() > 0
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_benchmark_in_a_shared_id(spark, folder):
+    """Of documents that share an id, or have none, only those that hold an item go."""
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    rows = [(i, t, "en", "src0", 1) for i in (None, 7) for t in ("a clean text of no item", "held: " + item, "another clean text")] + [(8, "a third", "en", "src0", 1)]
+    kept = corpus_pipeline.remove_benchmark(spark, spark.createDataFrame(rows, docs.schema), folder).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(((r[0], r[1]) for r in rows if not r[1].startswith("held")), key=str)
