@@ -343,19 +343,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_bytes, n_removed, n_spans, kept (binary).
 
-    The order is by doc_id, null first. Rows that share a doc_id are different documents, in order of a hash of their texts; equal rows are one
-    document twice and get the same result. A null text is an empty one. An empty table gives an empty result.
+    The order is by doc_id, null first. Rows that share a doc_id are different documents, in order of a hash of their texts. Equal rows follow each other:
+    they are searched once, and all but the first lose every repeated string, which is all of a text of LENGTH bytes or more and nothing of a shorter
+    one. A null text is an empty one. An empty table gives an empty result.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text"))
     unique = docs.groupBy("doc").count().filter("count > 1").isEmpty()
     row = F.lit(0).cast("long") if unique else F.xxhash64("text")
     docs = docs.select("doc", row.alias("row"), "text")
-    spans = repeated_spans(docs).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    docs = docs.withColumn("n", F.lit(1).cast("long")) if unique else materialize(docs.groupBy("doc", "row", "text").agg(F.count("*").alias("n")))
+    spans = repeated_spans(docs.select("doc", "row", "text")).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def batch(out: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], list(out))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for doc, text, spans in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+            for doc, text, spans, n in zip(b.column(0).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode("utf-8")
                 merged: list[list[int]] = []
                 if spans.is_valid:
@@ -370,9 +375,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 for c, x in zip(out, (None if doc == NULL_ID else doc, len(raw), len(raw) - len(kept), len(merged), kept), strict=True):
                     out[c].append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], list(out))
+                gone = len(raw) >= LENGTH
+                again = (None if doc == NULL_ID else doc, len(raw), len(raw) * gone, int(gone), b"" if gone else raw)
+                for at in range(1, n, 10_000):
+                    yield batch({c: [x] * min(10_000, n - at) for c, x in zip(out, again, strict=True)})
+            yield batch(out)
 
-    return docs.join(spans, ["doc", "row"], "left").select("doc", "row", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(spans, ["doc", "row"], "left").select("doc", "row", "text", "spans", "n").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

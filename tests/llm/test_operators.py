@@ -182,6 +182,19 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_equal_rows(spark):
+    """Of rows equal in doc_id (or without one) and text, the first keeps its bytes; with rows that share an id, as brute force in order of (doc_id, hash)."""
+    rng = random.Random(6)
+    a, b = words(rng, 60, 1000), words(rng, 90, 1000)
+    rows = [(None, a)] * 4 + [(None, b + a)] + [(3, b)] * 3 + [(3, "short")] * 2 + [(3, None), (3, ""), (4, "x" * 100), (4, "x" * 100), (5, a + "tail"), (6, words(rng, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(docs.select("doc_id", "text", F.xxhash64("text")).collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    want = Counter((r[0], len((r[1] or "").encode()), *x) for r, x in zip(order, brute_spans(r[1] for r in order), strict=True))
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), r["n_spans"]) for r in got) == want
+    assert all(r["n_removed"] == r["n_bytes"] - len(r["kept"]) for r in got)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_equal_strings(seed):
     rng = np.random.default_rng(seed)
