@@ -306,7 +306,7 @@ class Finder:
             text, spans = texts[i]
             for kind, b, f in spans_of(self.net.decode((total / weight[:, None])[:stop])):
                 b, f = b + s, f + s
-                if valid(kind, text[b:f]) and f - b <= 64 and not any(x < f and b < y for _, x, y in spans):
+                if valid(kind, text[b:f]) and not any(x < f and b < y for _, x, y in spans):
                     out[i].append((kind, b, f))
         return out
 

@@ -268,6 +268,25 @@ def test_pii(spark, docs, empty):
     assert sum(any(t[s:e] in h or h in t[s:e] for _, s, e in f) for t, h, f in zip(texts, held, found, strict=True)) >= 0.7 * len(held)
 
 
+def test_long_added_span():
+    """A span that the network decodes is kept whatever its length."""
+    text = "write to " + "part." * 20 + "name @ " + "host-" * 8 + "a.example.org now"
+    first, end = text.index("part"), text.index(" now")
+
+    class Decoded:
+        def emissions(self, x):
+            return np.zeros((*x.shape, pii.TAGS), np.float32)
+
+        def decode(self, e):
+            tags = np.zeros(len(e), np.int64)
+            tags[first] = 1 + 2 * pii.KINDS.index("email")
+            tags[first + 1 : end] = tags[first] + 1
+            return tags
+
+    pad = " 1" * pii.WINDOW  # so that windows begin at 0
+    assert pii.Finder(Decoded()).added([("1" + text[1:] + pad, [])]) == [[("email", first, end)]]
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
