@@ -143,3 +143,12 @@ def pivot_first(df: DataFrame, keys: Sequence[str], order: str, columns: Sequenc
     """One row a key: the first value that is not null of each column in order, and the earliest time of each kind of event."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
     return df.groupBy(*keys).agg(*first, *[F.min(F.when(F.col(kind) == k, F.col(at))).alias(f"{k}_time") for k in kinds])
+
+
+def log_statistics(lines: DataFrame, keys: Sequence[str], at: str, full_gc: Column, heap: str) -> DataFrame:
+    """keys, lines, errors, warnings (continuation lines are no records), first, last, full_gcs and the largest heap. lines: level, continuation."""
+    record = ~F.coalesce(F.col("continuation"), F.lit(False))
+    return lines.groupBy(*keys).agg(
+        F.count("*").alias("lines"), F.count_if(record & F.col("level").isin("ERROR", "FATAL")).alias("errors"), F.count_if(record & F.col("level").isin("WARN", "WARNING")).alias("warnings"),
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count_if(F.coalesce(full_gc, F.lit(False))).alias("full_gcs"), F.max(heap).alias("max_heap"),
+    )

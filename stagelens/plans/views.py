@@ -80,13 +80,36 @@ def placement(tasks: DataFrame) -> DataFrame:
     return A.size_bands(sized, keys, "bytes").join(sized.groupBy(*keys).agg(F.median("task_ms").alias("median_ms")), keys)
 
 
-def skewed_tasks(tasks: DataFrame, stages: DataFrame, ratio: float = 10.0, floor_ms: int = 60_000, data_ratio: float = 5.0, n: int = 5) -> DataFrame:
-    """The slowest n tasks of each stage that take ratio times its median, with what explains them: lost, data_skew, gc, unknown."""
+def skewed_tasks(tasks: DataFrame, stages: DataFrame, ratio: float = 10.0, floor_ms: int = 60_000, data_ratio: float = 5.0, n: int = 5, stuck: DataFrame | None = None, slow_ratio: float = 1.5, gc_share: float = 0.2) -> DataFrame:
+    """The slowest n tasks of each stage that take ratio times its median, with what explains them, the first that holds: gc_stuck, lost, data_skew, gc, slow_executor, source_db, unknown.
+
+    stuck: context, executor_id of executors whose heap stayed full; data is bytes, or rows where no task of the stage has any bytes (a database read).
+    """
     s = stages.select(*STAGE, "p50_task_ms", "p50_read_bytes")
-    t = tasks.join(s, STAGE).filter((F.col("task_ms") >= ratio * F.greatest("p50_task_ms", F.lit(1))) & (F.col("task_ms") >= floor_ms))
     read = F.coalesce("input_bytes", F.lit(0)) + F.coalesce("shuffle_read", F.lit(0))
-    cause = F.when(F.col("end_reason") == "ExecutorLostFailure", "lost").when(read >= data_ratio * F.greatest("p50_read_bytes", F.lit(1)), "data_skew").when(F.col("gc_ms") >= 0.5 * F.col("task_ms"), "gc").otherwise("unknown")
-    return W.top_n(t, STAGE, [F.desc("task_ms"), F.col("task_id")], n).withColumn("cause", cause)
+    rows = tasks.groupBy(*STAGE).agg(A.quantile("input_records", 0.5, where=~F.col("failed")).alias("__rows"), (F.max(read) == 0).alias("__rows_only"))
+    slow = _slowness(tasks)
+    t = tasks.join(s, STAGE).filter((F.col("task_ms") >= ratio * F.greatest("p50_task_ms", F.lit(1))) & (F.col("task_ms") >= floor_ms))
+    t = W.top_n(t, STAGE, [F.desc("task_ms"), F.col("task_id"), F.col("input_bytes"), F.col("executor_id"), F.col("gc_ms")], n)
+    t = t.join(rows, STAGE).join(slow, ["context", "executor_id"], "left")
+    t = t.join(stuck.withColumn("__stuck", F.lit(True)), ["context", "executor_id"], "left") if stuck is not None else t.withColumn("__stuck", F.lit(None).cast("boolean"))
+    cause = (
+        F.when(F.col("__stuck"), "gc_stuck")
+        .when(F.col("end_reason").isin("ExecutorLostFailure", "TaskResultLost") & (read == 0), "lost")
+        .when((read > 0) & (read >= data_ratio * F.greatest("p50_read_bytes", F.lit(1))), "data_skew")
+        .when((read == 0) & (F.col("input_records") >= data_ratio * F.greatest("__rows", F.lit(1))), "data_skew")
+        .when(F.col("gc_ms") >= gc_share * F.col("task_ms"), "gc")
+        .when(F.col("slowness") >= slow_ratio, "slow_executor")
+        .when(F.col("__rows_only") & (F.col("__rows") > 0), "source_db")
+        .otherwise("unknown")
+    )
+    return t.withColumn("cause", cause).drop("__rows", "__rows_only", "__stuck", "slowness")
+
+
+def _slowness(tasks: DataFrame) -> DataFrame:
+    """context, executor_id, slowness (A39), within each context."""
+    per = tasks.withColumn("__e", F.struct("context", "executor_id"))
+    return A.slowness(per, STAGE, "__e", "task_ms").select("__e.context", "__e.executor_id", "slowness")
 
 
 def peak_buckets(tasks: DataFrame, measure: str, width: int = 60_000, n: int = 3) -> DataFrame:

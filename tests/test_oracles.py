@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from stagelens.plans import log_queries  # noqa: F401  (registers its queries)
 from stagelens.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
