@@ -119,8 +119,7 @@ def cause_split(total: Column, parts: dict[str, Column]) -> list[Column]:
 def mode(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """keys and the value with the greatest weight (count), the least of equals."""
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("__w"))
-    most = per.groupBy(*keys).agg(F.max("__w").alias("__m"))
-    return per.join(most, list(keys)).filter("__w = __m").groupBy(*keys).agg(F.min(value).alias(value))
+    return per.groupBy(*keys).agg(F.min(F.struct((-F.col("__w")).alias("w"), F.col(value))).alias("__m")).select(*keys, F.col(f"__m.{value}").alias(value))
 
 
 def top_executors_text(df: DataFrame, keys: Sequence[str], who: str, value: str, limit: int = 3) -> DataFrame:

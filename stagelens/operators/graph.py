@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/graph-{uuid.uuid4().hex}"
@@ -29,7 +31,12 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     alone = e.select(F.col("u").alias("node")).filter("u = v")
-    e, mark = _written(e.filter("u <> v").distinct()), None
+
+    def written(x: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return _written(x.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum"))), seen.get
+
+    e, before = written(e.filter("u <> v").distinct())
 
     def least(x: DataFrame) -> DataFrame:
         return x.join(x.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "u")
@@ -37,11 +44,10 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     while True:
         large = least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = least(large)
-        e = _written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
+        e, now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        if now == before:
             break
-        mark = now
+        before = now
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
     return found.unionByName(alone.distinct().join(found, "node", "left_anti").withColumn("component", F.col("node")))
 
@@ -66,13 +72,14 @@ def follow_roots(best: DataFrame, effect: str, cause: str, depth: int = 10) -> D
 def candidate_pairs(findings: DataFrame, ident: str, scopes: Sequence[str], kind: str, at: str, rules: DataFrame, slack_ms: int) -> DataFrame:
     """cause, effect, score: findings that share an element of a scope column, whose kinds a rule (cause_kind, effect_kind, weight) links, the cause not later than slack after.
 
-    Scope elements are joined, not crossed; the score is the rule's weight plus the number of shared scopes.
+    Scope elements are joined, not crossed; the score is the rule's weight plus the number of shared scopes. rules is a small fixed table, and Spark sends it
+    to all tasks if its size says so.
     """
     keyed = None
     for s in scopes:
         one = findings.select(ident, kind, at, F.explode(F.transform(s, lambda x: F.concat(F.lit(f"{s}:"), x.cast("string")))).alias("__scope"))
         keyed = one if keyed is None else keyed.unionByName(one)
-    a = keyed.select(F.col(ident).alias("cause"), F.col(kind).alias("cause_kind"), F.col(at).alias("__ta"), "__scope").join(F.broadcast(rules), "cause_kind")
+    a = keyed.select(F.col(ident).alias("cause"), F.col(kind).alias("cause_kind"), F.col(at).alias("__ta"), "__scope").join(rules, "cause_kind")
     b = keyed.select(F.col(ident).alias("effect"), F.col(kind).alias("effect_kind"), F.col(at).alias("__tb"), "__scope")
     pairs = a.join(b, ["__scope", "effect_kind"]).filter((F.col("cause") != F.col("effect")) & (F.col("__ta") <= F.col("__tb") + slack_ms))
     return pairs.groupBy("cause", "effect").agg((F.max("weight") + F.countDistinct("__scope")).alias("score"))

@@ -274,17 +274,16 @@ def start_end_pairs(spark: SparkSession, d: str) -> DataFrame:
 TAGS = (("secret", r"(token|password|secret)\s*="), ("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+"), ("address", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("shout", r"[A-Z]{6,}"), ("number", r"[0-9]{3}"))
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TAGS) + " ELSE 'plain' END AS tag FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TAGS) + " WHEN text IS NOT NULL THEN 'plain' END AS tag FROM documents")
 def first_match_tag(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", T.first_match(F.col("text"), TAGS, "plain").alias("tag"))
+    return read(spark, d, "documents").select("doc_id", T.first_match(F.col("text"), TAGS, "plain").alias("tag"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, source, substring(sha256(concat_ws('|', lang, regexp_replace(split_part(text, chr(10), 1), ':\d+\)|\d+|0x[0-9a-f]+', '', 'g'))), 1, 12) AS fingerprint FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)
+@query(r"""WITH d AS (SELECT doc_id, source, substring(sha256(concat_ws('|', coalesce(lang, ''), regexp_replace(text, ':\d+\)|\d+|0x[0-9a-f]+', '', 'g'))), 1, 12) AS fingerprint FROM documents)
 SELECT fingerprint, count(*) AS n, min(doc_id) AS "first", max(doc_id) AS "last", count(DISTINCT source) AS n_source, min_by(source, doc_id) AS source FROM d GROUP BY fingerprint""")
 def fingerprint_groups(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter("text IS NOT NULL AND lang IS NOT NULL")
-    first_line = F.array(F.split_part("text", F.lit("\n"), F.lit(1)))
-    return A.summary(docs.select("doc_id", "source", T.fingerprint(F.col("lang"), first_line).alias("fingerprint")), ["fingerprint"], "doc_id", [], ["source"], ["source"])
+    docs = read(spark, d, "documents")
+    return A.summary(docs.select("doc_id", "source", T.fingerprint(F.col("lang"), F.array("text")).alias("fingerprint")), ["fingerprint"], "doc_id", [], ["source"], ["source"])
 
 
 @query(r"""WITH k AS (SELECT page_id, substring(trim(regexp_replace(regexp_replace(lower(url), '''(?:[^'']|'''')*''|\b\d+(?:\.\d+)?\b', '?', 'g'), '\s+', ' ', 'g')), 1, 500) AS key FROM pages)
@@ -352,13 +351,13 @@ def typical_duration(spark: SparkSession, d: str) -> DataFrame:
     return A.typical(read(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", "o_custkey", "typical")
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09 AND l_tax <= 0.01 GROUP BY ALL),
- s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
- r AS (SELECT x AS node, x AS reach FROM s UNION SELECT r.node, s.y FROM r JOIN s ON r.reach = s.x)
-SELECT node, min(reach) AS component FROM r GROUP BY node""")
+@query("""WITH n AS (SELECT r_regionkey AS region, r_regionkey * 8 AS node FROM region UNION ALL SELECT n_regionkey, n_nationkey * 8 + 1 FROM nation UNION ALL SELECT n_regionkey, s_suppkey * 8 + 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+ UNION ALL SELECT n_regionkey, c_custkey * 8 + 3 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, o_orderkey * 8 + 4 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT node, min(node) OVER (PARTITION BY region) AS component FROM n""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount >= 0.09 AND l_tax <= 0.01")
-    edges = li.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
+    """All orders with their customers, these and all suppliers with their nations, nations with regions: a component for each region, with hubs."""
+    of = lambda name, a, ka, b, kb: read(spark, d, name).select((F.col(a) * 8 + ka).cast("long").alias("a"), (F.col(b) * 8 + kb).cast("long").alias("b"))
+    edges = of("nation", "n_nationkey", 1, "n_regionkey", 0).unionByName(of("supplier", "s_suppkey", 2, "s_nationkey", 1)).unionByName(of("customer", "c_custkey", 3, "c_nationkey", 1)).unionByName(of("orders", "o_orderkey", 4, "o_custkey", 3))
     return G.connected_components(edges, "a", "b")
 
 
@@ -370,9 +369,9 @@ def time_causes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT source, lang, count(*) AS k FROM documents WHERE lang IS NOT NULL GROUP BY ALL), m AS (SELECT source, max(k) AS k FROM c GROUP BY source)
-SELECT c.source, min(lang) AS lang FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source AND c.k = m.k WHERE c.source IS NOT NULL GROUP BY c.source""")
+SELECT c.source, min(lang) AS lang FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source AND c.k = m.k GROUP BY c.source""")
 def mode_per_group(spark: SparkSession, d: str) -> DataFrame:
-    return A.mode(read(spark, d, "documents").filter("source IS NOT NULL"), ["source"], "lang")
+    return A.mode(read(spark, d, "documents"), ["source"], "lang")
 
 
 @query("""WITH t AS (SELECT l_partkey % 50 AS stage, median(l_quantity) AS m FROM lineitem GROUP BY ALL), o AS (SELECT l_partkey % 50 AS stage, l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY ALL)
@@ -433,13 +432,12 @@ def cause_candidates(spark: SparkSession, d: str) -> DataFrame:
     return G.candidate_pairs(e, "event_id", ["users", "hours"], "event_type", "t", rules, 1000)
 
 
-@query("""WITH RECURSIVE n AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
- b AS (SELECT event_id, before FROM n WHERE before IS NOT NULL AND (k - 1) % 6 <> 0), r AS (SELECT event_id, before AS root, 1 AS steps FROM b UNION ALL SELECT r.event_id, b.before, r.steps + 1 FROM r JOIN b ON r.root = b.event_id)
-SELECT event_id, max_by(root, steps) AS root, max(steps) AS steps FROM r GROUP BY event_id""")
+@query("""SELECT event_id, coalesce(lag(event_id, 8) OVER w, first_value(event_id) OVER w) AS root, least(row_number() OVER w - 1, 8) AS steps FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)
+QUALIFY row_number() OVER w > 1""")
 def root_causes(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's cause is its user's last one of its type; roots are up to eight causes back."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = read(spark, d, "events").withColumns({"before": F.lag("event_id").over(w), "k": F.row_number().over(w)})
-    best = e.filter("before IS NOT NULL AND (k - 1) % 6 <> 0").select("event_id", "before")
+    best = read(spark, d, "events").withColumn("before", F.lag("event_id").over(w)).filter("before IS NOT NULL").select("event_id", "before")
     return G.follow_roots(best, "event_id", "before", depth=8)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagelens.operators import aggregates as A
 from stagelens.operators import joins as J
+from stagelens.sources.logs import order_key
 
 ACCUMULABLES = "Accumulables array<struct<ID: long, Name: string, Update: string, Value: string, Internal: boolean>>"
 STAGE = f"struct<`Stage ID`: long, `Stage Attempt ID`: long, `Stage Name`: string, `Number of Tasks`: long, `Submission Time`: long, `Completion Time`: long, `Failure Reason`: string, `Parent IDs`: array<long>, `RDD Info`: array<struct<Name: string, Scope: string>>, {ACCUMULABLES.replace(' array', ': array', 1)}>"
@@ -15,16 +17,31 @@ EVENT = f"""Event string, Timestamp long, `Spark Version` string, `App Name` str
 `Task Info` struct<`Task ID`: long, Index: long, Attempt: long, `Launch Time`: long, `Finish Time`: long, `Executor ID`: string, Host: string, Speculative: boolean, {ACCUMULABLES.replace(' array', ': array', 1)}>,
 `Task Metrics` struct<`Executor Run Time`: long, `Executor CPU Time`: long, `JVM GC Time`: long, `Peak Execution Memory`: long, `Memory Bytes Spilled`: long, `Disk Bytes Spilled`: long, `Input Metrics`: struct<`Bytes Read`: long, `Records Read`: long>, `Output Metrics`: struct<`Bytes Written`: long, `Records Written`: long>, `Shuffle Read Metrics`: struct<`Remote Bytes Read`: long, `Local Bytes Read`: long, `Fetch Wait Time`: long, `Total Records Read`: long>, `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: long, `Shuffle Write Time`: long, `Shuffle Records Written`: long>>,
 `Stage Info` {STAGE}, `Job ID` long, `Submission Time` long, `Completion Time` long, `Stage IDs` array<long>, Properties map<string, string>, `Job Result` struct<Result: string, Exception: struct<Message: string>>,
-`Executor ID` string, `Executor Info` struct<Host: string, `Total Cores`: long>, `Removed Reason` string, executionId long, rootExecutionId long, description string, time long, errorMessage string, physicalPlanDescription string, `Spark Properties` map<string, string>"""
-WANTED = ("TaskEnd", "StageCompleted", "StageSubmitted", "JobStart", "JobEnd", "ExecutorAdded", "ExecutorRemoved", "SQLExecutionStart", "SQLExecutionEnd", "SQLAdaptiveExecutionUpdate", "ApplicationStart", "ApplicationEnd", "EnvironmentUpdate", "LogStart")
+`Executor ID` string, `Executor Info` struct<Host: string, `Total Cores`: long>, `Removed Reason` string, executionId long, rootExecutionId long, description string, time long, errorMessage string, physicalPlanDescription string, `Spark Properties` map<string, string>,
+accumUpdates array<array<long>>, `Block Manager ID` struct<`Executor ID`: string, Host: string>, `Maximum Memory` long, `Resource Profile Id` long, `Executor Resource Requests` map<string, struct<Amount: long>>,
+jobTag string, operationId string, sessionId string, userId string, userName string, statementText string, eventTime long"""
+#: What happens to a Connect operation, in order.
+OPERATION_KINDS = ("Started", "Analyzed", "ReadyForExecution", "Finished", "Closed", "Failed", "Canceled")
+#: Names of the files of one application's log, which stand in a folder of its own.
+ROLLED = r"^(events_\d+_|eventlog)"
+WANTED = ("TaskEnd", "StageCompleted", "StageSubmitted", "JobStart", "JobEnd", "ExecutorAdded", "ExecutorRemoved", "SQLExecutionStart", "SQLExecutionEnd", "SQLAdaptiveExecutionUpdate", "ApplicationStart", "ApplicationEnd", "EnvironmentUpdate", "LogStart", "DriverAccumUpdates", "BlockManagerAdded", "BlockManagerRemoved", "ResourceProfileAdded",
+          *(f"ConnectOperation{k}" for k in OPERATION_KINDS), "ConnectSessionStarted", "ConnectSessionClosed")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """context (the file's folder or name), seq, kind (short event name, null if the line has none), line."""
+    """context, seq, kind (short event name, null if the line has none), line.
+
+    A log of several rolled files is one application, named by their folder; another file is one by its own name. seq orders a context's lines: by file
+    (rolled ones before the active one, numbers by value), block and place in it.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path)
     name = F.nullif(F.regexp_extract("value", r'"Event"\s*:\s*"([^"]+)"', 1), F.lit(""))
-    context = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.(gz|zstd|lz4|inprogress)$", "")
-    return raw.select(context.alias("context"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace(F.element_at(F.split(name, r"\."), -1), "^SparkListener", "").alias("kind"), F.col("value").alias("line"))
+    file = F.col("_metadata.file_path")
+    parts = F.split(file, "/")
+    own = F.regexp_replace(F.element_at(parts, -1), r"\.(gz|zstd|lz4|inprogress)$", "")
+    folder = F.regexp_replace(F.element_at(parts, -2), r"^eventlog_v\d+_", "")
+    seq = F.struct(order_key(file).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return raw.select(F.when(own.rlike(ROLLED), folder).otherwise(own).alias("context"), seq.alias("seq"), F.regexp_replace(F.element_at(F.split(name, r"\."), -1), "^SparkListener", "").alias("kind"), F.col("value").alias("line"))
 
 
 def event_counts(lines: DataFrame) -> DataFrame:
@@ -114,3 +131,34 @@ def metric_totals(task_rows: DataFrame) -> DataFrame:
     a = task_rows.filter(~F.col("failed")).select("context", "stage_id", F.explode("accumulables").alias("a"))
     n = F.col("a.Update").try_cast("long")
     return a.filter(n.isNotNull()).groupBy("context", "stage_id", F.col("a.ID").alias("accumulator"), F.col("a.Name").alias("name")).agg(F.sum(n).alias("total"), F.max(n).alias("most"), F.count("*").alias("tasks"))
+
+
+def driver_metrics(ev: DataFrame) -> DataFrame:
+    """context, sql_execution_id, accumulator, total: what the driver added to a query's metrics (the last value of each)."""
+    u = ev.filter("kind = 'DriverAccumUpdates'").select("context", "seq", F.col("e.executionId").alias("sql_execution_id"), F.explode("e.accumUpdates").alias("u"))
+    u = u.select("context", "seq", "sql_execution_id", F.get("u", F.lit(0)).alias("accumulator"), F.get("u", F.lit(1)).alias("total"))
+    return J.latest(u, ["context", "sql_execution_id", "accumulator"], "seq", ["total"])
+
+
+def block_managers(ev: DataFrame) -> DataFrame:
+    """context, executor_id: host, storage memory and when it came and went."""
+    b = ev.filter("kind IN ('BlockManagerAdded', 'BlockManagerRemoved')").select("context", "kind", F.col("e.`Block Manager ID`.`Executor ID`").alias("executor_id"), F.col("e.`Block Manager ID`.Host").alias("host"), F.col("e.`Maximum Memory`").alias("memory"), _time("e.Timestamp").alias("at"))
+    when = lambda k: F.min(F.when(F.col("kind") == f"BlockManager{k}", F.col("at")))
+    return b.groupBy("context", "executor_id").agg(F.max("host").alias("host"), F.max("memory").alias("storage_memory"), when("Added").alias("added_time"), when("Removed").alias("removed_time"))
+
+
+def resource_profiles(ev: DataFrame) -> DataFrame:
+    """context, profile, resource, amount."""
+    p = ev.filter("kind = 'ResourceProfileAdded'").select("context", F.col("e.`Resource Profile Id`").alias("profile"), F.explode("e.`Executor Resource Requests`").alias("resource", "request"))
+    return p.select("context", "profile", "resource", F.col("request.Amount").alias("amount"))
+
+
+def operations(ev: DataFrame) -> DataFrame:
+    """One row a Connect operation: its statement, session and user, the times of its events, and status: failed before canceled before finished before open."""
+    c = ev.filter(F.col("kind").startswith("ConnectOperation"))
+    c = c.select("context", "seq", F.col("e.operationId").alias("operation_id"), F.regexp_replace("kind", "^ConnectOperation", "").alias("event"), F.col("e.jobTag").alias("job_tag"), F.col("e.sessionId").alias("session_id"), F.coalesce("e.userName", "e.userId").alias("user"), F.col("e.statementText").alias("statement"), F.col("e.errorMessage").alias("error"), F.coalesce("e.eventTime", "e.Timestamp").alias("at"))
+    out = A.pivot_first(c, ["context", "operation_id"], "seq", ["job_tag", "session_id", "user", "statement", "error"], "event", "at", OPERATION_KINDS)
+    s = ev.filter("kind = 'ConnectSessionStarted'").groupBy("context", F.col("e.sessionId").alias("session_id")).agg(F.max(F.coalesce("e.userName", "e.userId")).alias("__user"))
+    out = out.join(s, ["context", "session_id"], "left").withColumn("user", F.coalesce("user", "__user")).drop("__user")
+    has = lambda k: F.col(f"{k}_time").isNotNull()
+    return out.withColumn("status", F.when(has("Failed"), "failed").when(has("Canceled"), "canceled").when(has("Finished") | has("Closed"), "finished").otherwise("open"))

@@ -1,6 +1,7 @@
 """Text logs as tables: files, lines with a global sequence, parsed prefixes, signals, exceptions, collector pauses.
 
-Lines keep their order in a file by the block they come from and their place in it; a file's lines are one window, and files are numbered by their counts.
+Lines keep their order in a file by the block they come from and their place in it: each block is a window of its own, and blocks and files are numbered by
+their counts, so a large file is many tasks' work.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def order_key(path: Column) -> Column:
     """Sorts files of a folder as written: by family, rolled ones before the active one, runs of digits by value."""
     name = F.element_at(F.split(path, "/"), -1)
     rolled = r"[-._]+\d[\d\-_T]*(?=\.|$)"
-    family = F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), rf"[-._]+active(?=\.|$)|{rolled}", "")
+    family = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"^events_\d+_", "events_"), rf"[-._]+active(?=\.|$)|{rolled}", "")
     digits = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda d: F.lpad(d, 20, "0"))
     return F.struct(F.regexp_replace(path, r"/[^/]*$", "").alias("folder"), family.alias("family"), (~name.rlike(rolled)).alias("active"), F.array_join(digits, ".").alias("digits"), name.alias("name"))
 
@@ -41,11 +42,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """file_path, line_no (from 1), seq (over all files in order) and line. Plain and .gz files; a carriage return at the end goes; a corrupt file ends early."""
     raw = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", r"\r$", "").alias("line"))
-    numbered = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("file_path").orderBy("__block", "__id"))).drop("__block", "__id")
-    files = numbered.groupBy("file_path").agg(F.count("*").alias("n"))
-    order = Window.orderBy(order_key(F.col("file_path")))  # one row a file
-    starts = files.withColumn("__start", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return numbered.join(starts, "file_path").withColumn("seq", F.col("__start") + F.col("line_no")).drop("__start")
+    numbered = raw.withColumn("__no", F.row_number().over(Window.partitionBy("file_path", "__block").orderBy("__id"))).drop("__id")
+    blocks = numbered.groupBy("file_path", "__block").agg(F.count("*").alias("n"))
+    in_file = Window.partitionBy("file_path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(order_key(F.col("file_path")), "__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = blocks.select("file_path", "__block", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("__before"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__start"))
+    out = numbered.join(starts, ["file_path", "__block"])
+    return out.select("file_path", (F.col("__before") + F.col("__no")).alias("line_no"), (F.col("__start") + F.col("__no")).alias("seq"), "line")
 
 
 def log_lines(raw: DataFrame) -> DataFrame:

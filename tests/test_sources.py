@@ -165,3 +165,44 @@ def test_more_views(spark, event_dir):
     shared = spark.createDataFrame([("a", 5), (None, 6), ("b", 7)], "run_key string, at long")
     spans = spark.createDataFrame([("a", "ok", 1, 9), ("b", "ok", 20, 30)], "run_key string, status string, start_time long, end_time long")
     assert sorted(r["at"] for r in V.of_run(shared, spans, "a", "at").collect()) == [5, 6]
+
+
+def test_rolled_event_log(spark, tmp_path):
+    """Two files of one log are one application, read in the order in which they were written; Connect, driver and profile events have tables."""
+    import json
+
+    d = tmp_path / "eventlog_v2_app-1"
+    d.mkdir()
+    x = lambda kind, **more: json.dumps({"Event": f"SparkListener{kind}", **more})
+    plan = lambda n: json.dumps({"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLAdaptiveExecutionUpdate", "executionId": 1, "physicalPlanDescription": f"plan {n}"})
+    first = [
+        x("JobStart", **{"Job ID": 7, "Submission Time": 1000, "Stage IDs": [1]}),
+        json.dumps({"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": 1, "rootExecutionId": 1, "description": "d", "time": 900, "physicalPlanDescription": "first"}), plan(2),
+        json.dumps({"Event": "org.apache.spark.sql.execution.ui.SparkListenerDriverAccumUpdates", "executionId": 1, "accumUpdates": [[5, 70]]}),
+        x("BlockManagerAdded", **{"Block Manager ID": {"Executor ID": "3", "Host": "h"}, "Maximum Memory": 99, "Timestamp": 5}), x("ResourceProfileAdded", **{"Resource Profile Id": 0, "Executor Resource Requests": {"cores": {"Amount": 4}}}),
+        x("ConnectSessionStarted", sessionId="s", userName="ann"), x("ConnectOperationStarted", operationId="o", sessionId="s", statementText="SELECT 1", eventTime=10, jobTag="t"),
+    ]
+    (d / "events_2_app-1").write_text("\n".join(first) + "\n")
+    (d / "events_10_app-1").write_text("\n".join([plan(10), x("JobEnd", **{"Job ID": 7, "Completion Time": 2000, "Job Result": {"Result": "JobSucceeded"}}), x("ConnectOperationFailed", operationId="o", sessionId="s", eventTime=30, errorMessage="no")]) + "\n")
+    (tmp_path / "other-app.inprogress").write_text(x("JobStart", **{"Job ID": 1, "Submission Time": 5, "Stage IDs": []}) + "\n")
+    ev = eventlog.events(eventlog.lines(spark, str(tmp_path))).persist()
+    assert sorted(tuple(r) for r in eventlog.jobs(ev).select("context", "job_id", "status").collect()) == [("app-1", 7, "succeeded"), ("other-app", 1, "open")]
+    assert eventlog.queries(ev).first()["final_plan"] == "plan 10"
+    assert [tuple(r) for r in eventlog.driver_metrics(ev).collect()] == [("app-1", 1, 5, 70)]
+    assert tuple(eventlog.block_managers(ev).select("executor_id", "storage_memory").first()) == ("3", 99)
+    assert tuple(eventlog.resource_profiles(ev).first()) == ("app-1", 0, "cores", 4)
+    o = eventlog.operations(ev).first()
+    assert (o["status"], o["user"], o["statement"], o["Started_time"], o["Failed_time"], o["job_tag"]) == ("failed", "ann", "SELECT 1", 10, 30, "t")
+
+
+def test_large_file_blocks(spark, tmp_path):
+    """A file of several blocks is numbered through."""
+    (tmp_path / "driver").mkdir()
+    (tmp_path / "driver" / "log4j-active.log").write_text("".join(f"line {i:06d} {'x' * 60}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = logs.lines(spark, str(tmp_path)).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["seq"], r["line_no"], r["line"][5:11]) for r in rows] == [(i + 1, i + 1, f"{i:06d}") for i in range(4000)]
