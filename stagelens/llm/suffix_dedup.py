@@ -5,10 +5,10 @@ cover are removed.
 
 Strings are sorted where they can be equal, not all in one place. Each string has an anchor: the run of GRAM bytes in it with the least hash,
 the leftmost of these. Equal strings have equal anchors at equal offsets, and neighbouring strings mostly share theirs; a maximal stretch of
-starts with one anchor is an item, some 35 starts. Items are grouped by their anchor's hash. An item equal to an earlier one is repeated as a whole.
-Different items of one group may still share strings: their bytes are fetched and the suffixes at their starts are sorted, deep-shallow (Manzini and
-Ferragina, 2004): multikey quicksort to SHALLOW bytes, then blind tries for the groups that still agree. Suffixes that
-agree in LENGTH bytes are one string; all but the first are repeated.
+starts with one anchor is an item, some 35 starts. Items are grouped by their anchor's hash. An item equal to an earlier one (in two 64-bit hashes) is a copy
+of its suffixes, and repeated as a whole. The different items of a group may still share strings: their bytes are fetched and the suffixes at their
+starts are sorted, deep-shallow (Manzini and Ferragina, 2004): multikey quicksort to SHALLOW bytes, all groups at once, then a blind trie orders each
+group that still agrees. Neighbours in that order which agree in LENGTH bytes are one string; all but the first in place are repeated.
 
 Anchors travel in compressed blocks, one for each task and bucket of hashes; items that a task has twice are settled in it.
 """
@@ -38,7 +38,7 @@ BUCKETS_PER_PARTITION = 4
 NULL_ID = -(1 << 63)
 
 STEP = [U(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(7)]
-ITEM = [("key", "<u8"), ("item", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("more", "<u1"), ("lead", "<u1")]
+ITEM = [("key", "<u8"), ("item", "<u8"), ("item2", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("more", "<u1"), ("lead", "<u1")]
 SPAN = "doc long, row long, start int, end int, key long, lead int"
 
 
@@ -56,9 +56,19 @@ def long_hash(g: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     return mix(mix(mix(g[6][at]) + g[5][at + 64]) * STEP[0] + g[2][at + 96])
 
 
+def second_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another hash of the bytes between start and end (8 or more, and 8 * 21 at most), read as words of eight that may overlap at the end."""
+    words = np.ndarray((len(data) - 7,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    h = (end - start).astype(U)
+    for i in range(-(-(2 * LENGTH - GRAM) // 8)):
+        h = (h ^ words[np.minimum(start + 8 * i, end - 8)]) * U(0x9FB21C651E98DF25)
+        h ^= h >> U(29)
+    return h
+
+
 def items_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The items of texts end to end: text's index, start in data, more (starts after the first), lead (bytes from start to anchor), key, item."""
-    empty = {c: np.zeros(0, np.int64) for c in ("text", "start", "more", "lead")} | {c: np.zeros(0, U) for c in ("key", "item")}
+    """The items of texts end to end: text's index, start in data, more (starts after the first), lead (bytes from start to anchor), key, item, item2."""
+    empty = {c: np.zeros(0, np.int64) for c in ("text", "start", "more", "lead")} | {c: np.zeros(0, U) for c in ("key", "item", "item2")}
     n = len(data) - LENGTH + 1
     if n <= 0:
         return empty
@@ -82,15 +92,15 @@ def items_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     start, a = at[first], a[first]
     lead = a - start
     item = mix(long_hash(g, start) * STEP[1] + long_hash(g, start + more) + ((more << 8) | lead).astype(U))
-    return {"text": text[first], "start": start, "more": more, "lead": lead, "key": h[a], "item": item}
+    return {"text": text[first], "start": start, "more": more, "lead": lead, "key": h[a], "item": item, "item2": second_hash(data, start, start + more + LENGTH)}
 
 
 def settle(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Items in order of key, item, place; and which are equal to an earlier one."""
+    """Items in order of key, item, place; and which are equal to the one before (what differs in item2 alone is left to the sort)."""
     order = np.lexsort((x["start"], x["row"], x["doc"], x["item"], x["key"]))
     x = {c: v[order] for c, v in x.items()}
     again = np.zeros(len(order), bool)
-    again[1:] = (x["key"][1:] == x["key"][:-1]) & (x["item"][1:] == x["item"][:-1])
+    again[1:] = np.all([x[c][1:] == x[c][:-1] for c in ("key", "item", "item2")], axis=0)
     return x, again
 
 
@@ -193,78 +203,122 @@ def settled(blocks: DataFrame, partitions: int) -> DataFrame:
 
 
 class BlindTrie:
-    """Strings of equal length, in a trie that keeps only branching depths; a search goes down unseen bytes and compares with one leaf.
-
-    insert returns the group of the string: the number of the first equal one.
-    """
+    """Strings of equal length, in a trie that keeps only branching depths; a search goes down unseen bytes and compares with one leaf."""
 
     def __init__(self) -> None:
         self.root: list | int | None = None
         self.strings: list[bytes] = []
+        self.members: list[list[int]] = []
 
-    def insert(self, s: bytes) -> int:
-        if self.root is None:
-            self.root = 0
-            self.strings.append(s)
-            return 0
+    def insert(self, s: bytes, member: int) -> None:
         node = self.root
-        while not isinstance(node, int):  # [depth, {byte: node}]
+        while isinstance(node, list):  # [depth, {byte: node}]
             child = node[1].get(s[node[0]])
             node = child if child is not None else next(iter(node[1].values()))
-        other = self.strings[node]
+        other = None if node is None else self.strings[node]
         if other == s:
-            return node
+            self.members[node].append(member)
+            return
+        new = len(self.strings)
+        self.strings.append(s)
+        self.members.append([member])
+        if other is None:
+            self.root = new
+            return
         lo, hi = 0, len(s)
         while hi - lo > 1:  # length of the common prefix
             mid = (lo + hi) // 2
             lo, hi = (mid, hi) if s[:mid] == other[:mid] else (lo, mid)
-        new = len(self.strings)
-        self.strings.append(s)
         parent, node, edge = None, self.root, None
-        while not isinstance(node, int) and node[0] < lo:
+        while isinstance(node, list) and node[0] < lo:
             parent, edge, node = node, s[node[0]], node[1][s[node[0]]]
-        if not isinstance(node, int) and node[0] == lo:
+        if isinstance(node, list) and node[0] == lo:
             node[1][s[lo]] = new
-            return new
+            return
         branch = [lo, {other[lo]: node, s[lo]: new}]
         if parent is None:
             self.root = branch
         else:
             parent[1][edge] = branch
-        return new
 
+    def ordered(self) -> list[list[int]]:
+        """The members of each different string, in the strings' order."""
+        out, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, list):
+                stack += [node[1][c] for c in sorted(node[1], reverse=True)]
+            else:
+                out.append(self.members[node])
+        return out
 
-def equal_strings(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Group numbers for the suffixes of text at `at`: equal if and only if group and the next LENGTH bytes are.
 
-    Multikey quicksort, eight bytes at a time, splits the groups to SHALLOW bytes; groups of two or more then go through a blind trie each.
+def multikey_quicksort(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of text at `at` in order of group and of their first SHALLOW bytes (a stable order), and where (from, to) several still agree.
+
+    All parts of all groups are split at once, about the median of three words of eight bytes each: into less, equal and greater. The equal go on
+    with the next word.
     """
-    out = group.astype(np.int64).copy()
-    live = np.arange(len(at))
-    for depth in range(0, SHALLOW, 8):
-        word = np.zeros(len(live), U)
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else np.zeros(1, np.int64)
+    lo, hi, depth = cuts[:-1], cuts[1:], np.zeros(len(cuts) - 1, np.int64)
+    deep = []
+    while True:
+        open_ = hi - lo > 1
+        done = open_ & (depth >= SHALLOW)
+        deep.append(np.stack([lo[done], hi[done]]))
+        open_ &= ~done
+        lo, hi, depth = lo[open_], hi[open_], depth[open_]
+        if not len(lo):
+            break
+        size = hi - lo
+        first = np.cumsum(size) - size
+        part = np.repeat(np.arange(len(lo)), size)
+        place = np.arange(len(part)) - (first - lo)[part]
+        suffix = order[place]
+        byte = at[suffix] + depth[part]
+        word = np.zeros(len(part), U)
         for j in range(8):
-            word = (word << U(8)) | text[at[live] + depth + j].astype(U)
-        order = np.lexsort((word, out[live]))
-        live, word = live[order], word[order]
-        g = out[live]
-        new = np.r_[True, (g[1:] != g[:-1]) | (word[1:] != word[:-1])] if len(live) else np.zeros(0, bool)
-        base = int(out.max(initial=0)) + 1
-        number = np.cumsum(new) - 1
-        out[live] = base + number
-        sizes = np.bincount(number) if len(live) else np.zeros(0, np.int64)
-        live = live[sizes[number] > 1] if len(live) else live
-    if len(live):
-        g = out[live]
-        base = int(out.max()) + 1
-        raw = text.tobytes()
-        cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            trie = BlindTrie()
-            for i in live[lo:hi].tolist():
-                s = int(at[i])
-                out[i] = base + trie.insert(raw[s + SHALLOW : s + LENGTH])
-            base += len(trie.strings)
+            word = (word << U(8)) | text[byte + j].astype(U)
+        a, b, c = word[first], word[first + size // 2], word[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        less, more = word < pivot, word > pivot
+        same = ~(less | more)
+        n = [np.add.reduceat(x, first, dtype=np.int64) for x in (less, same)]
+        shift = [np.zeros(len(lo), np.int64), n[0], n[0] + n[1]]
+        to = np.empty(len(part), np.int64)
+        for x, move in zip((less, same, more), shift, strict=True):
+            count = np.cumsum(x)
+            to[x] = (lo + move - (count[first] - x[first]))[part[x]] + count[x] - 1
+        order[to] = suffix
+        lo, hi = np.concatenate([lo + m for m in shift]), np.concatenate([lo + n[0], lo + n[0] + n[1], hi])
+        depth = np.concatenate([depth, depth + 8, depth])
+    return order, *np.concatenate(deep, axis=1)
+
+
+def sorted_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of text at `at` in order of group and of their next LENGTH bytes, equal ones in the given order; and which are equal to the one before."""
+    order, lo, hi = multikey_quicksort(text, at, group)
+    same = np.zeros(len(order), bool)
+    raw = text.tobytes() if len(lo) else b""
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+        trie = BlindTrie()
+        for i in order[a:b].tolist():
+            s = int(at[i])
+            trie.insert(raw[s + SHALLOW : s + LENGTH], i)
+        for members in trie.ordered():
+            order[a : a + len(members)] = members
+            same[a + 1 : a + len(members)] = True
+            a += len(members)
+    return order, same
+
+
+def equal_strings(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Numbers for the suffixes of text at `at`, in their order: equal if and only if group and the next LENGTH bytes are."""
+    order, same = sorted_suffixes(text, at, group)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~same) - 1
     return out
 
 
@@ -279,10 +333,9 @@ def repeated_in(x: dict[str, np.ndarray], text: np.ndarray) -> np.ndarray:
     item, off, delta = item[order], off[order], delta[order]
     key = x["key"][item]
     group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (delta[1:] != delta[:-1])]) - 1 if len(item) else item
-    same = equal_strings(text, x["at"][item] + off, group)
-    _, first = np.unique(same, return_index=True)  # rows are in order of place
-    again = np.ones(len(item), bool)
-    again[first] = False
+    order, same = sorted_suffixes(text, x["at"][item] + off, group)  # equal ones stay in order of place
+    again = np.zeros(len(item), bool)
+    again[order[same]] = True
     item, off = item[again], off[again]
     order = np.lexsort((off, item))
     item, off = item[order], off[order]
