@@ -23,10 +23,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+class Powers:
+    """STEP to the powers 0, 1, 2, ... and their inverses modulo 2^64, as far as a worker has needed them."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 16)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, base, U)])) for base in (STEP, U(pow(int(STEP), -1, 1 << 64))))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def spread(cuts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places, how many of the ascending cuts are at or before it."""
+    return np.repeat(np.arange(len(cuts) + 1), np.diff(np.concatenate([[0], cuts, [n]])))
 
 
 def word_mask(data: np.ndarray) -> np.ndarray:
@@ -41,24 +56,36 @@ def word_mask(data: np.ndarray) -> np.ndarray:
     return ok
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes in lower case and where each text starts -> tokens' (hash, text's index, start, end)."""
-    ok = word_mask(data)
+def runs(ok: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked bytes within texts: start, end, text's index."""
     inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
+    inner = inner[(inner > 0) & (inner < len(ok))]
     before = np.concatenate([[False], ok[:-1]]) if len(ok) else ok.copy()
     before[inner] = False
     start = np.flatnonzero(ok & ~before)
     after = np.concatenate([ok[1:], [False]]) if len(ok) else ok.copy()
     after[inner - 1] = False
     end = np.flatnonzero(ok & ~after) + 1
-    if not len(start):
-        return np.zeros(0, U), np.zeros(0, np.int64), start, end
-    length = end - start
-    first = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
-    h = np.add.reduceat(BYTE[data[ok]] * powers(STEP, int(length.max()))[place], first)
-    return mix(h + length.astype(U)), np.searchsorted(offsets, start, side="right") - 1, start, end
+    return start, end, spread(np.searchsorted(start, offsets[1:-1]), len(start))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+    """A word's hash is a difference of running sums of its bytes' values, each times a power of its place."""
+    up, down = POWERS(len(data))
+    sums = table[data]
+    sums *= up
+    np.cumsum(sums, out=sums)
+    h = sums[end - 1]
+    later = start > 0
+    h[later] -= sums[start[later] - 1]
+    h *= down[start]
+    return mix(h + (end - start).astype(U))
+
+
+def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case and where each text starts -> tokens' (hash, text's index, start, end)."""
+    start, end, doc = runs(word_mask(data), offsets)
+    return word_hashes(data, start, end) if len(start) else np.zeros(0, U), doc, start, end
 
 
 def grams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,3 +109,5 @@ def lowered(column: pa.Array, at_once: int = 1 << 21) -> Iterator[tuple[int, np.
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + at_once, side="right")) - 1)
         yield row, *utf8(low.slice(row, stop - row))
         row = stop
+    del low
+    pa.default_memory_pool().release_unused()
