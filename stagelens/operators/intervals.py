@@ -161,3 +161,10 @@ def carried_forward(df: DataFrame, keys: Sequence[str], bucket: str, order: str,
     w = Window.partitionBy(*keys).orderBy(bucket)
     end = F.coalesce(F.lead(bucket).over(w) - 1, F.greatest(F.col(until), F.col(bucket)))
     return last.withColumn("__end", end).select(*keys, F.explode(F.sequence(F.col(bucket), F.col("__end"))).alias(bucket), value)
+
+
+def underused(up: DataFrame, used: DataFrame, keys: Sequence[str], bucket: str, share: float, at_least: int) -> DataFrame:
+    """keys, start, end, n: runs of at least so many buckets in a row that are up (rows of up, with capacity `up`) and use less than the share of it. Buckets that are not up end a run."""
+    quiet = up.join(used, [*keys, bucket], "left").filter(F.coalesce("used", F.lit(0)) < F.lit(share) * F.col("up"))
+    spans = quiet.select(*keys, F.col(bucket).alias("start"), (F.col(bucket) + 1).alias("end"))
+    return merge_intervals(spans, keys, "start", "end").filter(F.col("n") >= at_least)
