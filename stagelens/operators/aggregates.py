@@ -41,12 +41,29 @@ def skew(df: DataFrame, keys: Sequence[str], value: str, how: str = "lower") ->
     return d.select(*keys, "n", "p50", "max", F.round(F.col("max") / F.greatest("p50", F.lit(SKEW_FLOOR)), 1).alias("skew"))
 
 
-def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float = 0.5) -> DataFrame:
-    """keys, the smallest value whose running weight reaches q of the whole. Equal values are summed first."""
+def running_weights(df: DataFrame, keys: Sequence[str], value: str, weight: str, splits: int | None = None) -> DataFrame:
+    """keys, value, __run (the weight up to the value) and __all; equal values are summed first.
+
+    splits: for keys with too many values for one task (or none at all), values are cut at so many approximate quantiles into parts of about equal size, whose
+    totals are summed first; the result is as exact as without.
+    """
     per = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
+    if splits is None:
+        w = Window.partitionBy(*keys)
+        return per.withColumn("__run", F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__w").over(w))
+    per, keys = per.withColumn("__one", F.lit(0)), [*keys, "__one"]
+    cuts = per.groupBy(*keys).agg(F.percentile_approx(value, [i / splits for i in range(1, splits)]).alias("__cuts"))
+    per = per.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    totals = per.groupBy(*keys, "__part").agg(F.sum("__w").alias("__t"))
     w = Window.partitionBy(*keys)
-    run = F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumn("__run", run).withColumn("__all", F.sum("__w").over(w))
+    totals = totals.withColumn("__all", F.sum("__t").over(w)).withColumn("__before", F.sum("__t").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")).drop("__t")
+    inside = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return per.join(totals, [*keys, "__part"]).withColumn("__run", F.sum("__w").over(inside) + F.col("__before")).drop("__part", "__before", "__one")
+
+
+def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float = 0.5, splits: int | None = None) -> DataFrame:
+    """keys, the smallest value whose running weight reaches q of the whole. Equal values are summed first; splits as in running_weights."""
+    per = running_weights(df, keys, value, weight, splits)
     return per.filter(F.col("__run") >= q * F.col("__all")).groupBy(*keys).agg(F.min(value).alias(value))
 
 
@@ -93,10 +110,21 @@ def facets(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
     return df.select(value.alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("value").asc_nulls_last()).limit(limit)
 
 
-def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each column: column, n, n_null, min, p50, p90, max, sum. All from one scan."""
-    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.min(c).cast("double").alias("min"), quantile(c, 0.5).cast("double").alias("p50"), quantile(c, 0.9).cast("double").alias("p90"), F.max(c).cast("double").alias("max"), F.sum(c).cast("double").alias("sum")) for c in columns]
-    return df.agg(F.array(*aggs).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+def column_stats(df: DataFrame, columns: Sequence[str], splits: int = 64) -> DataFrame:
+    """A row for each numeric column: column, n, n_null, min, p50, p90, max, sum.
+
+    One scan; values are counted before they move, and no task sees more than a part of a column's different values.
+    """
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    counts = each.groupBy("column", "v").agg(F.count("*").alias("n"))
+    present = F.col("v").isNotNull()
+    sums = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("n_null"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("n")).alias("sum"),
+    )
+    run = running_weights(counts.filter(present), ["column"], "v", "n", splits)
+    at = lambda q: F.min(F.when(F.col("__run") >= q * F.col("__all"), F.col("v")))
+    return sums.join(run.groupBy("column").agg(at(0.5).alias("p50"), at(0.9).alias("p90")), "column", "left")
 
 
 def typical(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, previous: int = 10, at_least: int = 2) -> DataFrame:

@@ -10,20 +10,35 @@ from pyspark.sql import functions as F
 from .intervals import overlap_join
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, take: Sequence[str], forward: bool = False, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, take: Sequence[str], forward: bool = False, strict: bool = False, width: int | None = None) -> DataFrame:
     """left with the columns `take` of the last right row of its keys at or before left_time (forward: the first at or after); null if there is none.
 
     One shuffle by the keys: the sides are stacked and the right values carried along the order of time. strict: not at the same instant. Of right rows at
-    one instant, the greatest by the taken columns counts (forward: the least).
+    one instant, the greatest by the taken columns counts (forward: the least). width: for keys with too many rows for one task, time is cut into buckets of
+    this width; each bucket's last right row is carried over the buckets first (one row a bucket), then each bucket is a window of its own.
     """
     carry = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take]
     stacked = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0 if strict != forward else 1).alias("__side"), F.struct(*left.columns).alias("__row"), *carry, F.lit(None).cast("boolean").alias("__r"))
     other = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1 if strict != forward else 0).alias("__side"), F.lit(None).cast(stacked.schema["__row"].dataType).alias("__row"), *take, F.lit(True).alias("__r"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", *take)
+    both, parts = stacked.unionByName(other), list(keys)
+    if width is not None:
+        both, parts = both.withColumn("__b", F.floor(F.col("__t") / width)), [*keys, "__b"]
+    w = Window.partitionBy(*parts).orderBy("__t", "__side", *take)
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
     pick = F.first if forward else F.last
-    found = pick(F.when(F.col("__r"), F.struct(*take)), ignorenulls=True).over(w)
-    return stacked.unionByName(other).withColumn("__found", found).filter("__row IS NOT NULL").select("__row.*", *[F.col(f"__found.{c}").alias(f"asof_{c}" if c in left.columns else c) for c in take])
+    found = both.withColumn("__found", pick(F.when(F.col("__r"), F.struct(*take)), ignorenulls=True).over(w)).filter("__row IS NOT NULL")
+    if width is not None:
+        edge = (F.min if forward else F.max)(F.when(F.col("__r"), F.struct("__t", *take)))
+        edges = both.groupBy(*parts).agg(edge.alias("__edge"))
+        over = Window.partitionBy(*keys).orderBy("__b")
+        over = over.rowsBetween(1, Window.unboundedFollowing) if forward else over.rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.withColumn("__edge", pick("__edge", ignorenulls=True).over(over))
+        same = F.lit(True)
+        for k in parts:
+            same = same & found[k].eqNullSafe(edges[k])
+        rest = F.struct(*[F.col(f"__edge.{c}").alias(c) for c in take])
+        found = found.join(edges, same, "left").withColumn("__found", F.coalesce("__found", F.when(F.col("__edge").isNotNull(), rest)))
+    return found.select("__row.*", *[F.col(f"__found.{c}").alias(f"asof_{c}" if c in left.columns else c) for c in take])
 
 
 def running_at(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, failed: str, slack: int, width: int) -> DataFrame:

@@ -156,7 +156,7 @@ def capacity_sweep(spark: SparkSession, d: str) -> DataFrame:
  r AS (SELECT level, sum(w) OVER (ORDER BY level) AS run, sum(w) OVER () AS total FROM per) SELECT min(level) AS demand FROM r WHERE run >= 0.9 * total""")
 def time_weighted_quantile(spark: SparkSession, d: str) -> DataFrame:
     sweep = I.capacity_sweep(spans(spark, d), [], "start_ms", "end_ms", 6, width=DAY).withColumn("dt", F.col("until") - F.col("t"))
-    return A.weighted_quantile(sweep, [], "demand", "dt", 0.9)
+    return A.weighted_quantile(sweep, [], "demand", "dt", 0.9, splits=16)
 
 
 @query(f"""WITH {SPANS}, b AS (SELECT *, unnest(range(start_ms // {HOUR}, (CASE WHEN end_ms > start_ms THEN end_ms - 1 ELSE end_ms END) // {HOUR} + 1)) AS bucket,
@@ -211,7 +211,7 @@ SELECT p.event_id, p.user_id, p.t, v.view_id FROM p ASOF LEFT JOIN v ON p.user_i
 def asof_last_writer(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_id", "user_id", "event_type", millis("ts").alias("t"))
     views = e.filter("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", F.col("t").alias("vt"))
-    return J.asof_join(e.filter("event_type = 'purchase'").drop("event_type"), views, ["user_id"], "t", "vt", ["view_id"])
+    return J.asof_join(e.filter("event_type = 'purchase'").drop("event_type"), views, ["user_id"], "t", "vt", ["view_id"], width=DAY)
 
 
 @query("""WITH p AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'error'), v AS (SELECT event_id AS next_id, user_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'click')
@@ -219,7 +219,7 @@ SELECT p.event_id, p.user_id, p.t, v.next_id FROM p ASOF LEFT JOIN v ON p.user_i
 def asof_next_start(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_id", "user_id", "event_type", millis("ts").alias("t"))
     clicks = e.filter("event_type = 'click'").select(F.col("event_id").alias("next_id"), "user_id", F.col("t").alias("vt"))
-    return J.asof_join(e.filter("event_type = 'error'").drop("event_type"), clicks, ["user_id"], "t", "vt", ["next_id"], forward=True, strict=True)
+    return J.asof_join(e.filter("event_type = 'error'").drop("event_type"), clicks, ["user_id"], "t", "vt", ["next_id"], forward=True, strict=True, width=DAY)
 
 
 @query(f"""WITH {SPANS}, p AS (SELECT event_id AS error_id, user_id, start_ms AS at FROM spans WHERE event_type = 'error'), s AS (SELECT event_id, user_id, start_ms, end_ms, event_type = 'purchase' AS bad FROM spans WHERE event_type <> 'error'),
