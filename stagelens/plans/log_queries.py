@@ -62,7 +62,7 @@ def failure_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, CAST(o_custkey AS BIGINT) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes, CAST(o_custkey % 24 AS BIGINT) * 3600000 + CAST(o_orderkey % 60 AS BIGINT) * 60000 AS ms,
- CASE WHEN o_custkey < 1024 THEN concat(o_custkey, ' B') ELSE printf('%.1f KiB', o_custkey / 1024.0) END AS size_text FROM orders""")
+ CASE WHEN o_custkey < 1024 THEN concat(o_custkey, ' B') ELSE printf('%.1f KiB', floor(o_custkey / 1024.0 * 10 + 0.5) / 10) END AS size_text FROM orders""")
 def sizes_and_durations(spark: SparkSession, d: str) -> DataFrame:
     """Sizes and durations written out and read back."""
     o = read(spark, d, "orders")
