@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a local one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which all executors see; a local one only where that is unset and the executors are threads (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/llm-{uuid.uuid4().hex}"
@@ -96,6 +100,16 @@ def bit_table(values: DataFrame) -> Packed:
     return Packed(out)
 
 
+@contextmanager
+def sent(df: DataFrame, value: object) -> Iterator[Broadcast]:
+    """A broadcast of value that is gone from all executors and their workers afterwards; what reads it must be written by then."""
+    out = df.sparkSession.sparkContext.broadcast(value)
+    try:
+        yield out
+    finally:
+        out.destroy()
+
+
 def in_bits(table: Packed, values: np.ndarray) -> np.ndarray:
     """Which values (long) may be in the set of a bit_table."""
     slot = mixed(values.view(np.uint64)) % np.uint64(TABLE_BITS)

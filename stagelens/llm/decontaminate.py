@@ -9,19 +9,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bit_table, in_bits, materialize, sent, table
 from .tokens import grams, lowered, tokenize
 
 MIN_MATCH = 4
 THRESHOLD = 0.5
-#: Up to so many distinct seeds of the benchmark are sent to all tasks as a bit table; with more, every seed of the documents is joined.
-SENT_SEEDS = 4_000_000
 #: Candidate pairs up to this many (ids only) are sent to all tasks; more are joined by shuffle.
 SENT_PAIRS = 200_000
 
@@ -86,18 +86,19 @@ def greedy_tiles(item: list, doc: list, min_match: int = MIN_MATCH) -> list[tupl
         if longest > 2 * s:
             s = longest
             continue
-        queue = sorted(found, key=lambda m: (-m[0], m[1], m[2]))
+        queue = [(-n, at, to) for n, at, to in found]
+        heapify(queue)
         while queue:
-            n, at, to = queue.pop(0)
-            clear = [not free_p[at + i] and not free_t[to + i] for i in range(n)]
+            n, at, to = heappop(queue)
+            clear = [not free_p[at + i] and not free_t[to + i] for i in range(-n)]
             if all(clear):
-                tiles.append((at, to, n))
-                for i in range(n):
+                tiles.append((at, to, -n))
+                for i in range(-n):
                     free_p[at + i] = free_t[to + i] = True
                 continue
-            rest = [(b - a, at + a, to + a) for a, b in _free_runs([not c for c in clear]) if b - a >= s]
-            if rest:
-                queue = sorted(queue + rest, key=lambda m: (-m[0], m[1], m[2]))
+            for a, b in _free_runs([not c for c in clear]):
+                if b - a >= s:
+                    heappush(queue, (a - b, at + a, to + a))
         if s <= min_match:
             break
         s = max(min_match, s // 2)
@@ -123,20 +124,18 @@ def benchmark_seeds(items: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
     return items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, n int, k int, pos int, seed long")
 
 
-def shared_seeds(docs: DataFrame, lengths: list[int], bits: np.ndarray | None) -> DataFrame:
-    """doc_id, text -> doc_id, k, seed: the document's distinct seeds; with a bit table, only those that it may hold."""
+def shared_seeds(docs: DataFrame, lengths: list[int], sent: Broadcast) -> DataFrame:
+    """doc_id, text -> doc_id, k, seed: the document's distinct seeds that the bit table may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, data, offsets in lowered(b.column(1)):
+            for row, data, offsets in lowered(b.column(1), 1 << 20):
                 h, doc, _, _ = tokenize(data, offsets)
                 ids = b.column(0).slice(row, len(offsets) - 1)
                 for k in lengths:
                     g, at = grams(h, doc, k)
-                    if bits is not None:
-                        slot = g % np.uint64(len(bits) * 8)
-                        held = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                        g, at = g[held], at[held]
+                    held = in_bits(sent.value, g.view(np.int64))
+                    g, at = g[held], at[held]
                     pair = np.unique(np.rec.fromarrays([doc[at], g], names="d,g"))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.ascontiguousarray(pair.d))), pa.array(np.full(len(pair), k, np.int32)), pa.array(np.ascontiguousarray(pair.g).view(np.int64))], ["doc_id", "k", "seed"])
 
@@ -153,19 +152,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     items = items.select(F.col("item_id").cast("long"), "text").dropDuplicates()
     seeds = materialize(benchmark_seeds(items, min_match))
     lengths = sorted(r["k"] for r in seeds.select("k").distinct().collect())
-    n_seeds = seeds.count()
-    bits = None
-    if n_seeds <= SENT_SEEDS:
-        bits = np.zeros(max(1 << 18, 1 << int(n_seeds * 8).bit_length()), np.uint8)  # 64 bits or more for each seed
-        slot = np.array(seeds.select("seed").toPandas()["seed"], dtype=np.int64).view(np.uint64) % np.uint64(len(bits) * 8)
-        np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
-    hits = shared_seeds(docs, lengths, bits).join(seeds, ["k", "seed"])
-    spans = hits.groupBy("doc_id", "item_id", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
     covered = F.aggregate(
         F.col("pos"), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["sum"] + x + F.col("k") - F.greatest(x, a["end"])).alias("sum"), (x + F.col("k")).alias("end")),
     )["sum"]
-    pairs = materialize(spans.filter(covered >= F.lit(threshold) * F.col("n")).select("doc_id", "item_id").distinct())
+    with sent(docs, bit_table(seeds.select("seed"))) as bits:
+        hits = shared_seeds(docs, lengths, bits).join(seeds, ["k", "seed"])
+        spans = hits.groupBy("doc_id", "item_id", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+        pairs = materialize(spans.filter(covered >= F.lit(threshold) * F.col("n")).select("doc_id", "item_id").distinct())
     few = pairs.count() <= SENT_PAIRS
     wanted = F.broadcast(pairs) if few else pairs
     rows = docs.withColumnRenamed("doc_id", "__d").join(wanted, F.col("__d").eqNullSafe(F.col("doc_id"))).drop("__d")

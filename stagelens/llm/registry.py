@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .decontaminate import op1_decontaminate
 from .language import op10_language
 from .line_dedup import op5_line_dedup
@@ -16,7 +14,6 @@ from .suffix_dedup import op3_suffix_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op3_suffix_dedup": op3_suffix_dedup,
