@@ -33,6 +33,9 @@ TRIGGER = re.compile(r"[0-9@]")
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 12, 16
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
+#: Windows whose scores a task holds, and characters of the texts it tags together (one longer text is tagged alone).
+WINDOWS_AT_ONCE = 2048
+CHARS_AT_ONCE = 1 << 20
 #: Characters: ASCII each by itself, other letters, other digits, anything else.
 CLASSES = 131
 
@@ -57,7 +60,7 @@ def valid(kind: str, s: str) -> bool:
         return "@" in s and "." in s.partition("@")[2]
     if kind == "ip":
         parts = re.findall("[0-9]+", s)
-        return len(parts) == 4 and all(int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in parts)
     return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
 
 
@@ -272,7 +275,7 @@ class Finder:
         self.shape = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32) + 1
 
     def added(self, texts: list[tuple[str, list[Span]]]) -> list[list[Span]]:
-        """For texts with their patterns' spans, the network's further ones."""
+        """For texts with their patterns' spans, the network's further ones. Scores are held for WINDOWS_AT_ONCE windows, or for one longer stretch."""
         codes, starts, owner = [], [], []
         for i, (text, _) in enumerate(texts):
             x = char_codes(text)
@@ -283,24 +286,28 @@ class Finder:
             starts.append(w)
             owner.append(np.full(len(w), i))
         out: list[list[Span]] = [[] for _ in texts]
-        if not texts:
+        if not any(len(w) for w in starts):
             return out
         size = np.array([len(x) for x in codes])
         base = np.cumsum(size + WINDOW) - size - WINDOW
         flat = np.concatenate([np.concatenate([x, np.full(WINDOW, 32, np.int16)]) for x in codes])
-        at = np.concatenate(starts) + base[np.concatenate(owner)]
+        own = np.concatenate(owner)
+        at = np.concatenate(starts) + base[own]
         windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
         # stretches of windows that touch, each decoded as a whole
-        cut = np.flatnonzero(np.r_[True, np.diff(at) > STRIDE, True]) if len(at) else np.zeros(1, np.int64)
-        own = np.concatenate(owner)
-        e = np.concatenate([self.net.emissions(windows[at[i : i + 2048]]) for i in range(0, len(at), 2048)]) if len(at) else np.zeros((0, WINDOW, TAGS))
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        cut = np.flatnonzero(np.r_[True, np.diff(at) > STRIDE, True])
+        first, last = cut[:-1], cut[1:]
+        held, e = (0, 0), np.zeros((0, WINDOW, TAGS), np.float32)
+        for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
             i, s = int(own[lo]), int(at[lo] - base[own[lo]])
             n = int(at[hi - 1] - at[lo]) + WINDOW
             total, weight = np.zeros((n, TAGS), np.float32), np.zeros(n, np.float32)
             for k in range(lo, hi):
+                if k >= held[1]:
+                    held = k, min(k + WINDOWS_AT_ONCE, len(at))
+                    e = self.net.emissions(windows[at[held[0] : held[1]]])
                 o = int(at[k] - at[lo])
-                total[o : o + WINDOW] += e[k] * self.shape[:, None]
+                total[o : o + WINDOW] += e[k - held[0]] * self.shape[:, None]
                 weight[o : o + WINDOW] += self.shape
             stop = min(n, int(size[i]) - s)
             text, spans = texts[i]
@@ -336,10 +343,15 @@ def find_pii(docs: DataFrame, net: Tagger | None) -> DataFrame:
             more: list[list[Span]] = [[] for _ in texts]
             for i in hot:
                 base[i] = base_spans(texts[i])
-            for j in range(0, len(hot) if finder else 0, 200):
-                some = hot[j : j + 200]
-                for i, found in zip(some, finder.added([(texts[i], base[i]) for i in some]), strict=True):
-                    more[i] = found
+            some: list[int] = []
+            size = 0
+            for i in hot if finder else ():
+                some.append(i)
+                size += len(texts[i])
+                if size >= CHARS_AT_ONCE or i == hot[-1]:
+                    for j, found in zip(some, finder.added([(texts[j], base[j]) for j in some]), strict=True):
+                        more[j] = found
+                    some, size = [], 0
             counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array([joined(x) for x in base]), pa.array([joined(x + y) for x, y in zip(base, more, strict=True)]), pa.array([len(y) for y in more], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", "n_added"])
 
