@@ -20,26 +20,59 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table
 
-#: numpy's hypergeometric sampler takes counts below this.
+#: numpy's hypergeometric sampler takes counts below this; hypergeometric() draws above it.
 EXACT_BELOW = 10**9
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, reach: float = 9, at_once: int = 1 << 20) -> int:
+    """How many of n drawn without replacement from good + bad are good, for counts of any size: the law's ratios are summed from its mode on, over all
+    values within reach standard deviations (beyond them lies less than double precision can tell), and inverted."""
+    if max(good, bad) < EXACT_BELOW:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    lo, hi = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), lo), hi)
+    sd = (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
+    lo, hi = max(lo, mode - int(reach * sd) - 20), min(hi, mode + int(reach * sd) + 20)
+
+    def weights(up: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """(first value, weights relative to the mode's) of the values above the mode, or of it and those below, downwards."""
+        at, log = mode, 0.0
+        if not up:
+            yield mode, np.ones(1)
+        while at < hi if up else at > lo:
+            m = min(at_once, hi - at if up else at - lo)
+            x = (at + np.arange(m) if up else at - 1 - np.arange(m)).astype(np.float64)  # the ratio of x + 1 to x
+            step = np.log((good - x) / (x + 1)) + np.log((n - x) / (bad - n + x + 1))
+            logs = log + np.cumsum(step if up else -step)
+            yield (at + 1 if up else at - 1), np.exp(logs)
+            at, log = (at + m, float(logs[-1])) if up else (at - m, float(logs[-1]))
+
+    sides = {up: sum(float(w.sum()) for _, w in weights(up)) for up in (True, False)}
+    u = rng.random() * (sides[True] + sides[False])
+    up = u >= sides[False]
+    u -= sides[False] if up else 0
+    value = mode
+    for first, w in weights(up):
+        c = np.cumsum(w)
+        i = int(np.searchsorted(c, u, side="right"))
+        value = first + (min(i, len(w) - 1) if up else -min(i, len(w) - 1))
+        if i < len(w):
+            break
+        u -= float(c[-1])
+    return value
+
+
 def _take(rng: np.random.Generator, capacity: np.ndarray, n: int) -> np.ndarray:
     """How many of n rows drawn without replacement fall to each target."""
     total = int(capacity.sum())
     if total < EXACT_BELOW:
         return rng.multivariate_hypergeometric(capacity, n, method="marginals")
     out = np.zeros_like(capacity)
-    for i, c in enumerate(capacity.tolist()):  # one target after the other; the normal limit where numpy's sampler ends
-        rest = total - c
+    for i, c in enumerate(capacity.tolist()):  # one target after the other
         if c and n:
-            if max(c, rest) < EXACT_BELOW:
-                x = int(rng.hypergeometric(c, rest, n))
-            else:
-                share = c / total
-                x = round(rng.normal(n * share, (n * share * (1 - share) * (total - n) / max(1, total - 1)) ** 0.5))
-            out[i] = min(max(x, n - rest, 0), c, n)
-        n, total = n - int(out[i]), rest
+            out[i] = hypergeometric(rng, c, total - c, n)
+        n, total = n - int(out[i]), total - c
     return out
 
 
@@ -53,18 +86,19 @@ def matrix_row(p: int, ends: np.ndarray, targets: np.ndarray, seed: int) -> np.n
     return capacity
 
 
-def uniform_shards(df: DataFrame, n_shards: int, by: list[str], seed: int = 17, rows_per_task: int = 20_000, max_targets: int = 65_536) -> DataFrame:
+def uniform_shards(df: DataFrame, n_shards: int, by: list[str], seed: int = 17, rows_per_task: int = 20_000, max_targets: int = 65_536, max_parts: int = 131_072) -> DataFrame:
     """Adds shard (0 to n_shards - 1) and slot (gapless from 0 in each shard) to the rows of df.
 
     by: columns whose values identify a row; equal rows are interchangeable, so their order has no effect. Shards' row counts
-    differ by one at most. A large shard is made of several targets of equal size, so that no task permutes a whole shard.
+    differ by one at most. A large shard is made of several targets of equal size, so that no task permutes a whole shard. The driver sees one number
+    for each of at most max_parts partitions; beyond max_parts * rows_per_task rows the sorts of a task grow (and spill).
     Nulls in by are values like any other; an empty df gives an empty result. Columns shard and slot of df are replaced.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     kept = df.columns
     n = df.count()
-    parts = pieces(n, rows_per_task)
+    parts = min(pieces(n, rows_per_task), max_parts)
     subs = min(pieces(n, rows_per_task * n_shards), max(1, max_targets // n_shards))
     dealt = df.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(parts)).cast("int"))
     counts = np.zeros(parts, dtype=np.int64)
