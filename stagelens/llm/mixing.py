@@ -52,12 +52,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return ranked.select("sid", "source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("w") * F.col("level"))).alias("target"))
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, blocks_at_least: int = 256, slots_per_shard: int = 4096, rows_per_task: int = 20_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, blocks_at_least: int = 256, slots_per_shard: int = 4096, rows_per_task: int = 20_000, seed: int = 7, ties: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """sized: (doc_id, source, size, ...) -> pieces of documents and uses of blocks.
 
     pieces has a row for each document and block it reaches into (one with null block for a document without words): the columns
     of sized, sid, source_size, target, row (a key of the document's row), b, from_word, n_words. uses: sid, b, pass (0, 1), shard, g.
-    A source shorter than block * blocks_at_least words has shorter blocks, so that its target is met as finely.
+    A source shorter than block * blocks_at_least words has shorter blocks, so that its target is met as finely. ties: columns of sized that
+    order documents of equal doc_id and size.
     """
     n = sized.count()
     bins = pieces(n, rows_per_task)
@@ -73,7 +74,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     sent = F.broadcast(src) if few else src
 
     # where each document's words stand in its source's stream: a running sum in each bin, after the bins before it
-    in_bin = Window.partitionBy("sid", "bin").orderBy("doc_id", "size")
+    in_bin = Window.partitionBy("sid", "bin").orderBy("doc_id", "size", *ties)
     docs = sized.join(sent.select("sid", F.col("source").alias("__s"), "source_size", "target", "len"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     docs = docs.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(bins)))
     totals = docs.groupBy("sid", "bin").agg(F.sum("size").alias("bin_size"))
@@ -134,7 +135,7 @@ def mixed_documents(docs: DataFrame, **params: object) -> DataFrame:
     else:
         keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("source")))
     sized = materialize(keyed.select("doc_id", "source", words(F.col("text")).alias("size"), "__h", "__copy"))
-    parts, uses = plan(sized, **params)
+    parts, uses = plan(sized, ties=("__h", "__copy"), **params)
     taken = parts.join(uses, ["sid", "b"]).groupBy("doc_id", "__h", "__copy", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__cut"), F.sum("n_words").alias("__n"))
     taken = taken.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__g"), F.col("__copy").alias("__c"), "__cut", (F.col("__n") == F.col("size")).alias("__whole"))
     joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")) & (F.col("__copy") == F.col("__c")))
