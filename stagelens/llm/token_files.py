@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from string import punctuation
+from string import ascii_letters, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import materialize, scratch, table, utf8
+from .tokens import BYTE, U, runs, word_hashes
 
 BLOCK = 1024
 ESCAPE = (1 << 12) - 1
@@ -28,8 +29,13 @@ ESCAPE = (1 << 12) - 1
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([n for n, _ in SELECTORS])
 END_ID = 2
+#: Plain white space, and values of bytes for the second hash of a word.
+SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
+OTHER_BYTE = np.random.default_rng(40_093).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+#: ASCII letters and marks.
+LETTER, MARK = (np.isin(np.arange(256), list(x)) for x in (ascii_letters.encode(), punctuation.encode()))
 #: Words whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 
 FILE_SCHEMA = "part int, segment int, first long, id_table array<int>, doc_ids array<long>, lengths array<int>, words binary, word_offsets array<int>, escapes array<int>, escape_offsets array<int>"
 
@@ -117,70 +123,128 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return out
 
 
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - start, n)
+
+
 class WordIds:
-    """The ids (as little-endian 16-bit integers) of runs of text without plain white space, each asked of the tokenizer once.
+    """The ids (16 bits) of runs of text without plain white space, each asked of the tokenizer once; which run is which is told by two 64-bit hashes.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order. A run of letters is one word to it,
-    whose last piece alone ends a word: many are encoded in one call and told apart by that. Letters with ASCII marks behind are the two in turn.
+    whose last piece alone ends a word: many are encoded in one call and told apart by that. Letters with ASCII marks behind are the two in turn. Runs
+    with anything else in them are encoded alone.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.marks: dict[str, bytes] = {}
+        # of all words, in order of the first hash: it, the other, where their ids begin, and how many
+        self.first, self.second, self.at, self.n = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u2")
 
     def alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = words
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-        parts = {}
-        for w in new:
-            stem = w.rstrip(punctuation)
-            parts[w] = (stem, w[len(stem) :]) if stem.isalpha() else (w, "")
-        stems = [w for w in {a for a, _ in parts.values()} if w not in self.known and w.isalpha()]
-        for i in range(0, len(stems), 1000):
-            some = stems[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self.known.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
-        for w, (stem, mark) in parts.items():
-            for x in (stem, mark):
-                if x not in self.known:
-                    self.known[x] = self.alone(x)
-            self.known[w] = self.known[stem] + self.known[mark]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only."""
+        out = []
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, dtype="<u2")
+            cuts = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(group):
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                out += map(self.alone, group)
+        return out
+
+    def learn(self, words: list[str], letters: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """Words that are not known yet, in order of the first hash; letters: which are of ASCII letters only."""
+        plain, odd = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        parts = [(i, stem, words[i][len(stem) :]) for i in odd for stem in (words[i].rstrip(punctuation),)]
+        stems = list({stem for _, stem, _ in parts if stem.isalpha()})  # of letters beyond ASCII
+        batch = self.ids_of([words[i] for i in plain] + stems)
+        found = [b""] * len(words)
+        for i, x in zip(plain, batch, strict=False):
+            found[i] = x
+        known = dict(zip(stems, batch[len(plain) :], strict=True))
+        for i, stem, mark in parts:
+            if stem not in known:
+                found[i] = self.alone(words[i])
+            elif mark:
+                if mark not in self.marks:
+                    self.marks[mark] = self.alone(mark)
+                found[i] = known[stem] + self.marks[mark]
+            else:
+                found[i] = known[stem]
+        n = np.array([len(x) // 2 for x in found], np.int64)
+        place = np.searchsorted(self.first, first)
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u2")])
+        self.first, self.second, self.at, self.n = (np.insert(x, place, y) for x, y in ((self.first, first), (self.second, second), (self.at, at), (self.n, n)))
+
+    def encode(self, column: pa.Array, at_once: int = 1 << 20) -> list[np.ndarray]:
         """The ids of whole texts, each with the end id."""
+        data, offsets = utf8(column)
         out: list[np.ndarray] = []
-        end = END_ID.to_bytes(2, "little")
-        at = 0
-        while at < len(texts):
-            some, gaps, size, get = [], [], 0, self.known.get
-            while at < len(texts) and size < 1 << 20:
-                text = texts[at] or ""
-                words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                found = [*map(get, words)]
-                gaps += [(found, i, words[i]) for i, x in enumerate(found) if x is None]
-                some.append(found)
-                size += len(text)
-                at += 1
-            self.learn({w for _, _, w in gaps})
-            for found, i, w in gaps:
-                found[i] = self.known[w]
-            out += [np.frombuffer(b"".join(found) + end, "<u2") for found in some]
+        row = 0
+        while row < len(column):
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + at_once, side="right")) - 1)
+            out += self.encode_slice(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+            row = stop
         return out
 
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        start, end, doc = runs(~SPACE[data], offsets)
+        if not len(start):
+            return [np.array([END_ID], "<u2") for _ in offsets[1:]]
+        # letters, then marks: two words
+        stem = np.maximum.accumulate(np.where(MARK[data], -1, np.arange(len(data))))[end - 1] + 1
+        other = np.concatenate([[0], np.cumsum(~LETTER[data], dtype=np.int32)])
+        letters = (stem > start) & (other[np.maximum(stem, start)] == other[start])
+        two = np.flatnonzero(letters & (stem < end))
+        order = np.argsort(np.concatenate([start, stem[two]]), kind="stable")
+        end = np.concatenate([np.where(letters, stem, end), end[two]])[order]
+        start, doc = np.concatenate([start, stem[two]])[order], np.concatenate([doc, doc[two]])[order]
+        letters = np.concatenate([letters, np.zeros(len(two), bool)])[order]
+        first, second = (word_hashes(data, start, end, table) for table in (BYTE, OTHER_BYTE))
+        kinds, one, which = np.unique(first, return_index=True, return_inverse=True)
+        if (second != second[one][which]).any():  # two words of one first hash
+            return self.one_by_one(data, offsets)
+        if len(self.first) + len(kinds) > CACHE_WORDS:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.first, kinds), max(0, len(self.first) - 1))
+        seen = self.first[place] == kinds if len(self.first) else np.zeros(len(kinds), bool)
+        if (self.second[place[seen]] != second[one[seen]]).any():
+            return self.one_by_one(data, offsets)
+        new = one[~seen]
+        if len(new):
+            raw = data.tobytes()
+            self.learn([raw[i:j].decode("utf-8") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)], letters[new], kinds[~seen], second[new])
+            place = np.searchsorted(self.first, kinds)
+        at, n = self.at[place][which], self.n[place][which]
+        ids = self.ids[ranges(at, n)]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, n, len(offsets) - 1).astype(np.int64))]).tolist()
+        stop = np.array([END_ID], "<u2")
+        return [np.concatenate([ids[i:j], stop]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def one_by_one(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        raw = data.tobytes()
+        return [np.frombuffer(self.alone(raw[i:j].decode("utf-8")) + END_ID.to_bytes(2, "little"), "<u2") for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
 
 #: One for each tokenizer file in a worker process, which tasks share.
 ENCODERS: dict[str, WordIds] = {}
@@ -192,7 +256,7 @@ def encoder(path: str) -> WordIds:
     return ENCODERS[path]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = 2_000_000, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = 500_000, files: int | None = None) -> DataFrame:
     """docs: doc_id, text -> the files at path, as a DataFrame of FILE_SCHEMA.
 
     Documents are in ascending doc_id order over the files and in them (null ids first; equal ids by text). A null or empty text has the
@@ -219,7 +283,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: i
             return pa.RecordBatch.from_pydict({k: pa.array([x], kinds.get(k, pa.list_(pa.int32()))) for k, x in row.items()})
 
         for batch in batches:
-            for doc, text_ids in zip(batch.column(0).to_pylist(), words_of.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, text_ids in zip(batch.column(0).to_pylist(), words_of.encode(batch.column(1)), strict=True):
                 ids.append(text_ids)
                 docs.append(doc)
                 held += len(ids[-1])
