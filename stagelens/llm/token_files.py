@@ -35,7 +35,7 @@ OTHER_BYTE = np.random.default_rng(40_093).integers(1, 1 << 63, 256, dtype=np.ui
 #: ASCII letters and marks.
 LETTER, MARK = (np.isin(np.arange(256), list(x)) for x in (ascii_letters.encode(), punctuation.encode()))
 #: Words whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 
 FILE_SCHEMA = "part int, segment int, first long, id_table array<int>, doc_ids array<long>, lengths array<int>, words binary, word_offsets array<int>, escapes array<int>, escape_offsets array<int>"
 
@@ -283,15 +283,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, segment_ids: i
             return pa.RecordBatch.from_pydict({k: pa.array([x], kinds.get(k, pa.list_(pa.int32()))) for k, x in row.items()})
 
         for batch in batches:
-            for doc, text_ids in zip(batch.column(0).to_pylist(), words_of.encode(batch.column(1)), strict=True):
-                ids.append(text_ids)
-                docs.append(doc)
-                held += len(ids[-1])
-                if held >= segment_ids:
-                    yield flush()
-                    segment, first, held = segment + 1, first + held, 0
-                    ids.clear()
-                    docs.clear()
+            for at in range(0, batch.num_rows, 500):  # a batch's texts and ids are not held together
+                some = batch.slice(at, 500)
+                for doc, text_ids in zip(some.column(0).to_pylist(), words_of.encode(some.column(1)), strict=True):
+                    ids.append(text_ids)
+                    docs.append(doc)
+                    held += len(ids[-1])
+                    if held >= segment_ids:
+                        yield flush()
+                        segment, first, held = segment + 1, first + held, 0
+                        ids.clear()
+                        docs.clear()
+            pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
 
@@ -304,14 +307,15 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.array(row["lengths"], dtype=np.int64)
-                ranks = unpack(np.frombuffer(row["words"], "<u8"), np.array(row["word_offsets"]), np.array(row["escapes"], dtype=np.int64), int(lengths.sum()))
-                ids = np.array(row["id_table"], dtype="<u4")[ranks]
+            for i in range(batch.num_rows):
+                of = lambda c: batch.column(c)[i].values.to_numpy()  # noqa: B023, E731
+                lengths = of("lengths").astype(np.int64)
+                ranks = unpack(np.frombuffer(batch.column("words")[i].as_buffer(), "<u8"), of("word_offsets"), of("escapes").astype(np.int64), int(lengths.sum()))
+                ids = of("id_table").astype("<u4")[ranks]
                 ends = np.cumsum(lengths)
                 yield pa.RecordBatch.from_pydict({
-                    "part": pa.array(np.full(len(ends), row["part"], np.int32)), "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["first"] + ends - lengths),
-                    "n_tokens": pa.array(lengths), "ids": pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary()),
+                    "part": pa.array(np.full(len(ends), batch.column("part")[i].as_py(), np.int32)), "doc_id": batch.column("doc_ids")[i].values, "start": pa.array(batch.column("first")[i].as_py() + ends - lengths),
+                    "n_tokens": pa.array(lengths), "ids": pa.array([ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary()),
                 })
 
     return files.mapInArrow(decode, "part int, doc_id long, start long, n_tokens long, ids binary")
