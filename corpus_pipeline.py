@@ -33,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at Jaccard 0.8 on five-word shingles, the one with the least doc_id (null first) stays.
+    """Of each group of documents linked at Jaccard 0.8 on five-word shingles (SimHash candidates first), the one with the least doc_id (null first) stays.
 
     If doc_ids repeat, rows are told apart by a hash of (doc_id, text), which then decides who stays; equal rows are one.
     """
