@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op12_byte_bpe
 from .decontaminate import op1_decontaminate
 from .language import op10_language
 from .line_dedup import op5_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_search": op9_search,
     "op10_language": op10_language,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 SQL: dict[str, str] = {}
