@@ -54,6 +54,16 @@ class PairTable:
     def slot(self, key: np.ndarray) -> np.ndarray:
         return (mixed(key.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
 
+    def get(self, left: int, right: int) -> int:
+        """One pair's rank."""
+        key = left << 32 | right
+        slot = int(self.slot(np.array([key]))[0])
+        while self.keys[slot] >= 0:
+            if self.keys[slot] == key:
+                return int(self.ranks[slot])
+            slot = slot + 1 & self.mask
+        return NONE
+
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where there is none or an id is below zero."""
         shape = left.shape
@@ -87,12 +97,16 @@ class Recent(dict):
 
 
 class ByteBpe:
-    """Merges by the ranks of entries, as rank files give them; pattern cuts texts into pieces."""
+    """Byte-level BPE; pattern cuts texts into pieces.
+
+    entries have ids. As rank files have it, a piece that is an entry is taken whole, and a pair's rank is the id of the entry that it makes. With merges (pairs
+    of ids, in order) those alone are made, by their place.
+    """
 
-    def __init__(self, entries: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, entries: dict[bytes, int], pattern: str, merges: list[tuple[int, int]] | None = None) -> None:
         import regex
 
-        self.split, self.entries = regex.compile(pattern).findall, entries
+        self.split = regex.compile(pattern).findall
         self.single = np.array([entries[bytes([i])] for i in range(256)], np.int32)
         size = max(entries.values()) + 1
         self.words = [b""] * size
@@ -100,7 +114,12 @@ class ByteBpe:
             self.words[i] = word
         self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in self.words])])
         self.data = np.frombuffer(b"".join(self.words), np.uint8)
-        pairs = [(entries[w[:i]], entries[w[i:]], r) for w, r in entries.items() for i in range(1, len(w)) if w[:i] in entries and w[i:] in entries]
+        if merges is None:
+            pairs = [(entries[w[:i]], entries[w[i:]], r) for w, r in entries.items() for i in range(1, len(w)) if w[:i] in entries and w[i:] in entries]
+            self.made, self.whole = np.arange(size, dtype=np.int32), entries
+        else:
+            pairs = [(a, b, r) for r, (a, b) in enumerate(merges)]
+            self.made, self.whole = np.array([entries[self.words[a] + self.words[b]] for a, b in merges], np.int32), {}
         self.pairs = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
         self.units, self.pieces = Recent(), Recent()
 
@@ -130,7 +149,7 @@ class ByteBpe:
                     break
             column, each = np.arange(ids.shape[1] - 1), np.arange(len(rows))
             ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
-            ids[each, at] = least  # an entry's id is its rank
+            ids[each, at] = self.made[least]
             ranks = np.where(column[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
             for side in (at - 1, at):
                 k = np.flatnonzero((side >= 0) & (side < ranks.shape[1]))
@@ -145,20 +164,22 @@ class ByteBpe:
         ranks = self.pairs(np.array(ids[:-1]), np.array(ids[1:]))
         heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks.tolist()) if r < NONE]
         heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
 
         def push(i: int) -> None:
-            j = after[i]
-            if j < n:
-                rank = self.entries.get(self.words[ids[i]] + self.words[ids[j]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, ids[i], ids[j]))
+            if after[i] < n:
+                pair = ids[i], ids[after[i]]
+                if pair not in known:
+                    known[pair] = self.pairs.get(*pair)
+                if known[pair] < NONE:
+                    heapq.heappush(heap, (known[pair], i, *pair))
 
         while heap:
             rank, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = rank, -1
+            ids[i], ids[j] = int(self.made[rank]), -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -203,7 +224,7 @@ class ByteBpe:
         new = {p for parts in cut.values() for p in parts}
         known = {p: x for p in new if (x := self.pieces[p]) is not None}
         raw = {p: p.encode() for p in new if p not in known}
-        whole = {p: self.entries[w].to_bytes(4, "little") for p, w in raw.items() if w in self.entries}
+        whole = {p: self.whole[w].to_bytes(4, "little") for p, w in raw.items() if w in self.whole}
         rest = [p for p in raw if p not in whole]
         whole.update(zip(rest, self.merge([raw[p] for p in rest]), strict=True))
         self.pieces.add(whole)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .byte_bpe import op12_byte_bpe
 from .decontaminate import op1_decontaminate
 from .language import op10_language
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_search": op9_search,
     "op10_language": op10_language,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {}
