@@ -14,6 +14,7 @@ from .sharding import op6_sharding
 from .simhash import op8_simhash
 from .suffix_dedup import op3_suffix_dedup
 from .token_files import op2_token_files
+from .variants import op11_variants
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_search": op9_search,
     "op10_language": op10_language,
+    "op11_variants": op11_variants,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_alignment": op13_alignment,
 }
