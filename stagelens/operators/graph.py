@@ -15,7 +15,7 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -58,17 +58,61 @@ def best_causes(pairs: DataFrame, effect: str, score: str, cause: str) -> DataFr
     return pairs.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def follow_roots(best: DataFrame, effect: str, cause: str, depth: int = 10) -> DataFrame:
-    """effect, root, steps: each effect's last cause along best causes, up to a depth. Pointers double, so a few joins reach it."""
-    hop = best.select(F.col(effect).alias("node"), F.col(cause).alias("root")).withColumn("steps", F.lit(1))
-    reach = 1
-    while reach < depth:
-        up = hop.select(F.col("node").alias("__n"), F.col("root").alias("__r"), F.col("steps").alias("__s"))
-        hop = hop.join(up, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"))
-        reach *= 2
+def follow_paths(best: DataFrame, effect: str, cause: str, depth: int | None = None) -> DataFrame:
+    """effect, root, steps, path (effect, its cause, ... up to root), of edges with one cause an effect.
+
+    Pointers double, each written before the next round, and carry the path; a pointer that would pass `depth` steps goes as far as that exactly. A chain that
+    runs into a cycle ends at the cycle's least node, where all of the cycle and all that leads to it end.
+    """
+    step = best.select(F.col(effect).alias("node"), F.col(cause).alias("to")).filter("node IS NOT NULL AND to IS NOT NULL").dropDuplicates(["node"])
+    ends = _cycle_ends(step)
+    step = _written(step.join(ends, F.col("node") == F.col("__end"), "left_anti"))  # a cycle is cut behind its least node
+    hop = step.select("node", F.col("to").alias("root"), F.lit(1).alias("steps"), F.array("node", "to").alias("path"))
+    jump, reach, out = hop, 1, None
+    if depth is None:
+        while True:
+            hop = _written(_leap(hop, hop))
+            if hop.join(step.select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
+                break
+    else:
+        todo = depth  # the binary digits of depth: jumps of 1, 2, 4, ... steps put together
+        while todo:
+            if todo & reach:
+                out = jump if out is None else _written(_leap(out, jump))
+                todo -= reach
+            if todo:
+                jump, reach = _written(_leap(jump, jump)), 2 * reach
+        hop = out if out is not None else hop.limit(0)
     return hop.withColumnRenamed("node", effect)
 
 
+def _leap(hop: DataFrame, jump: DataFrame) -> DataFrame:
+    """hop, gone on from its roots by jump where that goes on."""
+    on = jump.select(F.col("node").alias("__n"), F.col("root").alias("__r"), F.col("steps").alias("__s"), F.col("path").alias("__p"))
+    more = F.expr("slice(__p, 2, greatest(size(__p) - 1, 0))")
+    return hop.join(on, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"), F.coalesce(F.concat("path", more), "path").alias("path"))
+
+
+def _cycle_ends(step: DataFrame) -> DataFrame:
+    """__end: the least node of each cycle of node -> to. Nodes that nothing leads to, or that lead nowhere, go in doubling rounds; what is left after n of them, for n nodes, is on cycles."""
+    step = _written(step)
+    n = step.count()
+    hop, reach = step.select("node", "to", F.least("node", "to").alias("least")), 1
+    while reach < n:  # after so many steps every walker that still walks is on a cycle, and has seen all of it
+        on = hop.select(F.col("node").alias("__n"), F.col("to").alias("__to"), F.col("least").alias("__l"))
+        hop = _written(hop.join(on, F.col("to") == F.col("__n")).select("node", F.col("__to").alias("to"), F.least("least", "__l").alias("least")))
+        reach *= 2
+        if hop.isEmpty():
+            break
+    on = hop.select(F.col("to").alias("node")).distinct().join(hop.select("node", "least"), "node")  # where walkers are after at least n steps: on cycles
+    return on.select(F.col("least").alias("__end")).distinct()
+
+
+def follow_roots(best: DataFrame, effect: str, cause: str, depth: int = 10) -> DataFrame:
+    """effect, root, steps: each effect's last cause along best causes, after at most `depth` steps. A cycle ends at its least node."""
+    return follow_paths(best, effect, cause, depth).drop("path")
+
+
 def candidate_pairs(findings: DataFrame, ident: str, scopes: Sequence[str], kind: str, at: str, rules: DataFrame, slack_ms: int) -> DataFrame:
     """cause, effect, score: findings that share an element of a scope column, whose kinds a rule (cause_kind, effect_kind, weight) links, the cause not later than slack after.
 
