@@ -6,12 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df written once below spark.checkpoint.dir and read back."""
+def written(df: DataFrame) -> DataFrame:
+    """df written once below spark.checkpoint.dir and read back: cuts the lineage, plans after it are small, and it survives a lost executor."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -32,11 +32,11 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     alone = e.select(F.col("u").alias("node")).filter("u = v")
 
-    def written(x: DataFrame) -> tuple[DataFrame, dict]:
+    def kept(x: DataFrame) -> tuple[DataFrame, dict]:
         seen = Observation()
-        return _written(x.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum"))), seen.get
+        return written(x.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum"))), seen.get
 
-    e, before = written(e.filter("u <> v").distinct())
+    e, before = kept(e.filter("u <> v").distinct())
 
     def least(x: DataFrame) -> DataFrame:
         return x.join(x.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "u")
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     while True:
         large = least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = least(large)
-        e, now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        e, now = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         if now == before:
             break
         before = now
@@ -64,28 +64,38 @@ def follow_paths(best: DataFrame, effect: str, cause: str, depth: int | None = N
     Pointers double, each written before the next round, and carry the path; a pointer that would pass `depth` steps goes as far as that exactly. A chain that
     runs into a cycle ends at the cycle's least node, where all of the cycle and all that leads to it end.
     """
-    step = best.select(F.col(effect).alias("node"), F.col(cause).alias("to")).filter("node IS NOT NULL AND to IS NOT NULL").dropDuplicates(["node"])
-    ends = _cycle_ends(step)
-    step = _written(step.join(ends, F.col("node") == F.col("__end"), "left_anti"))  # a cycle is cut behind its least node
+    step, n = counted(best.select(F.col(effect).alias("node"), F.col(cause).alias("to")).filter("node IS NOT NULL AND to IS NOT NULL").dropDuplicates(["node"]))
+    ends = _cycle_ends(step, n)
+    if ends is not None:
+        step = written(step.join(ends, F.col("node") == F.col("__end"), "left_anti"))  # a cycle is cut behind its least node
     hop = step.select("node", F.col("to").alias("root"), F.lit(1).alias("steps"), F.array("node", "to").alias("path"))
     jump, reach, out = hop, 1, None
     if depth is None:
+        before = n
         while True:
-            hop = _written(_leap(hop, hop))
-            if hop.join(step.select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
+            hop, now = counted(_leap(hop, hop), F.coalesce(F.sum("steps"), F.lit(0)))
+            if now == before:
                 break
+            before = now
     else:
         todo = depth  # the binary digits of depth: jumps of 1, 2, 4, ... steps put together
         while todo:
             if todo & reach:
-                out = jump if out is None else _written(_leap(out, jump))
+                out = jump if out is None else written(_leap(out, jump))
                 todo -= reach
             if todo:
-                jump, reach = _written(_leap(jump, jump)), 2 * reach
+                jump, reach = written(_leap(jump, jump)), 2 * reach
         hop = out if out is not None else hop.limit(0)
     return hop.withColumnRenamed("node", effect)
 
 
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """df written, and its number of rows (or another aggregate), seen on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, (F.count("*") if what is None else what).alias("n")))
+    return out, seen.get["n"]
+
+
 def _leap(hop: DataFrame, jump: DataFrame) -> DataFrame:
     """hop, gone on from its roots by jump where that goes on."""
     on = jump.select(F.col("node").alias("__n"), F.col("root").alias("__r"), F.col("steps").alias("__s"), F.col("path").alias("__p"))
@@ -93,18 +103,16 @@ def _leap(hop: DataFrame, jump: DataFrame) -> DataFrame:
     return hop.join(on, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"), F.coalesce(F.concat("path", more), "path").alias("path"))
 
 
-def _cycle_ends(step: DataFrame) -> DataFrame:
-    """__end: the least node of each cycle of node -> to. Nodes that nothing leads to, or that lead nowhere, go in doubling rounds; what is left after n of them, for n nodes, is on cycles."""
-    step = _written(step)
-    n = step.count()
+def _cycle_ends(step: DataFrame, n: int) -> DataFrame | None:
+    """__end: the least node of each cycle of node -> to, or None if there are none. Walks double until they end, or are longer than n steps for n nodes: those are on cycles."""
     hop, reach = step.select("node", "to", F.least("node", "to").alias("least")), 1
-    while reach < n:  # after so many steps every walker that still walks is on a cycle, and has seen all of it
+    while reach < n:
         on = hop.select(F.col("node").alias("__n"), F.col("to").alias("__to"), F.col("least").alias("__l"))
-        hop = _written(hop.join(on, F.col("to") == F.col("__n")).select("node", F.col("__to").alias("to"), F.least("least", "__l").alias("least")))
+        hop, walking = counted(hop.join(on, F.col("to") == F.col("__n")).select("node", F.col("__to").alias("to"), F.least("least", "__l").alias("least")))
         reach *= 2
-        if hop.isEmpty():
-            break
-    on = hop.select(F.col("to").alias("node")).distinct().join(hop.select("node", "least"), "node")  # where walkers are after at least n steps: on cycles
+        if not walking:
+            return None
+    on = hop.select(F.col("to").alias("node")).distinct().join(hop.select("node", "least"), "node")  # where walkers are then; they have seen all of their cycle
     return on.select(F.col("least").alias("__end")).distinct()
 
 

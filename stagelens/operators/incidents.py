@@ -12,12 +12,12 @@ columns, from its text and from the lines and errors behind it; stages are also
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components, follow_paths
+from .graph import connected_components, follow_paths, written
 from .intervals import overlap_join
 from .joins import asof_join
 
@@ -112,10 +112,14 @@ def named_in(text: Column) -> Column:
     thing = lambda kind, ident, attempt=None: F.struct(F.lit(kind).alias("type"), ident.alias("id"), (F.lit(None).cast("string") if attempt is None else attempt).alias("attempt"))
     every = lambda pattern, i=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
     stages = F.transform(F.arrays_zip(every(STAGE).alias("a"), every(STAGE, 2).alias("b")), lambda x: thing("stage", x["a"], x["b"]))
-    rest = [F.transform(every(p), lambda x, k=k: thing(k, F.lower(x) if k == "call" else x)) for k, p in (("executor", EXECUTOR), ("host", LOST_HOST), ("fetch_host", FETCH_HOST), ("call", CALL))]
+    rest = [_each(every(p), kind, thing) for kind, p in (("executor", EXECUTOR), ("host", LOST_HOST), ("fetch_host", FETCH_HOST), ("call", CALL))]
     return F.concat(stages, *rest)
 
 
+def _each(found: Column, kind: str, thing: Callable[[str, Column], Column]) -> Column:
+    return F.transform(found, lambda x: thing(kind, F.lower(x) if kind == "call" else x))
+
+
 def with_context(named: DataFrame, stages: DataFrame, executors: DataFrame) -> DataFrame:
     """named: type, id, ts, context... -> the context filled in: of the stage or executor of that id which was there then, else of the only one of that id."""
     owners = stages.select(F.lit("stage").alias("type"), F.col("stage_id").cast("string").alias("id"), F.col("context").alias("__c"), (F.col("start_ms") - OPEN_MS).alias("__from"), (F.col("end_ms") + OPEN_MS).alias("__to"))
@@ -151,6 +155,7 @@ def finding_scopes(findings: DataFrame, stages: DataFrame, executors: DataFrame,
     named = with_context(rows.unionByName(more).select("finding_id", "event", "ts", "context", "kind", "__n.*").filter("id <> ''"), stages, executors)
     key = F.when(F.col("type") == "stage", key_of("context", "id", "attempt")).when(F.col("type").isin("executor", "query"), key_of("context", "id")).otherwise(F.col("id"))
     named = named.withColumn("key", key).withColumn("inferred", F.lit(False)).select("finding_id", "event", "ts", "kind", "type", "key", "inferred")
+    named = written(named)
     # a failed query stands for its stages
     stage_key = stages.select(key_of("context", "stage_id", "stage_attempt").alias("__stage"), F.when(F.col("sql_execution_id").isNotNull(), key_of("context", "sql_execution_id")).alias("__query"))
     of_query = named.filter("type = 'query' AND kind = 'query_failed'").join(stage_key, F.col("key") == F.col("__query")).select("finding_id", "event", "ts", "kind", F.lit("stage").alias("type"), F.col("__stage").alias("key"), "inferred")
@@ -165,7 +170,7 @@ def finding_scopes(findings: DataFrame, stages: DataFrame, executors: DataFrame,
     texts = texts.filter("key IS NOT NULL").select("finding_id", "event", "ts", "kind", F.lit("text").alias("type"), "key", F.lit(False).alias("inferred"))
     rows = named.unionByName(of_query).unionByName(inferred).unionByName(texts)
     # a stage that is named is not inferred too
-    rows = rows.groupBy("finding_id", "event", "ts", "kind", "type", "key").agg(F.bool_and("inferred").alias("inferred"))
+    rows = written(rows.groupBy("finding_id", "event", "ts", "kind", "type", "key").agg(F.bool_and("inferred").alias("inferred")))
     hosts = executors.filter("host IS NOT NULL").select(key_of("context", "executor_id").alias("__k"), F.col("host").alias("__v"))
     hosts = rows.filter("type = 'executor'").join(hosts, F.col("key") == F.col("__k")).select("finding_id", "event", "ts", "kind", F.lit("host").alias("type"), F.col("__v").alias("key"), "inferred")
     queries = rows.filter("type = 'stage'").join(stage_key.filter("__query IS NOT NULL"), F.col("key") == F.col("__stage")).select("finding_id", "event", "ts", "kind", F.lit("query").alias("type"), F.col("__query").alias("key"), "inferred")
@@ -203,7 +208,7 @@ def problem_members(findings: DataFrame, scopes: DataFrame, same_ms: int = SAME_
     free = where.filter("__e IS NULL").select("kind", "key").distinct().withColumn("__free", F.lit(True))
     where = where.join(free, ["kind", "key"], "left").withColumn("__e", F.when(F.col("__free"), F.lit("")).otherwise(F.col("__e")))
     alone = findings.filter(error & F.col("ts").isNotNull()).join(several, "finding_id", "left_anti").join(executor.select("finding_id").distinct(), "finding_id", "left_anti").select("finding_id", "ts")
-    before = asof_join(alone, alone.select(F.col("ts").alias("__t"), F.col("finding_id").alias("v")), [], "ts", "__t", ["v", "__t"], strict=True, width=WIDTH).filter(F.col("ts") - F.col("__t") <= error_ms)
+    before = asof_join(alone, alone.select(F.col("ts").alias("__before"), F.col("finding_id").alias("v")), [], "ts", "__before", ["v", "__before"], strict=True, width=WIDTH).filter(F.col("ts") - F.col("__before") <= error_ms)
     edges = [
         _star(stage.filter(performance), ["kind", "key"]),
         _star(stage.filter(failure & ~F.col("inferred")), ["kind", "key"]),
@@ -269,7 +274,7 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
     rules = spark.createDataFrame([(c, e, KINDS[c][1]) for e, cs in CAUSES.items() for c in cs if KINDS[c][1] < KINDS[e][1]], "cause_kind string, effect_kind string, __level int")
     p = problems.select("problem", "kind", "ts", "until")
     rows = about.join(p, "problem")
-    causes = rows.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), "type", "key", F.col("inferred").alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__t"), "until")
+    causes = rows.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), "type", "key", F.col("inferred").alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__began"), "until")
     effects = rows.select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), "type", "key", F.col("inferred").alias("__ei"), "ts")
     # stages stand for the executors that ran them; fetch hosts for hosts; calls for the stages of that name
     ran = tasks.filter("executor_id IS NOT NULL").select(key_of("context", "stage_id", "stage_attempt").alias("key"), key_of("context", "executor_id").alias("__e")).distinct()
@@ -280,12 +285,12 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
     gives = {t: causes.filter(F.col("type") == t) for t in ("stage", "executor", "host", "run")}
     gives["ran_on"] = gives["executor"].filter("cause_kind IN ('oom', 'killed', 'lost', 'disk_full')").withColumn("type", F.lit("ran_on"))
     words = stages.select(key_of("context", "stage_id", "stage_attempt").alias("key"), F.explode(F.split(F.lower("stage_name"), r"\W+")).alias("__w")).distinct()
-    gives["call"] = gives["stage"].filter("cause_kind IN ('query_failed', 'job_aborted')").join(words, "key").select("cause", "cause_kind", F.lit("call").alias("type"), F.col("__w").alias("key"), "__ci", "__t", "until").distinct()
+    gives["call"] = gives["stage"].filter("cause_kind IN ('query_failed', 'job_aborted')").join(words, "key").select("cause", "cause_kind", F.lit("call").alias("type"), F.col("__w").alias("key"), "__ci", "__began", "until").distinct()
     gives["run"] = gives["run"].filter("cause_kind = 'cache'")
     near_query = p.filter("kind IN ('driver_error', 'other_error', 'task_error') AND ts IS NOT NULL")
-    gives["time"] = near_query.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.col("ts").alias("__t"), "until")
+    gives["time"] = near_query.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.col("ts").alias("__began"), "until")
     asks.append((p.filter("kind = 'query_failed' AND ts IS NOT NULL").select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ei"), "ts"), "time"))
-    gives["weak"] = p.filter("kind IN ('query_failed', 'job_aborted')").select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__t"), "until")
+    gives["weak"] = p.filter("kind IN ('query_failed', 'job_aborted')").select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__began"), "until")
     asks.append((p.filter("kind = 'reported'").select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ei"), "ts"), "weak"))
 
     only_db = None
@@ -304,7 +309,7 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
     # a cause that is named for the row, and one that is inferred, are looked up apart: they score differently
     probes = probes.withColumn("__ci", F.explode(F.array(F.lit(False), F.lit(True)))).filter((F.col("type") == "stage") | ~F.col("__ci"))
     given = given.withColumn("__ci", F.when(F.col("type") == "stage", F.col("__ci")).otherwise(False))
-    found = asof_join(probes, given, ["type", "key", "cause_kind", "__ci"], "__by", "__t", ["cause", "until", "__t"], width=width).filter("cause IS NOT NULL")
+    found = asof_join(probes, given, ["type", "key", "cause_kind", "__ci"], "__by", "__began", ["cause", "until", "__began"], width=width).filter("cause IS NOT NULL")
     executors_of = about.filter("type = 'executor'").groupBy("problem").agg(F.collect_set("key").alias("__es"))
     found = found.join(executors_of.select(F.col("problem").alias("effect"), F.col("__es").alias("__ee")), "effect", "left").join(executors_of.select(F.col("problem").alias("cause"), F.col("__es").alias("__ce")), "cause", "left")
     hosts = about.filter("type = 'fetch_host'").select(F.col("problem").alias("effect")).distinct().withColumn("__hosts", F.lit(True))
@@ -316,14 +321,14 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
         .when((F.col("cause_kind") == "skew") & (F.col("effect_kind") == "gc") & F.coalesce("__flat", F.lit(False)), 0)
         .when((F.col("effect_kind") == "fetch") & F.coalesce("__hosts", F.lit(False)), F.when((F.col("type") == "host") & near, 3).otherwise(0))
         .when(F.col("type") == "stage", F.when(F.col("__ei") & F.col("__ci"), 2).otherwise(3)).when(F.col("type") == "host", F.when(near, 3).otherwise(0))
-        .when(F.col("type") == "time", F.when(F.abs(F.col("ts") - F.col("__t")) <= QUERY_ERROR_MS, 2).otherwise(0)).when(F.col("type") == "weak", 1).when(F.col("type") == "call", 2).otherwise(F.when(near, 2).otherwise(0))
+        .when(F.col("type") == "time", F.when(F.abs(F.col("ts") - F.col("__began")) <= QUERY_ERROR_MS, 2).otherwise(0)).when(F.col("type") == "weak", 1).when(F.col("type") == "call", 2).otherwise(F.when(near, 2).otherwise(0))
     )
     found = found.withColumn("score", score).filter("score > 0 AND cause <> effect")
     if only_db is not None:
         found = found.join(only_db.withColumn("__only", F.lit(True)), "effect", "left").filter("__only IS NULL OR cause_kind = 'source_db' OR effect_kind NOT IN ('retries', 'stage_failed')").drop("__only")
     framed = about.filter("type = 'text'").select(F.col("problem").alias("cause")).distinct().withColumn("__framed", F.lit(True))
     found = found.join(framed, "cause", "left")
-    rank = F.struct("score", "__level", (F.col("cause_kind") == "task_error") & F.coalesce("__framed", F.lit(False)), "__t", "cause")
+    rank = F.struct("score", "__level", (F.col("cause_kind") == "task_error") & F.coalesce("__framed", F.lit(False)), "__began", "cause")
     best = found.groupBy("effect").agg(F.max_by(F.struct("cause", "score", "cause_kind", "effect_kind", "type"), rank).alias("b")).select("effect", "b.*")
     why = F.try_element_at(_map({f"{a}>{b}": t for (a, b), t in BECAUSE.items()}), F.concat("cause_kind", F.lit(">"), "effect_kind"))
     label = F.element_at(_map({k: v[0] for k, v in KINDS.items()}), F.col("cause_kind"))
@@ -412,13 +417,12 @@ def build_incidents(findings: DataFrame, stages: DataFrame, executors: DataFrame
     findings: finding_id, category, severity (0 high), ts, context, stage_id, stage_attempt, executor_id, sql_execution_id, run_key, entity, evidence, signal, fingerprint.
     Times are epoch milliseconds.
     """
-    kinds = finding_kinds(findings, errors)
-    scopes = finding_scopes(kinds, stages, executors, tasks, lines, errors).persist()
-    members = problem_members(kinds, scopes).persist()
-    problems, about = problems_of(kinds, scopes, members)
-    problems, about = problems.persist(), about.persist()
-    links = best_links(problems, about, tasks, stages, retry_categories).persist()
-    roles = incident_roles(problems, about, links)
+    kinds = written(finding_kinds(findings, errors))
+    scopes = written(finding_scopes(kinds, stages, executors, tasks, lines, errors))
+    members = written(problem_members(kinds, scopes))
+    problems, about = (written(x) for x in problems_of(kinds, scopes, members))
+    links = written(best_links(problems, about, tasks, stages, retry_categories))
+    roles = written(incident_roles(problems, about, links))
     ranks = ranked_incidents(roles, about)
     cause_lead = problems.select(F.col("problem").alias("cause"), F.col("lead").alias("__cause_lead"))
     rows = kinds.select("finding_id").join(members, "finding_id").join(roles.join(cause_lead, "cause", "left"), "problem").join(ranks.select("incident", "rank", "title"), "incident")

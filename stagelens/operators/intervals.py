@@ -15,17 +15,43 @@ ALL_BEFORE = (Window.unboundedPreceding, -1)
 TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0, sums: Sequence[str] = ()) -> DataFrame:
-    """keys, start, end, n and sums of each island: a new one begins where start is past the greatest end so far plus gap."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    fresh = F.coalesce((F.col(start) > F.max(end).over(order.rowsBetween(*ALL_BEFORE)) + gap).cast("int"), F.lit(1))
-    marked = df.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(order.rowsBetween(*TO_HERE)))
-    return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).drop("__island")
+def by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the other columns of the right rows of equal keys (null ones are equal too)."""
+    other = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return left.join(other, same).drop(*[f"__key_{k}" for k in keys])
 
 
-def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0, sums: Sequence[str] = (), width: int | None = None) -> DataFrame:
+    """keys, start, end, n and sums of each island: a new one begins where start is past the greatest end so far plus gap.
+
+    width: for keys with too many rows for one task. Time is cut into buckets of starts; the islands of a bucket come first, each in a task of its own. An island is
+    closed inside its bucket if it is neither the first, which an earlier end may reach, nor one that a later bucket's may: a running greatest end over
+    the buckets' summaries (one row a bucket) tells which of them go on, and only islands at edges are merged again.
+    """
+    if width is None:
+        order = Window.partitionBy(*keys).orderBy(start, end)
+        fresh = F.coalesce((F.col(start) > F.max(end).over(order.rowsBetween(*ALL_BEFORE)) + gap).cast("int"), F.lit(1))
+        marked = df.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(order.rowsBetween(*TO_HERE)))
+        return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).drop("__island")
+    inner = merge_intervals(df.withColumn("__b", F.floor(F.col(start) / width)), [*keys, "__b"], start, end, gap, sums)
+    edges = inner.groupBy(*keys, "__b").agg(F.min(start).alias("__first"), F.max(end).alias("__reach"))
+    over = Window.partitionBy(*keys).orderBy("__b")
+    edges = edges.withColumn("__before", F.max("__reach").over(over.rowsBetween(*ALL_BEFORE))).withColumn("__after", F.lead("__first").over(over)).drop("__first", "__reach")
+    inner = by_keys(inner, edges, [*keys, "__b"])
+    # reached from before, or reaching the next bucket's first start: stitched; the rest are whole
+    open_ = F.coalesce(F.col(start) <= F.col("__before") + gap, F.lit(False)) | F.coalesce(F.col(end) + gap >= F.col("__after"), F.lit(False))
+    inner = inner.withColumn("__open", open_).drop("__before", "__after", "__b")
+    columns = [*keys, start, end, "n", *sums]
+    stitched = merge_intervals(inner.filter("__open").withColumnRenamed("n", "__n"), keys, start, end, gap, ["__n", *sums]).drop("n").withColumnRenamed("__n", "n")
+    return inner.filter("NOT __open").select(*columns).unionByName(stitched.select(*columns))
+
+
+def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int | None = None) -> DataFrame:
     """keys, covered: the time that at least one interval covers."""
-    return merge_intervals(df, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
+    return merge_intervals(df, keys, start, end, width=width).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
 
 
 def changes(df: DataFrame, keys: Sequence[str], start: str, end: str, values: dict[str, Column]) -> DataFrame:
@@ -44,12 +70,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], t: str, columns: Sequence[s
     if width is None:
         w = Window.partitionBy(*keys).orderBy(t).rowsBetween(*TO_HERE)
         return df.withColumns({c: F.sum(c).over(w) for c in columns})
-    df = df.withColumn("__b", F.floor(F.col(t) / width))
-    totals = df.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(*ALL_BEFORE)
-    totals = totals.withColumns({f"__{c}": F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)) for c in columns})
-    w = Window.partitionBy(*keys, "__b").orderBy(t).rowsBetween(*TO_HERE)
-    return df.join(totals, [*keys, "__b"]).withColumns({c: F.sum(c).over(w) + F.col(f"__{c}") for c in columns}).drop("__b", *[f"__{c}" for c in columns])
+    df = df.withColumn("__bucket", F.floor(F.col(t) / width))
+    totals = df.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__sum_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(*ALL_BEFORE)
+    totals = totals.withColumns({f"__sum_{c}": F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)) for c in columns})
+    w = Window.partitionBy(*keys, "__bucket").orderBy(t).rowsBetween(*TO_HERE)
+    return by_keys(df, totals, [*keys, "__bucket"]).withColumns({c: F.sum(c).over(w) + F.col(f"__sum_{c}") for c in columns}).drop("__bucket", *[f"__sum_{c}" for c in columns])
 
 
 def segments(levels: DataFrame, keys: Sequence[str], t: str, width: int | None = None) -> DataFrame:
@@ -60,31 +86,59 @@ def segments(levels: DataFrame, keys: Sequence[str], t: str, width: int | None =
     firsts = b.groupBy(*keys, "__b").agg(F.min(t).alias("__first"))
     firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__b"))).drop("__first")
     inside = F.lead(t).over(Window.partitionBy(*keys, "__b").orderBy(t))
-    return b.join(firsts, [*keys, "__b"]).withColumn("until", F.coalesce(inside, "__next")).drop("__b", "__next").filter("until IS NOT NULL")
+    return by_keys(b, firsts, [*keys, "__b"]).withColumn("until", F.coalesce(inside, "__next")).drop("__b", "__next").filter("until IS NOT NULL")
 
 
-def subtract_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """keys, start, end: the parts of a's union that no interval of b covers."""
+def subtract_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, width: int | None = None) -> DataFrame:
+    """keys, start, end: the parts of a's union that no interval of b covers. width: in two levels, for keys with too many rows for one task."""
     one, none = F.lit(1), F.lit(0)
     both = changes(a, keys, start, end, {"a": one, "b": none}).unionByName(changes(b, keys, start, end, {"a": none, "b": one}))
-    levels = running_sums(both.groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), keys, "t", ["a", "b"])
-    left = segments(levels, keys, "t").filter("a > 0 AND b = 0").select(*keys, F.col("t").alias(start), F.col("until").alias(end))
-    return merge_intervals(left, keys, start, end).drop("n")
+    levels = running_sums(both.groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), keys, "t", ["a", "b"], width)
+    left = segments(levels, keys, "t", width).filter("a > 0 AND b = 0").select(*keys, F.col("t").alias(start), F.col("until").alias(end))
+    return merge_intervals(left, keys, start, end, width=width).drop("n")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, closed: bool = False) -> DataFrame:
-    """Pairs of rows with equal keys and intervals that meet: left has l_start, l_end, right r_start, r_end.
+def dyadic_cells(start: Column, end: Column, unit: int) -> Column:
+    """The cells of a segment tree over units of time that make up the units which [start, end] touches: an array of (level, place), a cell of level k being 2^k units long.
 
-    Both sides go to all time buckets of the width that they touch and are joined by bucket; a pair is kept in the bucket where its overlap begins, so once.
-    closed: intervals that only share an instant meet too.
+    The least set of cells: two a level at most, so that their number grows with the logarithm of the length. A null or turned interval has none.
     """
+    first, behind = F.floor(start / unit), F.floor(end / unit) + 1
+    # level by level: an odd left edge and an odd right edge give a cell each; the rest goes up
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(behind - first, F.lit(1)))).cast("int") + 1)
+    lo = lambda k: F.ceil(first / F.pow(F.lit(2.0), k)).cast("long")
+    hi = lambda k: F.floor(behind / F.pow(F.lit(2.0), k)).cast("long")
+    cell = lambda k, place: F.struct(k.alias("level"), place.alias("place"))
+
+    def of(k: Column) -> Column:
+        left = F.when((lo(k) < hi(k)) & (lo(k) % 2 != 0), cell(k, lo(k)))
+        right = F.when((lo(k) < hi(k)) & (hi(k) % 2 != 0), cell(k, hi(k) - 1))
+        return F.array_compact(F.array(left, right))
 
-    def spread(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+    return F.when(end >= start, F.flatten(F.transform(levels, of)))
 
-    joined = spread(left, "l_start", "l_end").join(spread(right, "r_start", "r_end"), [*keys, "__b"])
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, closed: bool = False) -> DataFrame:
+    """Pairs of rows with equal keys and intervals that meet: left has l_start, l_end, right r_start, r_end.
+
+    Two intervals meet where one begins in the other. So each side's starts ask the other side's intervals: these stand at the cells of a segment tree over units
+    of the width that make them up (two a level at most, however long they are),
+    and a start asks the one cell of each level in use that holds it.
+    A pair is found once: by the later start, and at equal starts by the right one. closed: intervals that only share an instant meet too.
+    """
     lo, hi = F.greatest("l_start", "r_start"), F.least("l_end", "r_end")
-    return joined.filter((lo <= hi if closed else lo < hi) & (F.floor(lo / width) == F.col("__b"))).drop("__b")
+    meets = lo <= hi if closed else lo < hi
+
+    def found(spans: DataFrame, points: DataFrame, s: str, e: str, at: str) -> DataFrame:
+        cells = spans.withColumn("__c", F.explode(dyadic_cells(F.col(s), F.col(e), width))).withColumns({"__level": F.col("__c.level"), "__place": F.col("__c.place")}).drop("__c")
+        levels = F.broadcast(cells.agg(F.collect_set("__level").alias("__levels")))  # one row of some 60 numbers at most
+        asks = points.join(levels).withColumn("__level", F.explode("__levels")).drop("__levels")
+        asks = asks.withColumn("__place", F.floor(F.floor(F.col(at) / width) / F.pow(F.lit(2.0), "__level")).cast("long"))
+        return cells.join(asks, [*keys, "__level", "__place"]).drop("__level", "__place").filter(meets)
+
+    by_right = found(left, right, "l_start", "l_end", "r_start").filter("r_start >= l_start")
+    by_left = found(right, left, "r_start", "r_end", "l_start").filter("l_start > r_start")
+    return by_right.unionByName(by_left.select(*by_right.columns))
 
 
 def clip(df: DataFrame, windows: DataFrame, keys: Sequence[str], start: str, end: str, width: int) -> DataFrame:

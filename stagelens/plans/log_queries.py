@@ -166,8 +166,8 @@ def _small(e: DataFrame) -> DataFrame:
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
     t, small = bound(spark, d, "tasks"), _small(bound(spark, d, "executors"))
     span = lambda a, b: t.select("context", a.alias("s"), b.alias("e"))
-    sweep = D.cluster_sweep(span(F.col("launch_ms") - MINUTE, F.col("launch_ms")), span(F.col("launch_ms"), F.col("finish_ms")), small, ["context"], "s", "e", F.col("cores"))
-    return D.queue_episodes(sweep, ["context"])
+    sweep = D.cluster_sweep(span(F.col("launch_ms") - MINUTE, F.col("launch_ms")), span(F.col("launch_ms"), F.col("finish_ms")), small, ["context"], "s", "e", F.col("cores"), 30 * DAY)
+    return D.queue_episodes(sweep, ["context"], width=30 * DAY)
 
 
 @query(f"""WITH {cte("tasks", "executors")}, {SWEEP3} SELECT context, s AS "start", e AS "end", n, short FROM ep""")
