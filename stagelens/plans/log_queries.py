@@ -690,22 +690,27 @@ def plan_nodes(spark: SparkSession, d: str) -> DataFrame:
 def _plan_json() -> F.Column:
     node = lambda name, detail, metrics="", children="": F.concat(F.lit(f'{{"nodeName":"{name}","simpleString":"'), detail, F.lit('","metrics":['), F.lit(metrics) if isinstance(metrics, str) else metrics, F.lit('],"children":['), F.lit(children) if isinstance(children, str) else children, F.lit("]}"))
     metric = lambda name, base, kind="sum": F.concat(F.lit(f'{{"name":"{name}","accumulatorId":'), F.col("o_orderkey") * 10 + base, F.lit(f',"metricType":"{kind}"}}'))
-    a, b = node("Scan", F.concat(F.lit("a "), "o_custkey"), F.concat(metric("number of output rows", 1), F.lit(","), metric("scan time", 2, "nsTiming"))), node("Scan", F.concat(F.lit("b "), "o_orderstatus"))
-    join = node("Join", F.lit("j"), metric("number of output rows", 3), F.concat(a, F.lit(","), node("Exchange", F.lit("x"), metric("data size", 4, "size"), b)))
+    several = lambda *m: F.concat(*[x for pair in zip(m, [F.lit(",")] * (len(m) - 1) + [F.lit("")], strict=True) for x in pair])
+    a = node("Scan", F.concat(F.lit("a "), "o_custkey"), several(metric("number of output rows", 1), metric("scan time", 2, "nsTiming"), metric("metadata time", 5, "timing")))
+    b = node("Scan", F.concat(F.lit("b "), "o_orderstatus"))
+    timed = several(metric("number of output rows", 3), metric("duration", 6, "timing"), metric("sort time", 7, "timing"), metric("peak memory", 8, "size"), metric("spill size", 9, "size"))
+    join = node("Join", F.lit("j"), timed, F.concat(a, F.lit(","), node("Exchange", F.lit("x"), metric("data size", 4, "size"), b)))
     return node("Project", F.concat(F.lit("p "), "o_custkey"), "", join)
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey % 3 AS c FROM orders), l AS (SELECT l_orderkey AS k, CAST(sum(l_partkey) AS BIGINT) AS p, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey, 1 AS node_id, q + o_orderkey AS rows_out, NULL AS time_ms, NULL AS data_bytes FROM o LEFT JOIN l ON k = o_orderkey UNION ALL SELECT o_orderkey, 2, p, q * 5000000 // 1000000, NULL FROM o LEFT JOIN l ON k = o_orderkey UNION ALL SELECT o_orderkey, 3, NULL, NULL, o_orderkey FROM o""".replace("q + o_orderkey AS rows_out", "coalesce(q, 0) + o_orderkey AS rows_out"))
+@query("""WITH o AS (SELECT o_orderkey FROM orders), l AS (SELECT l_orderkey AS k, CAST(sum(l_partkey) AS BIGINT) AS p, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, CAST(sum(l_partkey % 50) AS BIGINT) AS r, CAST(sum(l_suppkey) AS BIGINT) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, 1 AS node_id, coalesce(q, 0) + o_orderkey AS rows_out, CAST(3 * q AS DOUBLE) AS time_ms, s AS peak_mem, p AS spill_bytes, CAST(NULL AS BIGINT) AS data_bytes FROM o LEFT JOIN l ON k = o_orderkey
+UNION ALL SELECT o_orderkey, 2, p, CAST(q * 5 + r AS DOUBLE), NULL, NULL, NULL FROM o LEFT JOIN l ON k = o_orderkey UNION ALL SELECT o_orderkey, 3, NULL, NULL, NULL, NULL, o_orderkey FROM o""")
 def operator_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """plans' metric ids joined with what tasks and the driver added to them."""
+    """plans' metric ids joined with what tasks and the driver added to them; a scan has two timings, a join its own clock beside another."""
     o = read(spark, d, "orders").withColumn("context", F.lit("c"))
     nodes = TR.plan_nodes(o.select("context", "o_orderkey", _plan_json().alias("plan")), ["context", "o_orderkey"], "plan")
-    li = read(spark, d, "lineitem")
-    add = lambda base, v: li.select(F.lit("c").alias("context"), (F.col("l_orderkey") * 10 + base).alias("accumulator"), v.cast("long").alias("total"))
-    totals = add(1, F.col("l_partkey")).unionByName(add(2, F.col("l_quantity").cast("long") * 5_000_000)).unionByName(add(3, F.col("l_quantity")))
+    li, q = read(spark, d, "lineitem"), F.col("l_quantity").cast("long")
+    added = {1: F.col("l_partkey"), 2: q * 5_000_000, 3: q, 5: F.col("l_partkey") % 50, 6: q * 3, 7: q * 7, 8: F.col("l_suppkey"), 9: F.col("l_partkey")}
+    each = F.explode(F.array(*[F.struct((F.col("l_orderkey") * 10 + base).alias("accumulator"), v.cast("long").alias("total")) for base, v in added.items()])).alias("x")
+    totals = li.select(each).select(F.lit("c").alias("context"), "x.*")
     driver = o.select("context", F.explode(F.array(F.col("o_orderkey") * 10 + 3, F.col("o_orderkey") * 10 + 4)).alias("accumulator"), F.col("o_orderkey").alias("total"))
-    return TR.headline(TR.node_metrics(nodes, ["context", "o_orderkey"], totals, driver), ["context", "o_orderkey"]).select("o_orderkey", "node_id", "rows_out", "time_ms", "data_bytes")
+    return TR.headline(TR.node_metrics(nodes, ["context", "o_orderkey"], totals, driver), ["context", "o_orderkey"]).drop("context")
 
 
 @query("""SELECT o_orderkey, substring(o_orderpriority, 1, 3) AS o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")

@@ -4,30 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagelens.operators.graph import counted
 
-def plan_nodes(plans: DataFrame, keys: Sequence[str], plan: str, depth: int = 40) -> DataFrame:
+
+#: Levels that one pass over a plan takes apart; deeper plans take more passes, of what is left only.
+LEVELS = 12
+
+
+def plan_nodes(plans: DataFrame, keys: Sequence[str], plan: str) -> DataFrame:
     """keys, node_id (in pre-order, from 0), parent_id, name, detail, metrics (JSON) of plans given as JSON trees of nodeName, simpleString, metrics, children.
 
-    One step a level, down to the depth or the deepest leaf; a node's path of places among its siblings is its order.
+    A plan is parsed once, to VARIANT, and taken apart inside its row: each level's children are an array of the next, with their paths (places among siblings).
+    Pre-order is the order of paths. Plans deeper than LEVELS go on in further passes, as deep as they are. keys tell plans apart.
     """
-    level = plans.select(*keys, F.array().cast("array<int>").alias("path"), F.col(plan).alias("node"))
-    out = None
-    for _ in range(depth):
-        got = lambda k: F.get_json_object("node", f"$.{k}")
-        own = level.filter("node IS NOT NULL").select(*keys, "path", got("nodeName").alias("name"), got("simpleString").alias("detail"), got("metrics").alias("metrics"), F.from_json(got("children"), "array<string>").alias("children"))
-        rows = own.drop("children")
-        out = rows if out is None else out.unionByName(rows)
-        level = own.select(*keys, "path", F.posexplode("children").alias("p", "node")).select(*keys, F.array_append("path", F.col("p")).alias("path"), "node")
-        if level.isEmpty():
-            break
-    w = Window.partitionBy(*keys).orderBy("path")
-    numbered = out.withColumn("node_id", F.row_number().over(w) - 1)
-    up = numbered.select(*keys, F.col("path").alias("__up"), F.col("node_id").alias("parent_id"))
-    parent = F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))
-    return numbered.withColumn("__up", parent).join(up, [*keys, "__up"], "left").select(*keys, "node_id", "parent_id", "name", "detail", "metrics")
+    node = "struct<path: array<int>, node: variant>"
+    got = lambda x, f: F.try_variant_get(x, f"$.{f}", "string")
+
+    def children(level: Column) -> Column:
+        return F.flatten(F.transform(level, lambda n: F.transform(F.coalesce(F.try_variant_get(n["node"], "$.children", "array<variant>"), F.array().cast("array<variant>")), lambda c, i: F.struct(F.array_append(n["path"], i).alias("path"), c.alias("node")))))
+
+    def parsed(level: Column) -> Column:
+        return F.transform(level, lambda n: F.struct(n["path"].alias("path"), got(n["node"], "nodeName").alias("name"), got(n["node"], "simpleString").alias("detail"), F.to_json(F.try_variant_get(n["node"], "$.metrics", "variant")).alias("metrics")))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        for k in range(LEVELS):
+            rows = rows.withColumn(f"__l{k + 1}", children(F.col(f"__l{k}")))
+        return rows.select(*keys, F.concat(*[parsed(F.col(f"__l{k}")) for k in range(LEVELS)]).alias("__nodes"), F.col(f"__l{LEVELS}").alias("__rest"))
+
+    first = plans.select(*keys, F.try_parse_json(plan).alias("__v")).filter("__v IS NOT NULL")
+    found, deeper = counted(apart(first.select(*keys, F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("__v").alias("node"))).cast(f"array<{node}>").alias("__l0"))), F.coalesce(F.sum(F.size("__rest")), F.lit(0)))
+    nodes, rest = found.select(*keys, "__nodes"), found
+    while deeper:
+        rest, deeper = counted(apart(rest.filter(F.size("__rest") > 0).select(*keys, F.col("__rest").alias("__l0"))), F.coalesce(F.sum(F.size("__rest")), F.lit(0)))
+        nodes = nodes.unionByName(rest.select(*keys, "__nodes"))
+    if rest is not found:
+        nodes = nodes.groupBy(*keys).agg(F.flatten(F.collect_list("__nodes")).alias("__nodes"))
+    nodes = nodes.withColumn("__nodes", F.array_sort("__nodes")).withColumn("__at", F.map_from_arrays(F.transform("__nodes", lambda n: F.array_join(n["path"], ".")), F.transform("__nodes", lambda _, i: i)))
+    each = nodes.select(*keys, "__at", F.posexplode("__nodes").alias("node_id", "__n"))
+    up = F.array_join(F.slice(F.col("__n.path"), 1, F.greatest(F.size("__n.path") - 1, F.lit(0))), ".")
+    parent = F.when(F.size("__n.path") > 0, F.try_element_at("__at", up))
+    return each.select(*keys, "node_id", parent.alias("parent_id"), F.col("__n.name").alias("name"), F.col("__n.detail").alias("detail"), F.col("__n.metrics").alias("metrics"))
 
 
 def node_metrics(nodes: DataFrame, keys: Sequence[str], totals: DataFrame, driver: DataFrame) -> DataFrame:
@@ -43,15 +62,28 @@ def node_metrics(nodes: DataFrame, keys: Sequence[str], totals: DataFrame, drive
     return out.select(*keys, "node_id", "metric", "type", value.alias("value"))
 
 
+# fixed values: sizes of an operator, the first that it has counts
+SIZES = ("data size", "size of files read", "shuffle bytes written")
+# end of fixed values
+
+
 def headline(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, node_id: rows out, time in ms (a duration before a sum of times), peak memory, spill and data size, each the first that an operator has in order of priority."""
-    wanted = {
-        "rows_out": ("number of output rows",), "time_ms": ("duration", "time in aggregation build", "sort time", "scan time"), "peak_mem": ("peak memory",),
-        "spill_bytes": ("spill size",), "data_bytes": ("data size", "size of files read", "shuffle bytes written"),
-    }
-    v = F.when(F.col("type") == "nsTiming", F.floor(F.col("value") / 1_000_000)).otherwise(F.col("value"))
-    first = lambda names: F.coalesce(*[F.max(F.when(F.col("metric") == n, v)) for n in names])
-    return metrics.groupBy(*keys, "node_id").agg(*[first(names).cast("long").alias(k) for k, names in wanted.items()])
+    """keys, node_id: rows out, time in ms, peak memory, spill and data size of each operator.
+
+    Rows, spills and times add up; an operator's own clock (duration) stands before the sum of its other timings. Peak memory is the greatest there is. Sizes are
+    of the first name in SIZES that has one. An operator without such metrics has nulls. metrics: name, type and value; `most` (a task's greatest) where it is known.
+    """
+    m = metrics if "most" in metrics.columns else metrics.withColumn("most", F.lit(None).cast("long"))
+    name, timing = F.lower("metric"), F.col("type").isin("timing", "nsTiming")
+    ms = F.when(F.col("type") == "nsTiming", F.col("value") / 1_000_000).otherwise(F.col("value").cast("double"))
+    total = lambda where, v: F.sum(F.when(where, v))
+    time = F.coalesce(total(timing & (name == "duration"), ms), total(timing & (name != "duration"), ms))
+    peak = F.max(F.when(~timing & name.contains("peak memory"), F.coalesce("most", "value")))
+    sizes = [F.max(F.when((F.col("type") == "size") & (name == n), F.col("value"))) for n in SIZES]
+    return m.groupBy(*keys, "node_id").agg(
+        total(name == "number of output rows", F.col("value")).cast("long").alias("rows_out"), F.round(time, 3).alias("time_ms"), peak.cast("long").alias("peak_mem"),
+        total(~timing & name.contains("spill size") & ~name.contains("peak memory"), F.col("value")).cast("long").alias("spill_bytes"), F.coalesce(*sizes).cast("long").alias("data_bytes"),
+    )
 
 
 def hierarchy(jobs: DataFrame, stages: DataFrame, queries: DataFrame) -> DataFrame:

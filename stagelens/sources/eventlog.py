@@ -60,18 +60,33 @@ def _time(c: str) -> F.Column:
     return F.timestamp_millis(F.col(c))
 
 
+# fixed values: what a replan says
+REPLANNED = r"(?i)Adaptive query execution has replanned"
+# end of fixed values
+
+
+def replanned(text: F.Column) -> F.Column:
+    """Whether a job, stage or task ended only because adaptive execution made a new plan."""
+    return F.coalesce(text.rlike(REPLANNED), F.lit(False))
+
+
+def replan_kill(reason: F.Column, text: F.Column) -> F.Column:
+    return (reason == "TaskKilled") & replanned(text)
+
+
 def tasks(ev: DataFrame) -> DataFrame:
-    """One row a task attempt."""
+    """One row a task attempt. A task that was killed as adaptive execution no longer needed its stage has not failed; its reason and text stay."""
     i, m, r = "e.`Task Info`", "e.`Task Metrics`", "e.`Task End Reason`"
     read, write = f"{m}.`Shuffle Read Metrics`", f"{m}.`Shuffle Write Metrics`"
     c = F.col
+    error = F.coalesce(c(f"{r}.Description"), c(f"{r}.`Loss Reason`"), c(f"{r}.`Kill Reason`"), c(f"{r}.Message"))
     return ev.filter("kind = 'TaskEnd'").select(
         "context", c("e.`Stage ID`").alias("stage_id"), c("e.`Stage Attempt ID`").alias("stage_attempt"), c(f"{i}.`Task ID`").alias("task_id"), c(f"{i}.Index").alias("task_index"), c(f"{i}.Attempt").alias("task_attempt"),
         c(f"{i}.`Executor ID`").alias("executor_id"), c(f"{i}.Host").alias("host"), _time(f"{i}.`Launch Time`").alias("launch_time"), _time(f"{i}.`Finish Time`").alias("finish_time"), (c(f"{i}.`Finish Time`") - c(f"{i}.`Launch Time`")).alias("task_ms"),
         c(f"{m}.`Executor Run Time`").alias("run_ms"), F.floor(c(f"{m}.`Executor CPU Time`") / 1_000_000).alias("cpu_ms"), c(f"{m}.`JVM GC Time`").alias("gc_ms"), c(f"{read}.`Fetch Wait Time`").alias("fetch_wait_ms"), F.floor(c(f"{write}.`Shuffle Write Time`") / 1_000_000).alias("shuffle_write_ms"),
         c(f"{m}.`Peak Execution Memory`").alias("peak_mem"), c(f"{m}.`Memory Bytes Spilled`").alias("mem_spill"), c(f"{m}.`Disk Bytes Spilled`").alias("disk_spill"), c(f"{m}.`Input Metrics`.`Bytes Read`").alias("input_bytes"), c(f"{m}.`Input Metrics`.`Records Read`").alias("input_records"),
         c(f"{m}.`Output Metrics`.`Bytes Written`").alias("output_bytes"), (c(f"{read}.`Remote Bytes Read`") + c(f"{read}.`Local Bytes Read`")).alias("shuffle_read"), c(f"{write}.`Shuffle Bytes Written`").alias("shuffle_write"),
-        c(f"{i}.Speculative").alias("speculative"), (c(f"{r}.Reason") != "Success").alias("failed"), c(f"{r}.Reason").alias("end_reason"), F.coalesce(c(f"{r}.Description"), c(f"{r}.Message"), c(f"{r}.`Loss Reason`"), c(f"{r}.`Kill Reason`")).alias("error"),
+        c(f"{i}.Speculative").alias("speculative"), ((c(f"{r}.Reason") != "Success") & ~replan_kill(c(f"{r}.Reason"), error)).alias("failed"), c(f"{r}.Reason").alias("end_reason"), error.alias("error"),
         c(f"{i}.Accumulables").alias("accumulables"),
     )
 
@@ -83,14 +98,17 @@ def stages(ev: DataFrame) -> DataFrame:
     scopes = F.slice(F.array_distinct(F.transform("RDD Info", lambda x: F.get_json_object(x["Scope"], "$.name"))), 1, 20)
     s = s.select("context", "seq", "kind", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("stage_attempt"), F.col("Stage Name").alias("stage_name"), F.col("Number of Tasks").alias("n_tasks"), _time("`Submission Time`").alias("start_time"), _time("`Completion Time`").alias("end_time"), F.col("Failure Reason").alias("failure_reason"), F.sort_array(F.array_distinct("Parent IDs")).alias("parent_ids"), names.alias("rdd_names"), scopes.alias("rdd_scopes"))
     pair = lambda k: s.filter(F.col("kind") == k).drop("kind")
-    return J.start_end(pair("StageSubmitted"), pair("StageCompleted"), ["context", "stage_id", "stage_attempt"], "seq").drop("seq")
+    status = F.when(replanned(F.col("failure_reason")), "replanned").when(F.col("failure_reason").isNotNull(), "failed").when(F.col("end_time").isNotNull(), "succeeded").otherwise("open")
+    return J.start_end(pair("StageSubmitted"), pair("StageCompleted"), ["context", "stage_id", "stage_attempt"], "seq").drop("seq").withColumn("status", status)
 
 
 def jobs(ev: DataFrame) -> DataFrame:
     starts = ev.filter("kind = 'JobStart'").select("context", "seq", F.col("e.`Job ID`").alias("job_id"), _time("e.`Submission Time`").alias("start_time"), F.col("e.`Stage IDs`").alias("stage_ids"), F.col("e.Properties").alias("properties"))
     ends = ev.filter("kind = 'JobEnd'").select("context", "seq", F.col("e.`Job ID`").alias("job_id"), _time("e.`Completion Time`").alias("end_time"), F.col("e.`Job Result`.Result").alias("result"), F.col("e.`Job Result`.Exception.Message").alias("error"))
     out = J.start_end(starts, ends, ["context", "job_id"], "seq").drop("seq")
-    return out.withColumn("status", F.when(F.col("result") == "JobSucceeded", "succeeded").when(F.col("result").isNotNull(), "failed").otherwise("open"))
+    result = F.when((F.col("result") == "JobFailed") & replanned(F.col("error")), "JobReplanned").otherwise(F.col("result"))
+    out = out.withColumn("result", result)
+    return out.withColumn("status", F.when(F.col("result") == "JobSucceeded", "succeeded").when(F.col("result") == "JobReplanned", "replanned").when(F.col("result").isNotNull(), "failed").otherwise("open"))
 
 
 def queries(ev: DataFrame) -> DataFrame:
