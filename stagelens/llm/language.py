@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -123,16 +123,22 @@ class Scorer:
 
 
 def labelled_windows(docs: DataFrame, per_language: int = 600, seed: int = 11) -> tuple[list[bytes], list[str]]:
-    """A bounded sample for training: about per_language documents of each lang, chosen by a hash, two windows of each and a short cut of one."""
-    counts = {r["lang"]: r["n"] for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A bounded sample for training: about per_language different documents of each lang, chosen by a hash, two windows of each and a short cut of one.
+
+    Documents are told apart by (doc_id, text), so that rows without an id, or of one id, are drawn like others and copies count once; the cut at twice as many a
+    lang is in order of the hash. Partitions and order of the rows change nothing.
+    """
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("__h", F.xxhash64("doc_id", "text", F.lit(seed)))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("__h").alias("n")).collect()}
     if not counts:
         return [], []
     of = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    sampled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.element_at(of, F.col("lang")) * (1 << 30))
-    at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
+    sampled = known.filter(F.pmod("__h", F.lit(1 << 30)) < F.element_at(of, F.col("lang")) * (1 << 30)).select("lang", "__h", "text").dropDuplicates(["lang", "__h"])
+    at = lambda k: F.pmod(F.xxhash64("__h", F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
     cut = lambda k, n: F.substring("text", at(k).cast("int"), n)
-    short = cut(2, (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(60)) + 8).cast("int"))
-    rows = sampled.select("lang", F.explode(F.array(cut(1, F.lit(WINDOW)), cut(2, F.lit(WINDOW)), short)).alias("t")).limit(6 * per_language * len(counts)).collect()
+    short = cut(2, (F.pmod(F.xxhash64("__h", F.lit(3)), F.lit(60)) + 8).cast("int"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("__h")) <= 2 * per_language
+    rows = sampled.select("lang", "__h", F.array(cut(1, F.lit(WINDOW)), cut(2, F.lit(WINDOW)), short).alias("t")).withColumn("__first", first).filter("__first").select("lang", F.explode("t").alias("t")).collect()
     rows = sorted((r["lang"], r["t"].encode("utf-8")) for r in rows if any(c.isalpha() for c in r["t"]))
     return [t for _, t in rows], [k for k, _ in rows]
 

@@ -250,9 +250,12 @@ def train(texts: list[str], steps: int = 700, batch: int = 64, rate: float = 0.0
 
 
 def training_cuts(docs: DataFrame, documents: int = 6000, cuts: int = 1200, seed: int = 21) -> list[str]:
-    """A bounded sample for training: of about `documents` documents chosen by a hash, at most `cuts` pieces of text around digits and @."""
+    """A bounded sample for training: of about `documents` documents chosen by a hash, at most `cuts` different pieces of text around digits and @.
+
+    The hash is of (doc_id, text): rows without an id are drawn like others.
+    """
     n = max(1, docs.count())
-    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < min(1.0, documents / n) * (1 << 30))
+    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < min(1.0, documents / n) * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,7 +269,7 @@ def training_cuts(docs: DataFrame, documents: int = 6000, cuts: int = 1200, seed
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["doc_id", "cut"])
 
     found = some.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, cut string")
-    return [r["cut"] for r in found.orderBy(F.xxhash64("doc_id", "cut"), "cut").limit(cuts).collect()]
+    return [r["cut"] for r in found.distinct().orderBy(F.xxhash64("doc_id", "cut"), "cut").limit(cuts).collect()]
 
 
 class Finder:
