@@ -11,7 +11,8 @@ SCAN = r"(?:FileScan|BatchScan|Scan) \w* ?([\w$]+(?:\.[\w$]+){1,2})"
 WRITE = r"(?:InsertIntoHadoopFsRelationCommand|SaveIntoDataSourceCommand|CreateDataSourceTableAsSelectCommand|AppendData|OverwriteByExpression|MergeIntoCommand)\W+([\w$:/.\-]+)"
 JDBC = r"JDBCRelation\((.*?)\) \[numPartitions=(\d+)\]"
 CACHE = r"(?i)InMemoryTableScan|InMemoryRelation"
-WINDOW = r"(row_number|rank|dense_rank)\(\) windowspecdefinition\(([^)]*?)(?:, specifiedwindowframe[^)]*\))?\)"
+WINDOW = r"(row_number|rank|dense_rank)\([^\n]*?\) windowspecdefinition\([^\n]*?specifiedwindowframe\([^\n]*?\)\)\)(?: AS \w+#)?"
+GROUP_LIMIT = r"WindowGroupLimit (\[[^\n]*)"
 
 
 def final_plan(final: Column, initial: Column) -> Column:
@@ -53,9 +54,61 @@ def adaptive(plan: Column) -> Column:
     return F.coalesce(plan.contains("AdaptiveSparkPlan"), F.lit(False))
 
 
-def window_facts(plan: Column) -> Column:
-    """struct(function, keys) of the first ranking window; null without one."""
-    return F.when(plan.rlike(WINDOW), F.struct(F.regexp_extract(plan, WINDOW, 1).alias("function"), F.regexp_replace(F.regexp_extract(plan, WINDOW, 2), r"#\d+L?", "").alias("keys")))
+def arguments(text: Column) -> Column:
+    """The parts of a list, cut at the commas outside brackets, up to a bracket that closes more than is open: a fold over the tokens with a depth."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[\[\](),]|[^\[\](),]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
+
+    def step(x: Column, t: Column) -> Column:
+        depth = x["depth"] + F.when(t.isin("[", "("), 1).when(t.isin("]", ")"), -1).otherwise(0)
+        over, comma = (x["depth"] < 0) | (depth < 0), (t == ",") & (x["depth"] == 0)
+        return F.struct(
+            F.when(over, -1).otherwise(depth).alias("depth"), F.when(over, x["part"]).when(comma, "").otherwise(F.concat(x["part"], t)).alias("part"),
+            F.when(comma & ~over, F.array_append(x["parts"], F.trim(x["part"]))).otherwise(x["parts"]).alias("parts"),
+        )
+
+    return F.filter(F.aggregate(tokens, start, step, lambda x: F.array_append(x["parts"], F.trim(x["part"]))), lambda p: p != "")
+
+
+def plain_names(parts: Column) -> Column:
+    """Expressions without the ids that a plan puts behind names."""
+    return F.transform(parts, lambda p: F.regexp_replace(p, r"#\d+L?", ""))
+
+
+def ranking_windows(plan: Column) -> Column:
+    """An array of (function, partition_keys, order_keys, alias, limit, keeps_ties) of a plan's ranking windows, different ones in order.
+
+    The limit is that of a group limit on the same keys and function, or of a filter on the alias; null if all ranks are kept. rank and dense_rank that keep the first
+    keep all that tie for it.
+    """
+    found = F.regexp_extract_all(plan, F.lit(WINDOW), F.lit(0))
+    ordered = r" (ASC|DESC)( NULLS (FIRST|LAST))?$"
+
+    def window(text: Column) -> Column:
+        spec = F.filter(arguments(F.split_part(text, F.lit("windowspecdefinition("), F.lit(2))), lambda p: ~p.startswith("specifiedwindowframe"))
+        return F.struct(
+            F.regexp_extract(text, WINDOW, 1).alias("function"), plain_names(F.filter(spec, lambda p: ~p.rlike(ordered))).alias("partition_keys"), plain_names(F.filter(spec, lambda p: p.rlike(ordered))).alias("order_keys"),
+            F.nullif(F.regexp_extract(text, r"\) AS (\w+)#", 1), F.lit("")).alias("alias"),
+        )
+
+    limits = F.transform(F.regexp_extract_all(plan, F.lit(GROUP_LIMIT), F.lit(1)), arguments)
+    inner = lambda part: plain_names(arguments(F.regexp_replace(part, r"^\[|\]$", "")))
+    limits = F.transform(limits, lambda p: F.struct(inner(F.get(p, 0)).alias("keys"), F.regexp_extract(F.get(p, F.size(p) - 3), r"^(\w+)", 1).alias("function"), F.get(p, F.size(p) - 2).try_cast("int").alias("limit")))
+
+    def limited(w: Column) -> Column:
+        by_group = F.array_min(F.transform(F.filter(limits, lambda g: (g["keys"] == w["partition_keys"]) & (g["function"] == w["function"])), lambda g: g["limit"]))
+        test = F.concat(F.lit(r"\b"), w["alias"], F.lit(r"(?:#\d+L?)? (=|<=|<) (\d+)\b"))
+        part = lambda i: F.call_function("regexp_extract", plan, test, F.lit(i))
+        by_filter = part(2).try_cast("int") - F.when(part(1) == "<", 1).otherwise(0)
+        limit = F.coalesce(by_group, by_filter)
+        return F.struct(w["function"].alias("function"), w["partition_keys"].alias("partition_keys"), w["order_keys"].alias("order_keys"), w["alias"].alias("alias"), limit.alias("limit"), (w["function"].isin("rank", "dense_rank") & F.coalesce(limit == 1, F.lit(False))).alias("keeps_ties"))
+
+    return F.transform(F.array_distinct(F.transform(found, window)), limited)
+
+
+def dedup_window(plan: Column) -> Column:
+    """The first ranking window that keeps one rank a key; null without one."""
+    return F.get(F.filter(ranking_windows(plan), lambda w: w["limit"] == 1), 0)
 
 
 def description_label(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import by_keys
+
 # fixed values: edges of the size bands
 MIB = 1024 * 1024
 BANDS = (10 * MIB, 128 * MIB, 256 * MIB)
@@ -28,9 +30,40 @@ def _name(c: Column) -> str:
     return c._jc.toString() if hasattr(c, "_jc") else str(c)
 
 
+#: Ranks that the sketch of exact_quantiles may be wrong by, as a share of a group's rows.
+RANK_ERROR = 1 / 2000
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], error: float = RANK_ERROR) -> DataFrame:
+    """keys, n, min, max, avg and a column for each quantile (p50, ...): lower percentiles, as percentile_disc gives them, without a group's values in one buffer.
+
+    A sketch (percentile_approx, which merges map-side and keeps some 1 / error values a group) brackets each quantile's rank between two values. The second pass counts what lies below a
+    bracket, and sums rows by value inside it only: some 4 x error of the group's rows, or one value that repeats. Null keys are a group; null values do not count.
+    """
+    names = [f"p{round(q * 100)}" for q in quantiles]
+    edge = lambda q: [min(1.0, max(0.0, q - 2 * error)), min(1.0, q + 2 * error)]
+    sketch = F.percentile_approx(value, [x for q in quantiles for x in edge(q)], F.lit(int(1 / error)))
+    heads = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), sketch.alias("__s"))
+    # the ends of a group stand for themselves, so that no rank falls outside
+    lo = [F.when(F.lit(edge(q)[0] <= 0), F.col("min")).otherwise(F.get("__s", 2 * i)) for i, q in enumerate(quantiles)]
+    hi = [F.when(F.lit(edge(q)[1] >= 1), F.col("max")).otherwise(F.get("__s", 2 * i + 1)) for i, q in enumerate(quantiles)]
+    brackets = heads.select(*keys, *[x.alias(f"__{side}{i}") for i in range(len(names)) for side, x in (("lo", lo[i]), ("hi", hi[i]))])
+    v = F.col(value)
+    rows = by_keys(df.select(*keys, value).filter(v.isNotNull()), brackets, keys)
+    which = F.array_compact(F.array(*[F.when(v < F.col(f"__lo{i}"), F.struct(F.lit(i).alias("i"), F.lit(True).alias("below"), F.lit(None).cast(df.schema[value].dataType).alias("v"))).when(v <= F.col(f"__hi{i}"), F.struct(F.lit(i).alias("i"), F.lit(False).alias("below"), v.alias("v"))) for i in range(len(names))]))
+    counts = rows.select(*keys, F.explode(which).alias("x")).groupBy(*keys, "x").agg(F.count("*").alias("__c")).select(*keys, "x.*", "__c")
+    order = Window.partitionBy(*keys, "i").orderBy(F.desc("below"), "v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by_keys(counts.withColumn("__run", F.sum("__c").over(order)), heads.select(*keys, "n"), keys)
+    rank = F.greatest(F.ceil(F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("i") + 1) * F.col("n")), F.lit(1))
+    found = ranked.filter(~F.col("below") & (F.col("__run") >= rank)).groupBy(*keys).agg(*[F.min(F.when(F.col("i") == i, F.col("v"))).alias(p) for i, p in enumerate(names)])
+    return by_keys(heads.drop("__s"), found, keys, "left").select(*keys, "n", "min", *names, "max", "avg")
+
+
 def distribution(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.1, 0.5, 0.9), how: str = "lower", where: Column | None = None) -> DataFrame:
-    """keys, n, min, p10, p50, p90, max, avg of value (of the rows where the condition holds, if given)."""
+    """keys, n, min, p10, p50, p90, max, avg of value (of the rows where the condition holds, if given). how: as in quantile, or bracket (exact_quantiles, for groups too large for a buffer)."""
     kept = df if where is None else df.withColumn(value, F.when(where, F.col(value)))
+    if how == "bracket":
+        return exact_quantiles(kept, keys, value, quantiles)
     cols = [quantile(value, q, how).cast(df.schema[value].dataType).alias(f"p{round(q * 100)}") for q in quantiles]
     return kept.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), *cols, F.max(value).alias("max"), F.avg(value).alias("avg"))
 

@@ -15,13 +15,13 @@ ALL_BEFORE = (Window.unboundedPreceding, -1)
 TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
-def by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """left with the other columns of the right rows of equal keys (null ones are equal too)."""
     other = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-    return left.join(other, same).drop(*[f"__key_{k}" for k in keys])
+    return left.join(other, same, how).drop(*[f"__key_{k}" for k in keys])
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0, sums: Sequence[str] = (), width: int | None = None) -> DataFrame:

@@ -7,42 +7,64 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import by_keys, running_sums
 
-def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], width: int | None = None) -> DataFrame:
+    """df with, for each name, the last value that is not null at or before the row, in order within the keys.
 
-def inherit(df: DataFrame, keys: Sequence[str], order: Sequence[str], boundary: Column, columns: Sequence[str]) -> DataFrame:
-    """Rows that are no boundary take the columns of the last boundary row, and continuation says whether that has a first column."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(boundary, F.struct(*columns)), ignorenulls=True).over(w)
-    out = df.withColumn("__b", boundary).withColumn("__last", last)
+    width: for keys with too many rows for one task (a giant file). The first order column, a row number, is cut into blocks of this width. What a block hands on is its
+    last value; those are carried over the blocks (one row a block), and each block, a window of its own, begins with what came before it.
+    """
+    df = df.withColumns(values)
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in values})
+    df = df.withColumn("__block", F.floor(F.col(order[0]) / width))
+    at = F.struct(*order)
+    edges = df.groupBy(*keys, "__block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__in_{c}") for c in values])
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumns({f"__in_{c}": F.last(f"__in_{c}", ignorenulls=True).over(before) for c in values})
+    w = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = by_keys(df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in values}), edges, [*keys, "__block"])
+    return out.withColumns({c: F.coalesce(c, f"__in_{c}") for c in values}).drop("__block", *[f"__in_{c}" for c in values])
+
+
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], width: int | None = None) -> DataFrame:
+    """Nulls take the last value before them. width: as in last_known."""
+    return last_known(df, keys, order, {c: F.col(c) for c in columns}, width)
+
+
+def inherit(df: DataFrame, keys: Sequence[str], order: Sequence[str], boundary: Column, columns: Sequence[str], width: int | None = None) -> DataFrame:
+    """Rows that are no boundary take the columns of the last boundary row, and continuation says whether that has a first column. width: as in last_known."""
+    out = last_known(df.withColumn("__b", boundary), keys, order, {"__last": F.when(F.col("__b"), F.struct(*columns))}, width)
     out = out.withColumn("continuation", ~F.col("__b") & F.col(f"__last.{columns[0]}").isNotNull())
     return out.withColumns({c: F.when(F.col("__b"), F.col(c)).otherwise(F.col(f"__last.{c}")) for c in columns}).drop("__b", "__last")
 
 
-def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], opens: Column) -> DataFrame:
-    """df with session: how many rows up to here open one (0 before the first)."""
+def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], opens: Column, width: int | None = None) -> DataFrame:
+    """df with session: how many rows up to here open one (0 before the first). width: in two levels over blocks of the first order column, which then orders alone."""
+    df = df.withColumn("session", F.when(opens, 1).otherwise(0))
+    if width is not None:
+        return running_sums(df, keys, order[0], ["session"], width)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session", F.sum(F.when(opens, 1).otherwise(0)).over(w))
+    return df.withColumn("session", F.sum("session").over(w))
 
 
-def exception_groups(lines: DataFrame, file: str, seq: str, line: str, header: str, frame: str, dump: str, prefixed: Column, top: int = 5) -> DataFrame:
+def exception_groups(lines: DataFrame, file: str, seq: str, line: str, header: str, frame: str, dump: str, prefixed: Column, top: int = 5, width: int | None = None) -> DataFrame:
     """Occurrences of exceptions: file, seq, exception, message, frames (the first `top`).
 
     A header opens an occurrence; its frames are the frame lines behind it. A blank line, a line with a prefix of its own, a thread dump's
     header or the next header closes it. Lines of a thread dump belong to none: a dump lasts from its header to a blank or prefixed line.
+    width: a giant file in blocks of so many lines, as in last_known; an occurrence may lie over a block's edge.
     """
     c = F.col(line)
-    w = Window.partitionBy(file).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     blank = c.rlike(r"^\s*$")
     state = F.when(c.rlike(dump), 1).when(blank | prefixed, 0)
-    marked = lines.withColumn("__dump", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0)))
+    marked = last_known(lines, [file], [seq], {"__dump": state}, width).withColumn("__dump", F.coalesce("__dump", F.lit(0)))
     opens = c.rlike(header) & (F.col("__dump") == 0)
     closes = blank | (prefixed & ~opens) | (F.col("__dump") == 1)
-    marked = marked.withColumn("__open", F.when(opens, F.col(seq)).when(closes, F.lit(-1)))
-    marked = marked.withColumn("__group", F.last("__open", ignorenulls=True).over(w)).filter("__group >= 0")
+    marked = last_known(marked, [file], [seq], {"__group": F.when(opens, F.col(seq)).when(closes, F.lit(-1))}, width).filter("__group >= 0")
     frames = F.sort_array(F.collect_list(F.when(c.rlike(frame), F.struct(F.col(seq).alias("s"), F.regexp_replace(c, r"^\s+|\s+$", "").alias("f")))))
     out = marked.groupBy(file, F.col("__group").alias(seq)).agg(F.min_by(c, seq).alias("__head"), frames.alias("__f"))
     return out.select(file, seq, F.regexp_extract("__head", header, 1).alias("exception"), F.nullif(F.regexp_extract("__head", header, 2), F.lit("")).alias("message"), F.slice(F.transform("__f", lambda x: x["f"]), 1, top).alias("frames"))

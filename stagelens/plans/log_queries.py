@@ -544,13 +544,31 @@ def merge_findings(spark: SparkSession, d: str) -> DataFrame:
     return FD.detect(q, rules, F.col("sql_execution_id").cast("string"), ["context"]).select("category", "entity", "severity", "context")
 
 
+def _window_plan(wide: F.Column, ranked: F.Column) -> F.Column:
+    """A plan with a ranking window on a, or on a and c, by the time of change; the first is kept, by a group limit or by a filter."""
+    name = F.when(ranked, "rank(coalesce(ts#3, d#5))").otherwise("row_number()")
+    keys = F.when(wide, "a#1, c#2L").otherwise("a#1")
+    window = F.concat(F.lit("+- Window ["), name, F.lit(" windowspecdefinition("), keys, F.lit(", coalesce(ts#3, d#5) DESC NULLS LAST, specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())) AS rn#9], ["), keys, F.lit("], [coalesce(ts#3, d#5) DESC NULLS LAST]"))
+    limit = F.concat(F.lit("\n   +- WindowGroupLimit ["), keys, F.lit("], [coalesce(ts#3, d#5) DESC NULLS LAST], "), name, F.lit(", 1, Final"))
+    return F.concat(F.when(wide, "Filter (rn#9 < 2)\n").otherwise("Project [a#1]\n"), window, F.when(wide, "").otherwise(limit), F.lit("\n      +- Scan t"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 2 THEN 'rank' ELSE 'row_number' END AS function, CASE WHEN o_custkey % 3 = 1 THEN 'a;c' ELSE 'a' END AS partition_keys, 'coalesce(ts, d) DESC NULLS LAST' AS order_keys, 1 AS "limit", o_custkey % 3 = 2 AS keeps_ties FROM orders""")
+def window_dedups(spark: SparkSession, d: str) -> DataFrame:
+    """The window that keeps one row a key, from plan text with brackets in brackets."""
+    k = F.col("o_custkey") % 3
+    w = read(spark, d, "orders").select("o_orderkey", P.dedup_window(_window_plan(k == 1, k == 2)).alias("w"))
+    return w.select("o_orderkey", "w.function", F.array_join("w.partition_keys", ";").alias("partition_keys"), F.array_join("w.order_keys", ";").alias("order_keys"), "w.limit", "w.keeps_ties")
+
+
 @query("""WITH f AS (SELECT o_orderkey, o_custkey % 4 AS k FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey, CASE k WHEN 0 THEN 'not deduplicated' WHEN 1 THEN 'deduplicated on more keys than the MERGE joins' WHEN 2 THEN 'ties kept' ELSE 'unclear' END AS cause, CASE WHEN k = 1 THEN 'c' WHEN k > 1 THEN '' END AS extra FROM f""")
 def duplicate_causes(spark: SparkSession, d: str) -> DataFrame:
     """R5."""
     f = read(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"))
     failed = f.select("o_orderkey", F.col("o_orderkey").alias("batch"), F.array(F.lit("a"), F.lit("b")).alias("merge_keys"))
-    keys = F.when(F.col("k") == 1, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a")))
-    out = TV.duplicate_causes(failed, f.filter("k > 0").select(F.col("o_orderkey").alias("batch"), keys.alias("partition_keys"), (F.col("k") == 2).alias("keeps_ties")), ["batch"])
+    one = P.dedup_window(_window_plan(F.col("k") == 1, F.col("k") == 2))
+    dedups = f.filter("k > 0").select(F.col("o_orderkey").alias("batch"), one.alias("w")).select("batch", "w.partition_keys", "w.keeps_ties")
+    out = TV.duplicate_causes(failed, dedups, ["batch"])
     return out.select("o_orderkey", "cause", F.array_join("extra_keys", ",").alias("extra"))
 
 

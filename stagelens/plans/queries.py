@@ -55,6 +55,13 @@ def group_distribution(spark: SparkSession, d: str) -> DataFrame:
     return A.distribution(read(spark, d, "lineitem"), ["l_suppkey"], "l_quantity").withColumn("avg", F.round("avg", 4))
 
 
+@query("""SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS "min", quantile_disc(l_extendedprice, 0.1) AS p10, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.9) AS p90, quantile_disc(l_extendedprice, 0.99) AS p99, max(l_extendedprice) AS "max"
+FROM lineitem GROUP BY l_returnflag""")
+def giant_group_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """A1 of groups with a third of all rows each: exact percentiles by brackets."""
+    return A.exact_quantiles(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9, 0.99]).drop("avg")
+
+
 @query("""SELECT l_partkey, count(*) AS n, quantile_disc(l_quantity, 0.5) AS p50, max(l_quantity) AS "max",
   floor(max(l_quantity) / greatest(quantile_disc(l_quantity, 0.5), 1) * 10 + 0.5) / 10 AS skew FROM lineitem GROUP BY l_partkey""")
 def skew_by_group(spark: SparkSession, d: str) -> DataFrame:

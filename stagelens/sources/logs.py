@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from stagelens.functions import text as T
 from stagelens.operators import windows as W
 
+#: Lines of a file that are one task's work where rows inherit from rows before them.
+BLOCK_LINES = 1_000_000
+
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """file_path, size, modified, top (first folder below path) of every file; contents are not read."""
@@ -55,8 +58,8 @@ def log_lines(raw: DataFrame) -> DataFrame:
     """lines() with source attributes, ts, level, logger, message, continuation: a line without a prefix takes level and logger of the record above it, and its time."""
     parsed = raw.withColumn("__p", T.log_prefix(F.col("line"))).select(*raw.columns, *path_attributes(F.col("file_path")), "__p.*")
     indented = F.col("line").rlike(r"^\s+\S|^Caused by: ") | F.col("line").rlike(T.EXCEPTION)
-    out = W.inherit(parsed.withColumn("__known", F.col("kind").isNotNull()), ["file_path"], ["seq"], F.col("__known") | ~indented, ["level", "logger"])
-    return W.forward_fill(out.drop("__known"), ["file_path"], ["seq"], ["ts"])
+    out = W.inherit(parsed.withColumn("__known", F.col("kind").isNotNull()), ["file_path"], ["seq"], F.col("__known") | ~indented, ["level", "logger"], BLOCK_LINES)
+    return W.forward_fill(out.drop("__known"), ["file_path"], ["seq"], ["ts"], BLOCK_LINES)
 
 
 def signals(lines: DataFrame, rules: Sequence[T.Signal], ignore: str | None = None) -> DataFrame:
@@ -68,7 +71,7 @@ def signals(lines: DataFrame, rules: Sequence[T.Signal], ignore: str | None = No
 def errors(lines: DataFrame, framework: Sequence[str] = ("java.", "javax.", "jdk.", "sun.", "scala.", "org.apache.", "py4j.")) -> DataFrame:
     """Exception occurrences of log_lines: file_path, seq, exception, message, frames, fingerprint, user_frame."""
     own_time = F.col("kind").isNotNull()
-    out = W.exception_groups(lines, "file_path", "seq", "line", T.EXCEPTION, T.FRAME, T.DUMP_HEADER, own_time)
+    out = W.exception_groups(lines, "file_path", "seq", "line", T.EXCEPTION, T.FRAME, T.DUMP_HEADER, own_time, width=BLOCK_LINES)
     return out.withColumn("fingerprint", T.fingerprint(F.col("exception"), F.col("frames"))).withColumn("user_frame", T.user_frame(F.col("frames"), framework))
 
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from stagelens.functions import plan_text
 from stagelens.plans import tree
 from stagelens.sources import eventlog
 
@@ -68,3 +69,25 @@ def test_replanned_tasks_jobs_and_stages(spark, tmp_path):
     assert {r["task_id"]: r["failed"] for r in eventlog.tasks(ev).collect()} == {1: False, 2: False, 3: True}
     assert {r["stage_id"]: r["status"] for r in eventlog.stages(ev).collect()} == {1: "succeeded", 2: "replanned", 3: "failed"}
     assert {r["job_id"]: (r["result"], r["status"]) for r in eventlog.jobs(ev).collect()} == {1: ("JobSucceeded", "succeeded"), 2: ("JobReplanned", "replanned"), 3: ("JobFailed", "failed")}
+
+
+def test_ranking_windows_of_real_plans(spark):
+    """Plans that Spark itself prints: keys with commas in brackets, ranks with and without a limit, ties."""
+    spark.range(20).selectExpr("id AS a", "id % 3 AS b", "CAST(id AS STRING) AS c").createOrReplaceTempView("ranked")
+    facts = {}
+    for name, sql in {
+        "first": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(a, b), b ORDER BY c DESC) AS rn FROM ranked) WHERE rn = 1", "ties": "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY b ORDER BY a, c) AS r FROM ranked) WHERE r < 2",
+        "top3": "SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY b ORDER BY a) AS r FROM ranked) WHERE r <= 3", "all": "SELECT *, row_number() OVER (ORDER BY a) AS rn FROM ranked", "none": "SELECT count(*) FROM ranked",
+    }.items():
+        text = spark.sql(sql)._jdf.queryExecution().executedPlan().toString()
+        facts[name] = [tuple(w) for w in spark.createDataFrame([(text,)], "plan string").select(plan_text.ranking_windows(F.col("plan")).alias("w")).first()["w"]]
+    short = {k: [(w[0], len(w[1]), [x.split(" ")[0] for x in w[2]], w[4], w[5]) for w in v] for k, v in facts.items()}
+    assert short["ties"] == [("rank", 1, ["a", "c"], 1, True)] and short["top3"] == [("dense_rank", 1, ["a"], 3, False)]
+    assert short["first"][0][0] == "row_number" and short["first"][0][1] == 2 and short["first"][0][3:] == (1, False)
+    assert short["all"] == [("row_number", 0, ["a"], None, False)] and short["none"] == []
+
+
+def test_arguments(spark):
+    cases = {"a, f(b, c), [d, e]": ["a", "f(b, c)", "[d, e]"], "a#1, g(h(x, y), z)) AS w, q": ["a#1", "g(h(x, y), z)"], "": [], "one": ["one"]}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", plan_text.arguments(F.col("t")).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in got} == cases
