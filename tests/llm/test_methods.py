@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stagelens.llm import common, components, decontaminate, line_dedup, mixing, pii, search, sharding, similar, suffix_dedup, token_files
+from stagelens.llm import common, components, decontaminate, language, line_dedup, mixing, pii, search, sharding, similar, suffix_dedup, token_files
 from stagelens.llm.decontaminate import text_tokens
 
 
@@ -257,3 +257,22 @@ def test_no_machine_local_folder_on_a_cluster():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         common.scratch(fake)
+
+
+def test_lines_of_rows_without_or_of_one_id(spark):
+    """Equal documents of one doc_id, or of none, are documents of their own: the first keeps its lines."""
+    text = "alpha beta gamma delta\nepsilon zeta eta theta"
+    rows = [(None, text), (None, text), (7, "one two three four\nfive six seven"), (7, "one two three four\nfive six seven"), (8, "quite another line here")]
+    got = line_dedup.line_removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(None, 2, 0, []), (None, 2, 2, [0, 1]), (7, 2, 0, []), (7, 2, 2, [0, 1]), (8, 1, 0, [])], key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_language_sample_of_rows_without_id(spark, parts):
+    """Rows without an id are drawn like others, whatever the partitions: 2,000 English and 700 French ones, many of them copies."""
+    rows = [(None, "en", f"the house number {i % 1500} stands by the river and the road") for i in range(2000)] + [(None, "fr", f"la maison numero {i} est sur la rive du fleuve") for i in range(700)] + [(None, "de", "ein Haus am Fluss")] * 400
+    got = language.labelled_windows(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(parts), per_language=300)
+    texts, langs = got
+    per = {k: langs.count(k) for k in ("en", "fr", "de")}
+    assert 500 < per["en"] < 1300 and 500 < per["fr"] < 1300 and per["de"] == 3
+    assert got == language.labelled_windows(spark.createDataFrame(rows[::-1], "doc_id long, lang string, text string").repartition(2), per_language=300)
