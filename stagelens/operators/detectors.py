@@ -47,7 +47,7 @@ def confirmed_signals(lines: DataFrame, stages: DataFrame, executors: DataFrame,
     """
     per_stage = stages.groupBy("context").agg(F.bool_or((F.col("stage_attempt") > 0) | F.coalesce(F.col("failure_reason").contains("FetchFailed"), F.lit(False))).alias("__fetch"), F.max("end_ms").alias("__end"))
     gone = executors.filter("removed_ms IS NOT NULL").groupBy("context").agg(F.bool_or(~F.coalesce(F.col("removal_category").isin("autoscale", "termination"), F.lit(False))).alias("__real"))
-    known = lines.filter("signal IS NOT NULL").join(F.broadcast(per_stage), "context", "left").join(F.broadcast(gone), "context", "left")
+    known = lines.filter("signal IS NOT NULL").join(per_stage, "context", "left").join(gone, "context", "left")
     noise = (
         ((F.col("signal") == "fetch_failure") & ~F.col("__fetch"))
         | (F.col("signal").isin(*SHUTDOWN_SIGNALS) & (F.col("ts_ms") >= F.col("__end") - shutdown_ms))
@@ -72,7 +72,7 @@ def exception_findings(errors: DataFrame, high: str = EXCEPTION_HIGH, benign: st
 
 def peak_cores(executors: DataFrame, until: DataFrame) -> DataFrame:
     """context, peak, peak_at: the most cores ever up at once. until: context, end_ms, which ends what was never removed."""
-    up = executors.join(F.broadcast(until), "context").select("context", "cores", F.col("added_ms").alias("s"), F.coalesce("removed_ms", "end_ms").alias("e"))
+    up = executors.join(until, "context").select("context", "cores", F.col("added_ms").alias("s"), F.coalesce("removed_ms", "end_ms").alias("e"))
     return I.peak(up, ["context"], "s", "e", weight=F.col("cores"))
 
 
@@ -82,10 +82,10 @@ def ends_of(stages: DataFrame) -> DataFrame:
 
 def core_hogs(stages: DataFrame, executors: DataFrame, runs: DataFrame, held_ms: int = 1_800_000, waited_ms: int = 60_000) -> DataFrame:
     """Per context the stage that held cores longest with more tasks than the peak cores, and how many runs that overlapped it had waited."""
-    held = stages.withColumn("held", F.col("end_ms") - F.col("first_ms")).join(F.broadcast(peak_cores(executors, ends_of(stages))), "context").filter((F.col("held") >= held_ms) & (F.col("tasks") > F.col("peak")))
+    held = stages.withColumn("held", F.col("end_ms") - F.col("first_ms")).join(peak_cores(executors, ends_of(stages)), "context").filter((F.col("held") >= held_ms) & (F.col("tasks") > F.col("peak")))
     hog = W.top_n(held, ["context"], [F.desc("held"), F.col("stage_id"), F.col("stage_attempt")], 1)
     waited = runs.filter(F.col("wait_ms") >= waited_ms).select("context", "run_key", "wait_ms", F.col("start_ms").alias("r0"), F.col("end_ms").alias("r1"))
-    behind = F.broadcast(hog).join(waited, (hog["context"] == waited["context"]) & (F.col("r0") < F.col("end_ms")) & (F.col("r1") > F.col("first_ms"))).groupBy(hog["context"]).agg(F.count("*").alias("behind"), F.max_by("run_key", F.struct("wait_ms", "run_key")).alias("worst"))
+    behind = hog.join(waited, (hog["context"] == waited["context"]) & (F.col("r0") < F.col("end_ms")) & (F.col("r1") > F.col("first_ms"))).groupBy(hog["context"]).agg(F.count("*").alias("behind"), F.max_by("run_key", F.struct("wait_ms", "run_key")).alias("worst"))
     out = hog.join(behind, "context", "left").withColumn("behind", F.coalesce("behind", F.lit(0)))
     return found(out, "core_hog", F.concat_ws(" ", F.lit("stage"), "stage_id"), HIGH, F.col("held"), ["context", "peak", "behind", "worst"])
 
@@ -122,11 +122,12 @@ def autoscale_removals(executors: DataFrame, stages: DataFrame, lines: DataFrame
     gone = executors.filter("removed_ms IS NOT NULL")
     auto = gone.filter("removal_category = 'autoscale'")
     runs = I.bursts(auto, ["context"], "removed_ms", gap, 1).withColumn("next", F.lead("start").over(Window.partitionBy("context").orderBy("start")))
-    active = F.broadcast(runs).join(stages.select("context", "stage_id", "stage_attempt", "start_ms", "end_ms"), "context").filter("start_ms <= `end` AND end_ms >= start").groupBy("context", "start").agg(F.count("*").alias("active"), F.min("stage_id").alias("stage_id"))
+    meet = I.overlap_join(runs.select("context", F.col("start").alias("l_start"), F.col("end").alias("l_end")), stages.select("context", "stage_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["context"], 3_600_000, closed=True)
+    active = meet.groupBy("context", F.col("l_start").alias("start")).agg(F.count("*").alias("active"), F.min("stage_id").alias("stage_id"))
     second = lambda c: F.floor(F.col(c) / 1000) * 1000
     lost = lines.filter("signal = 'cache_lost'").select("context", "ts_ms")
     owned = J.asof_join(lost, gone.select("context", second("removed_ms").alias("at"), "executor_id", "removed_ms", "removal_category"), ["context"], "ts_ms", "at", ["at", "executor_id", "removed_ms", "removal_category"])
-    owned = owned.filter("removal_category = 'autoscale'").join(F.broadcast(runs), "context").filter("removed_ms BETWEEN start AND `end` AND ts_ms >= floor(start / 1000) * 1000 AND (next IS NULL OR ts_ms < next)").groupBy("context", "start").agg(F.count("*").alias("lost"))
+    owned = owned.filter("removal_category = 'autoscale'").join(runs, "context").filter("removed_ms BETWEEN start AND `end` AND ts_ms >= floor(start / 1000) * 1000 AND (next IS NULL OR ts_ms < next)").groupBy("context", "start").agg(F.count("*").alias("lost"))
     out = runs.join(active, ["context", "start"], "left").join(owned, ["context", "start"], "left").fillna(0, ["active", "lost"]).filter("active > 0 OR lost > 0")
     return found(out, "autoscale_removed", F.col("n"), F.when(F.col("lost") >= many, HIGH).otherwise(MEDIUM), F.col("lost"), ["context", "start", "end", "active", "stage_id"])
 
@@ -135,7 +136,7 @@ def cores_full(runs: DataFrame, executors: DataFrame, ends: DataFrame, wait_ms:
     """Per context whose runs together waited long: the peak of runs at once, when, and the cores up then."""
     sums = runs.groupBy("context").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("total"), F.sum("wait_ms").alias("wait"), F.count("*").alias("runs"), F.max_by("run_key", F.struct("wait_ms", "run_key")).alias("worst"))
     out = sums.filter((F.col("total") > 0) & (F.col("wait") >= wait_ms) & (F.col("wait") >= share * F.col("total"))).join(I.peak(runs, ["context"], "start_ms", "end_ms"), "context")
-    up = executors.join(F.broadcast(out.select("context", "peak_at")), "context").filter("added_ms <= peak_at AND (removed_ms IS NULL OR removed_ms > peak_at)").groupBy("context").agg(F.sum("cores").alias("cores_then"))
+    up = executors.join(out.select("context", "peak_at"), "context").filter("added_ms <= peak_at AND (removed_ms IS NULL OR removed_ms > peak_at)").groupBy("context").agg(F.sum("cores").alias("cores_then"))
     out = out.join(up, "context", "left").join(peak_cores(executors, ends).select("context", F.col("peak").alias("cores_most")), "context", "left")
     return found(out, "cores_full", F.col("runs"), F.when(F.col("wait") >= high_share * F.col("total"), HIGH).otherwise(MEDIUM), F.col("wait"), ["context", "peak", "peak_at", "cores_then", "cores_most", "worst"])
 
@@ -146,7 +147,7 @@ def tiny_task_stages(stages: DataFrame, keys: Sequence[str] = ("context",), at_l
     total = stages.groupBy(*keys).agg(F.sum("tasks").alias("__all"))
     tiny = stages.filter((F.col("tasks") >= tasks_min) & (F.col("p50_task_ms") <= p50_ms) & (F.coalesce("p50_bytes", F.lit(0)) <= p50_bytes))
     per = tiny.groupBy(*keys, "tasks").agg(F.count("*").alias("stages"), F.sum("duration_ms").alias("ms")).withColumn("n", F.col("stages") * F.col("tasks"))
-    out = per.join(F.broadcast(total), keys).filter((F.col("stages") >= at_least) & (F.col("n") >= F.greatest(F.lit(float(floor)), share * F.col("__all"))))
+    out = per.join(total, keys).filter((F.col("stages") >= at_least) & (F.col("n") >= F.greatest(F.lit(float(floor)), share * F.col("__all"))))
     return found(out, "tiny_task_stages", F.concat_ws(" x ", "stages", "tasks"), F.when(F.col("ms") >= 60_000, MEDIUM).otherwise(LOW), F.col("n"), [*keys, "ms"])
 
 
@@ -193,7 +194,7 @@ def dataframe_caches(cached: DataFrame, executors: DataFrame, ends: DataFrame, l
     cached: context, sql_execution_id, cache_bytes; executors with unified_memory; lines with signal.
     """
     big = cached.groupBy("context").agg(F.count("*").alias("queries"), F.max("cache_bytes").alias("big"), F.max_by("sql_execution_id", F.struct("cache_bytes", "sql_execution_id")).alias("query"))
-    up = executors.join(F.broadcast(ends), "context").select("context", "unified_memory", F.col("added_ms").alias("s"), F.coalesce("removed_ms", "end_ms").alias("e"))
+    up = executors.join(ends, "context").select("context", "unified_memory", F.col("added_ms").alias("s"), F.coalesce("removed_ms", "end_ms").alias("e"))
     room = up.groupBy("context").agg(F.max("unified_memory").alias("per")).join(I.peak(up, ["context"], "s", "e"), "context").select("context", (F.col("per") * F.col("peak")).alias("room"))
     said = lines.groupBy("context").agg(*[F.count_if(F.col("signal") == s).alias(s) for s in ("cache_not_fit", "cache_dropped", "cache_lost")])
     out = big.join(room, "context", "left").join(said, "context", "left").fillna(0, ["cache_not_fit", "cache_dropped", "cache_lost"])

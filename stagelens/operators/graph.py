@@ -58,8 +58,8 @@ def best_causes(pairs: DataFrame, effect: str, score: str, cause: str) -> DataFr
     return pairs.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def follow_paths(best: DataFrame, effect: str, cause: str, depth: int | None = None) -> DataFrame:
-    """effect, root, steps, path (effect, its cause, ... up to root), of edges with one cause an effect.
+def follow_paths(best: DataFrame, effect: str, cause: str, depth: int | None = None, paths: bool = True) -> DataFrame:
+    """effect, root, steps and, if paths are wanted, path (effect, its cause, ... up to root), of edges with one cause an effect.
 
     Pointers double, each written before the next round, and carry the path; a pointer that would pass `depth` steps goes as far as that exactly. A chain that
     runs into a cycle ends at the cycle's least node, where all of the cycle and all that leads to it end.
@@ -68,7 +68,7 @@ def follow_paths(best: DataFrame, effect: str, cause: str, depth: int | None = N
     ends = _cycle_ends(step, n)
     if ends is not None:
         step = written(step.join(ends, F.col("node") == F.col("__end"), "left_anti"))  # a cycle is cut behind its least node
-    hop = step.select("node", F.col("to").alias("root"), F.lit(1).alias("steps"), F.array("node", "to").alias("path"))
+    hop = step.select("node", F.col("to").alias("root"), F.lit(1).alias("steps"), *([F.array("node", "to").alias("path")] if paths else []))
     jump, reach, out = hop, 1, None
     if depth is None:
         before = n
@@ -98,9 +98,10 @@ def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
 
 def _leap(hop: DataFrame, jump: DataFrame) -> DataFrame:
     """hop, gone on from its roots by jump where that goes on."""
-    on = jump.select(F.col("node").alias("__n"), F.col("root").alias("__r"), F.col("steps").alias("__s"), F.col("path").alias("__p"))
-    more = F.expr("slice(__p, 2, greatest(size(__p) - 1, 0))")
-    return hop.join(on, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"), F.coalesce(F.concat("path", more), "path").alias("path"))
+    paths = "path" in hop.columns
+    on = jump.select(F.col("node").alias("__n"), F.col("root").alias("__r"), F.col("steps").alias("__s"), *([F.col("path").alias("__p")] if paths else []))
+    path = [F.coalesce(F.concat("path", F.expr("slice(__p, 2, greatest(size(__p) - 1, 0))")), "path").alias("path")] if paths else []
+    return hop.join(on, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"), *path)
 
 
 def _cycle_ends(step: DataFrame, n: int) -> DataFrame | None:
@@ -118,7 +119,7 @@ def _cycle_ends(step: DataFrame, n: int) -> DataFrame | None:
 
 def follow_roots(best: DataFrame, effect: str, cause: str, depth: int = 10) -> DataFrame:
     """effect, root, steps: each effect's last cause along best causes, after at most `depth` steps. A cycle ends at its least node."""
-    return follow_paths(best, effect, cause, depth).drop("path")
+    return follow_paths(best, effect, cause, depth, paths=False)
 
 
 def candidate_pairs(findings: DataFrame, ident: str, scopes: Sequence[str], kind: str, at: str, rules: DataFrame, slack_ms: int) -> DataFrame:

@@ -107,12 +107,17 @@ def first_of(df: DataFrame, ident: Sequence[str], lookups: Sequence[tuple[DataFr
     return df.withColumn(value, F.coalesce(*names)).drop(*names)
 
 
-def propagate(df: DataFrame, ident: str, parent: str, value: str, rounds: int = 4) -> DataFrame:
-    """df with value taken from the parent where it is null, for chains of up to so many parents."""
-    for _ in range(rounds):
-        up = df.select(F.col(ident).alias("__p"), F.col(value).alias("__v"))
-        df = df.join(up, F.col(parent) == F.col("__p"), "left").withColumn(value, F.coalesce(value, "__v")).drop("__p", "__v")
-    return df
+def propagate(df: DataFrame, ident: str, parent: str, value: str) -> DataFrame:
+    """df with value taken, where it is null, from the nearest row up the chain of parents that has one, however far that is. ident tells rows apart.
+
+    Pointers double until none moves. A chain that ends without a value, or runs into a cycle, gives null.
+    """
+    from .graph import follow_paths
+
+    ends = follow_paths(df.filter(F.col(value).isNull() & (F.col(parent) != F.col(ident))), ident, parent, paths=False).select(F.col(ident).alias("__i"), F.col("root").alias("__root"))
+    known = df.filter(F.col(value).isNotNull()).select(F.col(ident).alias("__r"), F.col(value).alias("__v"))
+    far = ends.join(known, F.col("__root") == F.col("__r")).select("__i", "__v")
+    return df.join(far, F.col(ident) == F.col("__i"), "left").withColumn(value, F.coalesce(value, "__v")).drop("__i", "__v")
 
 
 def ranked_candidates(query: DataFrame, pool: DataFrame, key: str, ident: str, order: Sequence[str], caps: dict[int, int], group: F.Column) -> DataFrame:

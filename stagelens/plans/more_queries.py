@@ -39,14 +39,14 @@ def executor_resources(spark: SparkSession, d: str) -> DataFrame:
     return J.first_of(e, keys, [(one(k < 5, F.lit(8000)), keys), (one(k % 2 == 0, F.lit(4000)), keys), (one(k >= 0, F.lit(2000) + F.col("cores")), keys)], "heap_mb").select(*keys, "heap_mb")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS q, o_orderkey - o_orderkey % 8 + (o_orderkey % 8) // 2 AS root, CASE WHEN o_orderkey % 8 = 0 THEN concat('run-', o_custkey) END AS run_key FROM orders)
-SELECT a.q, coalesce(a.run_key, b.run_key, c.run_key, e.run_key) AS run_key FROM o a LEFT JOIN o b ON a.root = b.q LEFT JOIN o c ON b.root = c.q LEFT JOIN o e ON c.root = e.q""")
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS q, o_orderkey - o_orderkey % 256 + (o_orderkey % 256) // 2 AS root, CASE WHEN o_orderkey % 256 < 2 OR o_orderkey % 11 = 0 THEN concat('run-', o_custkey) END AS run_key FROM orders),
+ w AS (SELECT q, q AS cur, root, run_key FROM o UNION ALL SELECT w.q, o.q, o.root, o.run_key FROM w JOIN o ON o.q = w.root WHERE w.run_key IS NULL AND w.root <> w.cur) SELECT q, max(run_key) AS run_key FROM w GROUP BY q""")
 def propagated_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Queries without a run take their root's, over several steps."""
+    """Queries without a run take the nearest one up their chain of parents, up to eight steps here."""
     o = read(spark, d, "orders")
     k = F.col("o_orderkey")
-    q = o.select(k.alias("q"), (k - k % 8 + F.floor(k % 8 / 2)).alias("root"), F.when(k % 8 == 0, F.concat(F.lit("run-"), "o_custkey")).alias("run_key"))
-    return J.propagate(q, "q", "root", "run_key", 3).select("q", "run_key")
+    q = o.select(k.alias("q"), (k - k % 256 + F.floor(k % 256 / 2)).alias("root"), F.when((k % 256 < 2) | (k % 11 == 0), F.concat(F.lit("run-"), "o_custkey")).alias("run_key"))
+    return J.propagate(q, "q", "root", "run_key").select("q", "run_key")
 
 
 @query(f"""WITH {cte("queries", "stages")}, j AS (SELECT context, sql_execution_id AS job, sql_execution_id % 101 AS s1, sql_execution_id % 37 AS s2 FROM queries), e AS (SELECT context, job, s1 AS stage_id FROM j UNION ALL SELECT context, job, s2 FROM j), f AS (SELECT context, stage_id, min(job) AS src FROM e GROUP BY ALL)

@@ -67,7 +67,7 @@ def cluster_minutes(tasks: DataFrame, executors: DataFrame, ends: DataFrame, wid
     per = I.bucket_spread(t, ["context"], "s", "e", ["total", "failed_ms", "cpu_ms", "gc_ms", "fetch_wait_ms"], width)
     split = A.cause_split(F.col("total"), {"failed": F.col("failed_ms"), "cpu": F.col("cpu_ms"), "gc": F.col("gc_ms"), "fetch": F.col("fetch_wait_ms")})
     per = per.select("context", "bucket", F.col("n").alias("tasks"), "total", *split)
-    up = executors.join(F.broadcast(ends), "context").select("context", F.col("added_ms").alias("s"), F.coalesce("removed_ms", "end_ms").alias("e"), "cores").filter("e > s")
+    up = executors.join(ends, "context").select("context", F.col("added_ms").alias("s"), F.coalesce("removed_ms", "end_ms").alias("e"), "cores").filter("e > s")
     paid = I.bucket_spread(up.withColumn("core_ms", (F.col("cores") * (F.col("e") - F.col("s"))).cast("double")), ["context"], "s", "e", ["core_ms"], width).drop("n")
     return per.join(paid, ["context", "bucket"], "left").withColumn("use", F.col("total") / F.col("core_ms"))
 
@@ -104,7 +104,7 @@ def query_profile(queries: DataFrame, stages: DataFrame, tasks: DataFrame, execu
     n = links.groupBy(*keys).agg(F.count("*").alias("stages"))
     used = tasks.select("context", "stage_id", "executor_id").distinct().join(links, ["context", "stage_id"]).select(*keys, "executor_id").distinct()
     gone = executors.filter(F.col("removal_category").isin("oom", "lost", "killed")).select("context", "executor_id", "removed_ms")
-    lost = used.join(F.broadcast(gone), ["context", "executor_id"]).join(queries.select(*keys, "start_ms", "end_ms"), keys).filter("removed_ms BETWEEN start_ms AND end_ms").groupBy(*keys).agg(F.count("*").alias("lost"))
+    lost = used.join(gone, ["context", "executor_id"]).join(queries.select(*keys, "start_ms", "end_ms"), keys).filter("removed_ms BETWEEN start_ms AND end_ms").groupBy(*keys).agg(F.count("*").alias("lost"))
     f = findings.groupBy(*keys).agg(F.count("*").alias("findings"), F.min("severity").alias("worst"))
     out = queries.select(*keys).join(n, keys, "left").join(used.groupBy(*keys).agg(F.count("*").alias("executors")), keys, "left").join(lost, keys, "left").join(f, keys, "left")
     return out.fillna(0, ["stages", "executors", "lost", "findings"])
@@ -135,7 +135,7 @@ def run_end(runs: DataFrame, queries: DataFrame, executors: DataFrame, errors: D
     errs = hits.join(common, ["program", "fingerprint"]).groupBy("run_key").agg(F.count("*").alias("error_kinds"), F.max("runs_with").alias("runs_with"))
     gone = executors.filter("removed_ms IS NOT NULL").select("context", F.col("removed_ms").alias("r_start"), F.col("removed_ms").alias("r_end"), "removal_category")
     went = I.overlap_join(runs.select("run_key", "context", F.col("start_ms").alias("l_start"), F.col("end_ms").alias("l_end")), gone, ["context"], width * 24, closed=True).groupBy("run_key").agg(F.count("*").alias("executors_gone"), F.count_if(F.col("removal_category").isin("oom", "lost", "killed")).alias("executors_lost"))
-    out = runs.join(q, "run_key", "left").join(errs, "run_key", "left").join(went, "run_key", "left").join(F.broadcast(app_ends.withColumnRenamed("end_ms", "app_end")), "context", "left")
+    out = runs.join(q, "run_key", "left").join(errs, "run_key", "left").join(went, "run_key", "left").join(app_ends.withColumnRenamed("end_ms", "app_end"), "context", "left")
     out = out.fillna(0, ["failed_queries", "open_queries", "error_kinds", "executors_gone", "executors_lost"])
     outcome = F.when(F.col("failed_queries") > 0, "failed").when(F.col("open_queries") > 0, "cut off").otherwise("succeeded")
     stopped = F.coalesce((F.col("app_end") - F.col("end_ms")).between(0, stop_ms), F.lit(False))
@@ -175,7 +175,7 @@ def settings_advice(stages: DataFrame, settings: DataFrame, small: int = 1 << 20
     hit = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(s).alias("setting"), F.lit(a).alias("advice"), cost.cast("long").alias("cost"))) for s, a, cond, cost in rules]))
     each = stages.select("context", F.explode(hit).alias("h")).groupBy("context", "h.setting", "h.advice").agg(F.sum("h.cost").alias("cost_ms"), F.count("*").alias("stages"))
     now = settings.groupBy("context", "setting").agg(F.max("value").alias("current"))
-    out = each.join(F.broadcast(now), ["context", "setting"], "left")
+    out = each.join(now, ["context", "setting"], "left")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("context").orderBy(F.desc("cost_ms"), "setting", "advice")))
 
 
@@ -206,7 +206,7 @@ def coverage_gaps(parts: DataFrame, expected: dict[str, str], rolled: DataFrame,
 def stage_shares(tasks: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
     """Peak buckets (context, bucket) with the stage and executor that ran most in each and their shares (W10, A38). tasks: launch_ms, finish_ms, task_ms, stage_id, executor_id."""
     t = tasks.select("context", "stage_id", "executor_id", F.col("launch_ms").alias("s"), F.col("finish_ms").alias("e"), F.col("task_ms").cast("double").alias("ms"))
-    per = I.bucket_spread(t, ["context", "stage_id", "executor_id"], "s", "e", ["ms"], width).join(F.broadcast(buckets.select("context", "bucket")), ["context", "bucket"])
+    per = I.bucket_spread(t, ["context", "stage_id", "executor_id"], "s", "e", ["ms"], width).join(buckets.select("context", "bucket"), ["context", "bucket"])
     out = buckets
     for c in ("stage_id", "executor_id"):
         s = A.share(per, ["context", "bucket"], [c], "ms")
