@@ -39,6 +39,7 @@ class Thresholds:
     big_read_high_bytes: int = 100 * GB
     wait_ms: int = 300_000
     wait_share: float = 0.25
+    own_wait_share: float = 0.5
     full_cores_wait_ms: int = 1_800_000
     full_cores_share: float = 0.2
     merge_read_bytes: int = 10 * GB
@@ -106,12 +107,14 @@ def executor_rules(t: Thresholds) -> list[Rule]:
 
 
 def run_rules(t: Thresholds) -> list[Rule]:
-    """Over a table of runs with waits and reads."""
+    """Over a table of runs with waits and reads. own_share: how much of a run's queueing was behind its own tasks (null: all). Only that makes a finding high, as behind
+    other runs it is the cluster's story."""
     c = F.col
     part = lambda x: c(x) / F.greatest(c("duration_ms"), F.lit(1))
+    own = (part("queued_wall_ms") >= t.own_wait_share) & (F.coalesce(c("own_share"), F.lit(1.0)) >= t.own_wait_share)
     return [
         Rule("waited_for_cores", (c("wait_ms") >= t.wait_ms) & (part("wait_ms") >= t.wait_share), F.lit(MEDIUM), c("wait_ms")),
-        Rule("capacity_bound", (c("queued_wall_ms") >= t.wait_ms) & (part("queued_wall_ms") >= t.wait_share), F.lit(MEDIUM), c("queued_wall_ms")),
+        Rule("capacity_bound", (c("queued_wall_ms") >= t.wait_ms) & (part("queued_wall_ms") >= t.wait_share), F.when(own, HIGH).otherwise(MEDIUM), c("queued_wall_ms")),
         Rule("no_spark_work", (c("no_stage_ms") >= t.no_work_ms) & (part("no_stage_ms") >= t.no_work_share), F.lit(MEDIUM), c("no_stage_ms")),
         Rule("count_only", (c("count_only_ms") >= t.count_only_ms) & (part("count_only_ms") >= t.count_only_share), F.lit(LOW), c("count_only_ms")),
         Rule("ddl_loop", c("ddl_repeats") > t.ddl_loop, F.lit(LOW), c("ddl_repeats")),

@@ -281,12 +281,16 @@ def executor_findings(spark: SparkSession, d: str) -> DataFrame:
     return FD.detect(e, FD.executor_rules(FD.Thresholds()), F.col("executor_id"), ["context", "executor_id"]).select("category", "severity", "context", "executor_id")
 
 
-@query(f"""WITH {cte("runs")}, r AS (SELECT run_key, wait_ms, end_ms - start_ms AS dur FROM runs) SELECT 'waited_for_cores' AS category, run_key AS entity, CAST(wait_ms AS DOUBLE) AS measure FROM r WHERE wait_ms >= 300000 AND wait_ms / greatest(dur, 1) >= 0.25 UNION ALL SELECT 'capacity_bound', run_key, CAST(wait_ms * 2 AS DOUBLE) FROM r WHERE wait_ms * 2 >= 300000 AND wait_ms * 2 / greatest(dur, 1) >= 0.25
- UNION ALL SELECT 'no_spark_work', run_key, CAST(dur - wait_ms AS DOUBLE) FROM r WHERE dur - wait_ms >= 120000 AND (dur - wait_ms) / greatest(dur, 1) >= 0.5""")
+@query(f"""WITH {cte("runs")}, r AS (SELECT run_key, wait_ms, end_ms - start_ms AS dur, CASE WHEN program LIKE '%7' THEN NULL ELSE (wait_ms % 10) / 10.0 END AS own FROM runs)
+SELECT 'waited_for_cores' AS category, run_key AS entity, 1 AS severity, CAST(wait_ms AS DOUBLE) AS measure FROM r WHERE wait_ms >= 300000 AND wait_ms / greatest(dur, 1) >= 0.25
+ UNION ALL SELECT 'capacity_bound', run_key, CASE WHEN wait_ms * 2 / greatest(dur, 1) >= 0.5 AND coalesce(own, 1) >= 0.5 THEN 0 ELSE 1 END, CAST(wait_ms * 2 AS DOUBLE) FROM r WHERE wait_ms * 2 >= 300000 AND wait_ms * 2 / greatest(dur, 1) >= 0.25
+ UNION ALL SELECT 'no_spark_work', run_key, 1, CAST(dur - wait_ms AS DOUBLE) FROM r WHERE dur - wait_ms >= 120000 AND (dur - wait_ms) / greatest(dur, 1) >= 0.5""")
 def run_findings(spark: SparkSession, d: str) -> DataFrame:
     """F16, F20, F30."""
-    r = bound(spark, d, "runs").withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")).withColumns({"queued_wall_ms": F.col("wait_ms") * 2, "no_stage_ms": F.col("duration_ms") - F.col("wait_ms"), "count_only_ms": F.lit(0), "ddl_repeats": F.lit(0)})
-    return FD.detect(r, FD.run_rules(FD.Thresholds()), F.col("run_key")).select("category", "entity", "measure")
+    r = bound(spark, d, "runs").withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+    own = F.when(~F.col("program").like("%7"), F.col("wait_ms") % 10 / 10)
+    r = r.withColumns({"queued_wall_ms": F.col("wait_ms") * 2, "own_share": own, "no_stage_ms": F.col("duration_ms") - F.col("wait_ms"), "count_only_ms": F.lit(0), "ddl_repeats": F.lit(0)})
+    return FD.detect(r, FD.run_rules(FD.Thresholds()), F.col("run_key")).select("category", "entity", "severity", "measure")
 
 
 @query("""WITH f AS (SELECT o_custkey % 200 AS problem, concat('c', o_orderkey % 3) AS category, CAST(o_orderkey AS VARCHAR) AS entity, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 2 END AS severity FROM orders), g AS (SELECT *, row_number() OVER (PARTITION BY problem, severity ORDER BY category, entity) AS k FROM f)

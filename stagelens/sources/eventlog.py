@@ -60,8 +60,9 @@ def _time(c: str) -> F.Column:
     return F.timestamp_millis(F.col(c))
 
 
-# fixed values: what a replan says
+# fixed values: what a replan says, and which accumulables say where a stage's input came from
 REPLANNED = r"(?i)Adaptive query execution has replanned"
+CLOUD_BYTES, DISK_CACHE_BYTES = "cloud storage response size", "cache hits size"
 # end of fixed values
 
 
@@ -91,12 +92,18 @@ def tasks(ev: DataFrame) -> DataFrame:
     )
 
 
+def accumulated(name: str) -> F.Column:
+    """The sum of a stage's accumulables of that name; null if it has none with a number."""
+    values = F.filter(F.transform(F.filter("Accumulables", lambda a: a["Name"] == name), lambda a: a["Value"].try_cast("long")), lambda v: v.isNotNull())
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast("long"), lambda x, v: x + v))
+
+
 def stages(ev: DataFrame) -> DataFrame:
     """One row a stage attempt: submitted and completed paired, non-null values of the latter first."""
     s = ev.filter("kind IN ('StageSubmitted', 'StageCompleted')").select("context", "seq", "kind", "e.`Stage Info`.*")
     names = F.slice(F.array_distinct(F.transform("RDD Info", lambda x: x["Name"])), 1, 20)
     scopes = F.slice(F.array_distinct(F.transform("RDD Info", lambda x: F.get_json_object(x["Scope"], "$.name"))), 1, 20)
-    s = s.select("context", "seq", "kind", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("stage_attempt"), F.col("Stage Name").alias("stage_name"), F.col("Number of Tasks").alias("n_tasks"), _time("`Submission Time`").alias("start_time"), _time("`Completion Time`").alias("end_time"), F.col("Failure Reason").alias("failure_reason"), F.sort_array(F.array_distinct("Parent IDs")).alias("parent_ids"), names.alias("rdd_names"), scopes.alias("rdd_scopes"))
+    s = s.select("context", "seq", "kind", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("stage_attempt"), F.col("Stage Name").alias("stage_name"), F.col("Number of Tasks").alias("n_tasks"), _time("`Submission Time`").alias("start_time"), _time("`Completion Time`").alias("end_time"), F.col("Failure Reason").alias("failure_reason"), F.sort_array(F.array_distinct("Parent IDs")).alias("parent_ids"), names.alias("rdd_names"), scopes.alias("rdd_scopes"), accumulated(CLOUD_BYTES).alias("cloud_bytes"), accumulated(DISK_CACHE_BYTES).alias("disk_cache_bytes"))
     pair = lambda k: s.filter(F.col("kind") == k).drop("kind")
     status = F.when(replanned(F.col("failure_reason")), "replanned").when(F.col("failure_reason").isNotNull(), "failed").when(F.col("end_time").isNotNull(), "succeeded").otherwise("open")
     return J.start_end(pair("StageSubmitted"), pair("StageCompleted"), ["context", "stage_id", "stage_attempt"], "seq").drop("seq").withColumn("status", status)

@@ -58,7 +58,7 @@ def events(spark, tmp_path, *rows):
 def test_replanned_tasks_jobs_and_stages(spark, tmp_path):
     said = "Adaptive query execution has replanned the query and cancelled this stage"
     task = lambda i, reason: {"Event": "SparkListenerTaskEnd", "Stage ID": 1, "Stage Attempt ID": 0, "Task End Reason": reason, "Task Info": {"Task ID": i, "Index": i, "Attempt": 0, "Launch Time": 1, "Finish Time": 2, "Executor ID": "1"}}
-    stage = lambda i, why: {"Event": "SparkListenerStageCompleted", "Stage Info": {"Stage ID": i, "Stage Attempt ID": 0, "Stage Name": "s", "Number of Tasks": 1, "Submission Time": 1, "Completion Time": 2} | ({"Failure Reason": why} if why else {})}
+    stage = lambda i, why: {"Event": "SparkListenerStageCompleted", "Stage Info": {"Stage ID": i, "Stage Attempt ID": 0, "Stage Name": "s", "Number of Tasks": 1, "Submission Time": 1, "Completion Time": 2, "Accumulables": [{"ID": 1, "Name": "cloud storage response size", "Value": i * 10}, {"ID": 2, "Name": "cloud storage response size", "Value": "5"}, {"ID": 3, "Name": "cache hits size", "Value": "many"}]} | ({"Failure Reason": why} if why else {})}
     job = lambda i, result: [{"Event": "SparkListenerJobStart", "Job ID": i, "Submission Time": 1, "Stage IDs": [i]}, {"Event": "SparkListenerJobEnd", "Job ID": i, "Completion Time": 2, "Job Result": result}]
     failed = lambda text: {"Result": "JobFailed", "Exception": {"Message": text}}
     ev = events(
@@ -68,6 +68,7 @@ def test_replanned_tasks_jobs_and_stages(spark, tmp_path):
     )
     assert {r["task_id"]: r["failed"] for r in eventlog.tasks(ev).collect()} == {1: False, 2: False, 3: True}
     assert {r["stage_id"]: r["status"] for r in eventlog.stages(ev).collect()} == {1: "succeeded", 2: "replanned", 3: "failed"}
+    assert {r["stage_id"]: (r["cloud_bytes"], r["disk_cache_bytes"]) for r in eventlog.stages(ev).collect()} == {i: (10 * i + 5, None) for i in (1, 2, 3)}
     assert {r["job_id"]: (r["result"], r["status"]) for r in eventlog.jobs(ev).collect()} == {1: ("JobSucceeded", "succeeded"), 2: ("JobReplanned", "replanned"), 3: ("JobFailed", "failed")}
 
 
