@@ -29,6 +29,8 @@ from .common import Packed, materialize, sent, table, utf8
 GAP = re.compile(r"(?<=[\S\x1c-\x1f])[^\S\x1c-\x1f]")
 #: Texts of more characters than this are cut, into parts of at least PART characters and byte ranges of RANGE bytes. FAN fragments are composed at a time.
 LONG, PART, RANGE, FAN = 1 << 20, 1 << 19, 1 << 16, 16
+#: Units that a worker remembers by each tokenizer.
+REMEMBERED = 300_000
 #: Up to so many pairs of ids (16 bytes each) are sent to all tasks; more are joined by shuffle. The result is the same.
 SENT_PAIRS = 3_000_000
 SLICE = 1 << 20
@@ -50,7 +52,7 @@ def read_byte_level(path: str, pattern: str) -> ByteBpe:
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     made = {w for m in merges for w in (*m, "".join(m))} | {w for w in raw if len(w) == 1}
     entries = {raw[w]: i for w, i in model["vocab"].items() if w in made}
-    return ByteBpe(entries, pattern, [(model["vocab"][a], model["vocab"][b]) for a, b in merges])
+    return ByteBpe(entries, pattern, [(model["vocab"][a], model["vocab"][b]) for a, b in merges], REMEMBERED)
 
 
 @dataclass
@@ -81,7 +83,7 @@ class TwoTokenizers:
         self.cuts = not any(re.search(r"[^▁][\s▁]", n) or re.search(r"\s.", n) for n in names)
         self.a = Vocabulary.of(self.bpe.words)
         self.b = Vocabulary.of([bytes([int(n[3:-1], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names])
-        self.seen = Recent()
+        self.seen = Recent(REMEMBERED)
         most = max(len(self.bpe.words), len(names))
         #: Decimal numbers, each with a place for a mark behind it.
         self.decimals = Vocabulary.of([b"%d," % i for i in range(most)])

@@ -29,8 +29,8 @@ NONE = np.iinfo(np.int32).max
 LONGEST_ROW = 256
 #: Cells of one matrix.
 CELLS = 1 << 20
-#: Units that a worker remembers, and the longest of them.
-CACHE_UNITS, CACHE_LENGTH = 300_000, 64
+#: Units that a worker remembers (up to twice as many just before it forgets), and the longest of them.
+CACHE_UNITS, CACHE_LENGTH = 200_000, 64
 #: Characters and units that are taken at once; a longer text goes in parts.
 AT_ONCE, UNITS_AT_ONCE = 1 << 20, 200_000
 
@@ -81,16 +81,16 @@ class PairTable:
 
 
 class Recent(dict):
-    """Strings of up to CACHE_LENGTH characters with their ids; past CACHE_UNITS only what was met since the last time it filled up."""
+    """Strings of up to CACHE_LENGTH characters with their ids; past its size only what was met since the last time it filled up."""
 
-    def __init__(self) -> None:
-        self.before: dict[str, bytes] = {}
+    def __init__(self, size: int | None = None) -> None:
+        self.size, self.before = size or CACHE_UNITS, {}
 
     def __missing__(self, key: str) -> bytes | None:
         return self.before.get(key)
 
     def add(self, found: dict[str, bytes]) -> None:
-        if len(self) + len(found) > CACHE_UNITS:
+        if len(self) + len(found) > self.size:
             self.before = dict(self)
             self.clear()
         self.update({u: x for u, x in found.items() if len(u) <= CACHE_LENGTH})
@@ -103,7 +103,7 @@ class ByteBpe:
     of ids, in order) those alone are made, by their place.
     """
 
-    def __init__(self, entries: dict[bytes, int], pattern: str, merges: list[tuple[int, int]] | None = None) -> None:
+    def __init__(self, entries: dict[bytes, int], pattern: str, merges: list[tuple[int, int]] | None = None, remembered: int | None = None) -> None:
         import regex
 
         self.split = regex.compile(pattern).findall
@@ -112,8 +112,6 @@ class ByteBpe:
         self.words = [b""] * size
         for word, i in entries.items():
             self.words[i] = word
-        self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in self.words])])
-        self.data = np.frombuffer(b"".join(self.words), np.uint8)
         if merges is None:
             pairs = [(entries[w[:i]], entries[w[i:]], r) for w, r in entries.items() for i in range(1, len(w)) if w[:i] in entries and w[i:] in entries]
             self.made, self.whole = np.arange(size, dtype=np.int32), entries
@@ -121,14 +119,13 @@ class ByteBpe:
             pairs = [(a, b, r) for r, (a, b) in enumerate(merges)]
             self.made, self.whole = np.array([entries[self.words[a] + self.words[b]] for a, b in merges], np.int32), {}
         self.pairs = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
-        self.units, self.pieces = Recent(), Recent()
+        self.units, self.pieces = Recent(remembered), Recent(remembered)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> ByteBpe:
         """One for each rank file and pattern in a worker process, which tasks share."""
         if (path, pattern) not in ENCODERS:
-            with open(path, "rb") as f:
-                ENCODERS[path, pattern] = cls({base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}, pattern)
+            ENCODERS[path, pattern] = cls(read_ranks(path), pattern)
         return ENCODERS[path, pattern]
 
     def merge_rows(self, ids: np.ndarray) -> np.ndarray:
@@ -263,15 +260,15 @@ class ByteBpe:
                 held, size = [], 0
         return out + self.joined(held)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes that ids stand for, end to end."""
-        return gathered(ids, self.data, self.offsets)
-
-
 #: One for each rank file in a worker process, which tasks share.
 ENCODERS: dict[tuple[str, str], ByteBpe] = {}
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+
+
 def gathered(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The entries ids of a table of byte strings (end to end in data), end to end."""
     size = offsets[ids + 1] - offsets[ids]
@@ -291,6 +288,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for batch in batches:
             for some in portions(batch):
                 ids = bpe.encode(some.column(1).to_pylist())
+                pa.default_memory_pool().release_unused()
                 values = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
@@ -298,16 +296,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """encoded: doc_id, ids -> doc_id, ids, decoded (binary): the bytes that the ids stand for. Null ids are as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(ranks, pattern)
+        entries = read_ranks(ranks)
+        words = [b""] * (max(entries.values()) + 1)
+        for word, i in entries.items():
+            words[i] = word
+        data, offsets = np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        del entries, words
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 lists = [(x.values or pa.array([], pa.int32())).to_numpy() for x in some.column(1)]
-                raw = [bpe.decode(x).tobytes() for x in lists]
+                raw = [gathered(x, data, offsets).tobytes() for x in lists]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -326,7 +329,7 @@ def portions(batch: pa.RecordBatch, column: int = 1, size: int = 4 << 20) -> Ite
 
 def encoded_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids as decimal numbers and of the decoded bytes."""
-    both = decode(encode(docs, ranks, pattern), ranks, pattern)
+    both = decode(encode(docs, ranks, pattern), ranks)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
