@@ -227,10 +227,13 @@ def init_scripts(lines: DataFrame, executors: DataFrame, wait_ms: int = 900_000,
 
 
 def settled_states(queries: DataFrame, replanned: Column) -> DataFrame:
-    """queries with status succeeded where the failure was only adaptive execution's new plan, and table_written of the root where a child has none of its own."""
-    roots = queries.filter("table_written IS NOT NULL").groupBy("context", F.col("sql_execution_id").alias("root_execution_id")).agg(F.min("table_written").alias("__t"))
-    out = queries.join(roots, ["context", "root_execution_id"], "left").withColumn("table_written", F.coalesce("table_written", "__t")).drop("__t")
-    return out.withColumn("status", F.when((F.col("status") == "failed") & F.coalesce(replanned, F.lit(False)), "succeeded").otherwise(F.col("status")))
+    """queries with status replanned where the failure was only adaptive execution's new plan, and with the root's name of the table where a child, run for it, knows its table by a path or not at all."""
+    named = ~F.col("table_written").contains("/")
+    roots = queries.filter(named).groupBy("context", F.col("sql_execution_id").alias("root_execution_id")).agg(F.min("table_written").alias("__t"))
+    out = queries.join(roots, ["context", "root_execution_id"], "left")
+    child = F.col("root_execution_id") != F.col("sql_execution_id")
+    out = out.withColumn("table_written", F.when(child & ~F.coalesce(named, F.lit(False)), F.coalesce("__t", "table_written")).otherwise(F.col("table_written"))).drop("__t")
+    return out.withColumn("status", F.when((F.col("status") == "failed") & F.coalesce(replanned, F.lit(False)), "replanned").otherwise(F.col("status")))
 
 
 def quieter(findings: DataFrame, queries: DataFrame, explained: Sequence[str]) -> DataFrame:

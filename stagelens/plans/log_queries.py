@@ -292,11 +292,14 @@ def init_scripts(spark: SparkSession, d: str) -> DataFrame:
     return D.init_scripts(e.drop("event_type"), up, wait_ms=HOUR)
 
 
-@query(f"""WITH {cte("queries")}, r AS (SELECT context, sql_execution_id, min(table_written) AS t FROM queries WHERE table_written IS NOT NULL GROUP BY ALL)
-SELECT q.context, q.sql_execution_id, CASE WHEN status = 'failed' AND error LIKE '%5-LOW' THEN 'succeeded' ELSE status END AS status, coalesce(q.table_written, r.t) AS table_written FROM queries q LEFT JOIN r ON r.context = q.context AND r.sql_execution_id = q.root_execution_id""")
+@query(f"""WITH {cte("queries")}, p AS (SELECT *, CASE WHEN sql_execution_id % 4 = 3 AND table_written IS NOT NULL THEN concat('s3://bucket/', table_written) ELSE table_written END AS w FROM queries), r AS (SELECT context, sql_execution_id, min(w) AS t FROM p WHERE w NOT LIKE '%/%' GROUP BY ALL)
+SELECT q.context, q.sql_execution_id, CASE WHEN status = 'failed' AND error LIKE '%5-LOW' THEN 'replanned' ELSE status END AS status,
+  CASE WHEN q.root_execution_id <> q.sql_execution_id AND (w IS NULL OR w LIKE '%/%') THEN coalesce(r.t, w) ELSE w END AS table_written FROM p q LEFT JOIN r ON r.context = q.context AND r.sql_execution_id = q.root_execution_id""")
 def settled_states(spark: SparkSession, d: str) -> DataFrame:
-    """F34."""
-    return D.settled_states(bound(spark, d, "queries"), F.col("error").endswith("5-LOW")).select("context", "sql_execution_id", "status", "table_written")
+    """replans are no failures; children that know their table by a path take the root's name."""
+    q = bound(spark, d, "queries")
+    q = q.withColumn("table_written", F.when(F.col("sql_execution_id") % 4 == 3, F.concat(F.lit("s3://bucket/"), "table_written")).otherwise(F.col("table_written")))
+    return D.settled_states(q, F.col("error").endswith("5-LOW")).select("context", "sql_execution_id", "status", "table_written")
 
 
 # stages, tasks, executors ---------------------------------------------------------------------------------------------
