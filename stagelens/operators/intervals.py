@@ -1,7 +1,7 @@
 """Operators on intervals [start, end) given as numbers (milliseconds): merging, subtraction, sweeps, buckets.
 
 Sweeps work on changes summed per instant, so their input is never larger than the number of distinct instants. A running sum over one giant key is
-taken in two levels: totals of time buckets first (few rows), then within each bucket on its own.
+taken in two levels: totals of time buckets first (few rows), then within each bucket on its own. What both levels read is written once, to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -36,7 +38,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, ga
         fresh = F.coalesce((F.col(start) > F.max(end).over(order.rowsBetween(*ALL_BEFORE)) + gap).cast("int"), F.lit(1))
         marked = df.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(order.rowsBetween(*TO_HERE)))
         return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).drop("__island")
-    inner = merge_intervals(df.withColumn("__b", F.floor(F.col(start) / width)), [*keys, "__b"], start, end, gap, sums)
+    inner = written(merge_intervals(df.withColumn("__b", F.floor(F.col(start) / width)), [*keys, "__b"], start, end, gap, sums))
     edges = inner.groupBy(*keys, "__b").agg(F.min(start).alias("__first"), F.max(end).alias("__reach"))
     over = Window.partitionBy(*keys).orderBy("__b")
     edges = edges.withColumn("__before", F.max("__reach").over(over.rowsBetween(*ALL_BEFORE))).withColumn("__after", F.lead("__first").over(over)).drop("__first", "__reach")
@@ -70,7 +72,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], t: str, columns: Sequence[s
     if width is None:
         w = Window.partitionBy(*keys).orderBy(t).rowsBetween(*TO_HERE)
         return df.withColumns({c: F.sum(c).over(w) for c in columns})
-    df = df.withColumn("__bucket", F.floor(F.col(t) / width))
+    df = written(df.withColumn("__bucket", F.floor(F.col(t) / width)))
     totals = df.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__sum_{c}") for c in columns])
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(*ALL_BEFORE)
     totals = totals.withColumns({f"__sum_{c}": F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)) for c in columns})
@@ -82,7 +84,7 @@ def segments(levels: DataFrame, keys: Sequence[str], t: str, width: int | None =
     """Rows of running_sums as segments: adds until, the next instant of the keys; the last instant opens none."""
     if width is None:
         return levels.withColumn("until", F.lead(t).over(Window.partitionBy(*keys).orderBy(t))).filter("until IS NOT NULL")
-    b = levels.withColumn("__b", F.floor(F.col(t) / width))
+    b = written(levels.withColumn("__b", F.floor(F.col(t) / width)))
     firsts = b.groupBy(*keys, "__b").agg(F.min(t).alias("__first"))
     firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__b"))).drop("__first")
     inside = F.lead(t).over(Window.partitionBy(*keys, "__b").orderBy(t))
