@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .graph import connected_components, follow_paths, written
 from .intervals import overlap_join
 from .joins import asof_join
+from .windows import numbered
 
 # fixed values: kinds of problems with their label and level (causes have lower levels), what category is which kind, what may cause what and why
 KINDS = {
@@ -407,8 +408,8 @@ def ranked_incidents(roles: DataFrame, about: DataFrame) -> DataFrame:
         .when(F.col("__executors") != "", F.concat(F.lit("Executor "), "__executors", F.lit(": "), kinds))
         .otherwise(F.concat(F.upper(F.substring(F.col("__top.label"), 1, 1)), F.expr("substring(__top.label, 2)")))
     )
-    order = Window.orderBy(~F.col("failed"), "only_reported", "severity", F.desc("level"), F.coalesce("start", F.lit(0)), "incident")
-    return g.select("incident", F.row_number().over(order).alias("rank"), title.alias("title"), "severity", "start", "end", "problems")
+    order = [~F.col("failed"), F.col("only_reported"), F.col("severity"), F.desc("level"), F.coalesce("start", F.lit(0)), F.col("incident")]
+    return numbered(g.withColumn("title", title), order, "rank").select("incident", "rank", "title", "severity", "start", "end", "problems")
 
 
 def build_incidents(findings: DataFrame, stages: DataFrame, executors: DataFrame, tasks: DataFrame, lines: DataFrame, errors: DataFrame, retry_categories: DataFrame | None = None) -> DataFrame:

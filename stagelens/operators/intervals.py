@@ -219,6 +219,36 @@ def carried_forward(df: DataFrame, keys: Sequence[str], bucket: str, order: str,
     return last.withColumn("__end", end).select(*keys, F.explode(F.sequence(F.col(bucket), F.col("__end"))).alias(bucket), value)
 
 
+def heap_use(gc: DataFrame, executors: DataFrame, width: int = 60_000) -> DataFrame:
+    """context, minute: the heap in use after the last collections of the executors that are up (used_mb of up_mb, share), the fullest one of them (max_share, max_exec), and the driver's share.
+
+    An executor keeps its last measured value until its next collection, from its first one on, and counts in the minutes it is up in: added before the minute ends, not removed
+    before it begins. Minutes go up to the context's last measured one; those with neither a heap nor a driver are left out. Of equally full executors the least is named.
+    gc: context, executor_id (null or 'driver' for the driver), ts_ms, after_mb, total_mb; executors: context, executor_id, added_ms, removed_ms, heap_mb (null: the measured total). One row
+    an executor and minute meets before the sum, as in the result's meaning.
+    """
+    keys = ["context", "executor_id"]
+    e = gc.dropna(subset=["ts_ms", "after_mb"]).withColumns({"executor_id": F.coalesce("executor_id", F.lit("driver")), "minute": F.col("ts_ms") - F.pmod("ts_ms", F.lit(width))})
+    e = e.groupBy(*keys, "minute").agg(F.max("after_mb").alias("after"), F.max("total_mb").alias("total"))
+    top = e.groupBy("context").agg(F.max("minute").alias("__top"))
+    w = Window.partitionBy(*keys).orderBy("minute")
+    held = e.join(top, "context").withColumn("__to", F.coalesce(F.lead("minute").over(w) - width, "__top")).join(executors.select(*keys, "added_ms", "removed_ms", "heap_mb"), keys, "left")
+    driver = F.col("executor_id") == "driver"
+    cut = lambda c, first: F.when(driver | F.col(c).isNull(), first)
+    down = lambda c: c - F.pmod(c, F.lit(width))
+    held = held.withColumns({"__from": F.greatest("minute", cut("added_ms", F.col("minute")).otherwise(down(F.col("added_ms")))), "__to": F.least("__to", cut("removed_ms", F.col("__to")).otherwise(down(F.col("removed_ms") - 1)))})
+    each = held.filter("__from <= __to").withColumn("minute", F.explode(F.sequence("__from", "__to", F.lit(width).cast("long"))))
+    heap = F.when(~driver, F.coalesce(F.when(F.col("heap_mb") != 0, F.col("heap_mb")), F.when(F.col("total") != 0, F.col("total"))))
+    full = F.col("after") / F.col("__heap")
+    each = each.withColumn("__heap", heap)
+    out = each.groupBy("context", "minute").agg(
+        F.sum(F.when(F.col("__heap").isNotNull(), F.col("after"))).alias("used_mb"), F.sum("__heap").alias("up_mb"), F.max(full).alias("max_share"),
+        F.min_by("executor_id", F.when(full > 0, F.struct((-full).alias("f"), F.col("executor_id").alias("e")))).alias("max_exec"), F.max(F.when(driver & (F.col("total") > 0), F.col("after") / F.col("total"))).alias("driver_share"),
+    ).filter("up_mb IS NOT NULL OR driver_share IS NOT NULL")
+    part = lambda c: F.round(F.least(c, F.lit(1.0)), 3)
+    return out.select("context", "minute", "used_mb", "up_mb", part(F.col("used_mb") / F.col("up_mb")).alias("share"), F.when(F.col("max_exec").isNotNull(), part(F.col("max_share"))).alias("max_share"), "max_exec", F.round("driver_share", 3).alias("driver_share"))
+
+
 def underused(up: DataFrame, used: DataFrame, keys: Sequence[str], bucket: str, share: float, at_least: int) -> DataFrame:
     """keys, start, end, n: runs of at least so many buckets in a row that are up (rows of up, with capacity `up`) and use less than the share of it. Buckets that are not up end a run."""
     quiet = up.join(used, [*keys, bucket], "left").filter(F.coalesce("used", F.lit(0)) < F.lit(share) * F.col("up"))

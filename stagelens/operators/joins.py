@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,10 +121,40 @@ def propagate(df: DataFrame, ident: str, parent: str, value: str) -> DataFrame:
     return df.join(far, F.col(ident) == F.col("__i"), "left").withColumn(value, F.coalesce(value, "__v")).drop("__i", "__v")
 
 
-def ranked_candidates(query: DataFrame, pool: DataFrame, key: str, ident: str, order: Sequence[str], caps: dict[int, int], group: F.Column) -> DataFrame:
-    """For each query row, candidates of one key from the pool: group (an int column over both sides, the pool's columns prefixed c_) ranks them, each group to its cap."""
-    c = pool.select(*[F.col(x).alias(f"c_{x}") for x in pool.columns])
-    pairs = query.join(c, F.col(key) == F.col(f"c_{key}")).filter(F.col(ident) != F.col(f"c_{ident}")).withColumn("group", group)
-    w = Window.partitionBy(ident, "group").orderBy(*[F.col(f"c_{o}") for o in order], f"c_{ident}")
-    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("group"))
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+@dataclass(frozen=True)
+class Candidates:
+    """Rows of the pool equal in all columns of `same` and unequal in `differs` (a row without a value there differs from every row): the first `cap` of them."""
+
+    group: int
+    same: Sequence[str]
+    cap: int
+    differs: str | None = None
+
+
+def ranked_candidates(query: DataFrame, pool: DataFrame, ident: str, order: Sequence[str], groups: Sequence[Candidates]) -> DataFrame:
+    """For each query row, the first candidates of each group in order, with rank; the pool's columns are prefixed c_. ident is unique and never null; a row is no candidate of its own.
+
+    No pairs are made. What any row of a scope can need is cut before the join: of each value that may have to be left out its first cap + 1 rows, of these the scope's first
+    2 cap + 1 (at most cap + 1 of them are left out for one row). Spark cuts in the sending tasks. A scope is then one row with a short list, which each query row filters by itself.
+    Query rows of a hot scope meet that one row, so the join can be split or the lists sent to all tasks.
+    """
+    out = None
+    for g in groups:
+        first = [*[F.col(c) for c in order], F.col(ident)]
+        differs = g.differs if g.differs and g.differs != ident else None
+        kept = pool.dropna(subset=list(g.same))
+        if differs:
+            kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy(*g.same, differs).orderBy(*first))).filter(F.col("__r") <= g.cap + 1).drop("__r")
+        most = 2 * g.cap + 1 if differs else g.cap + 1
+        kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy(*g.same).orderBy(*first))).filter(F.col("__r") <= most)
+        lists = kept.groupBy(*g.same).agg(F.sort_array(F.collect_list(F.struct("__r", *[F.col(c).alias(f"c_{c}") for c in pool.columns]))).alias("__c"))
+
+        def other(x):
+            apart = x[f"c_{ident}"] != F.col(ident)
+            return apart & ~F.coalesce(x[f"c_{differs}"] == F.col(differs), F.lit(False)) if differs else apart
+
+        mine = F.slice(F.filter("__c", other), 1, g.cap)
+        found = query.join(lists, list(g.same)).select(*query.columns, F.posexplode(mine).alias("__p", "__x"))
+        one = found.select(*query.columns, *[F.col(f"__x.c_{c}").alias(f"c_{c}") for c in pool.columns], F.lit(g.group).alias("group"), (F.col("__p") + 1).alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    return out

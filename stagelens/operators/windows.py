@@ -91,10 +91,24 @@ def systematic_sample(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return df.withColumn("__p", place).filter((F.col("__p") % every == 0) | always).drop("__p")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "n") -> DataFrame:
+    """df with its place (from 1) in the order over all rows, without one task that sees them all. Equal rows in the order may change places by run: end it with a key.
+
+    Rows are sorted by ranges and written once with their place inside their range; the counts of the ranges before (one row a range) give the rest.
+    """
+    from .graph import written
+
+    part, local = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id())).withColumn("__part", part)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(offsets, "__part").select(*df.columns, (F.col("__before") + local + 1).alias(name))
+
+
 def ranked_ids(df: DataFrame, order: Sequence[Column], prefix: str = "F", digits: int = 3) -> DataFrame:
-    """df with id: prefix and number in order. For final, small results: one task numbers all rows."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(n.cast("string")) < digits, F.lpad(n.cast("string"), digits, "0")).otherwise(n.cast("string"))))
+    """df with id: prefix and number in order, over any number of rows."""
+    n = F.col("__id").cast("string")
+    return numbered(df, order, "__id").withColumn("id", F.concat(F.lit(prefix), F.when(F.length(n) < digits, F.lpad(n, digits, "0")).otherwise(n))).drop("__id")
 
 
 def collapse(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -123,8 +137,11 @@ def plan_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], line: str)
     return both.withColumn("__n", n).filter("__n <> 0").select(*keys, line, F.when(F.col("__n") > 0, "added").otherwise("removed").alias("side"), F.abs("__n").alias("n"))
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, deep: int = 10_000) -> DataFrame:
+    """The rows after offset, at most limit. Spark sorts a page near the start in one task (offset + limit rows); one that ends beyond `deep` rows is found by number instead."""
+    if offset + limit <= deep:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    return numbered(df, order, "__n").filter(F.col("__n").between(offset + 1, offset + limit)).drop("__n")
 
 
 def where_equal(df: DataFrame, filters: dict[str, object]) -> DataFrame:

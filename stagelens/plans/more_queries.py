@@ -194,11 +194,28 @@ def widened_runs(spark: SparkSession, d: str) -> DataFrame:
     return w.select("run_key", F.unix_millis("start_time").alias("start_ms"), F.unix_millis("end_time").alias("end_ms"))
 
 
-@query("""SELECT row_number() OVER (ORDER BY x NULLS LAST, class, text) AS seq, x AS "at", kind, text FROM (SELECT epoch_us(o_orderdate) // 1000 AS x, 0 AS class, 'order' AS kind, concat('order ', o_orderkey) AS text FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' UNION ALL SELECT NULL, 1, 'nation', n_name FROM nation)""")
+@query("""SELECT row_number() OVER (ORDER BY x NULLS LAST, class, text) AS seq, x AS "at", kind, text FROM (SELECT epoch_us(o_orderdate) // 1000 AS x, 0 AS class, 'order' AS kind, concat('order ', o_orderkey) AS text FROM orders
+ UNION ALL SELECT epoch_us(ts) // 1000, 1, event_type, concat('event ', event_id) FROM events UNION ALL SELECT NULL, 2, 'nation', n_name FROM nation)""")
 def narrative(spark: SparkSession, d: str) -> DataFrame:
-    """Urgent failures and nations told in order; a final report."""
-    o = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(millis("o_orderdate").alias("at"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
-    return V.story([(o, "order"), (read(spark, d, "nation").select(F.lit(None).cast("long").alias("at"), F.col("n_name").alias("text")), "nation")])
+    """All orders, events and nations told in order."""
+    o = read(spark, d, "orders").select(millis("o_orderdate").alias("at"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
+    e = read(spark, d, "events").select(millis("ts").alias("at"), F.concat(F.lit("event "), "event_id").alias("text"), F.col("event_type").alias("kind"))
+    return V.story([(o, "order"), (e, F.col("kind")), (read(spark, d, "nation").select(F.lit(None).cast("long").alias("at"), F.col("n_name").alias("text")), "nation")])
+
+
+@query(f"""WITH {cte("tasks", "executors")}, e AS (SELECT context, CASE WHEN executor_id = '15' THEN 'driver' ELSE executor_id END AS executor_id, finish_ms // {DAY} AS day, max(input_bytes // 1000000 % 4000) AS after, 4000 AS total FROM tasks GROUP BY ALL),
+ days AS (SELECT context, unnest(range(min(day), max(day) + 1)) AS day FROM e GROUP BY context),
+ x AS (SELECT context, executor_id, added_ms, removed_ms, CASE WHEN CAST(executor_id AS BIGINT) % 2 = 0 THEN 8000 END AS heap_mb FROM executors),
+ g AS (SELECT d.context, d.day, e.executor_id, e.after, e.total, CASE WHEN e.executor_id <> 'driver' THEN coalesce(x.heap_mb, e.total) END AS heap FROM days d
+   JOIN (SELECT DISTINCT context, executor_id FROM e) k ON k.context = d.context ASOF JOIN e ON e.context = k.context AND e.executor_id = k.executor_id AND e.day <= d.day LEFT JOIN x ON x.context = k.context AND x.executor_id = k.executor_id
+   WHERE e.executor_id = 'driver' OR ((added_ms IS NULL OR added_ms < (d.day + 1) * {DAY}) AND (removed_ms IS NULL OR removed_ms > d.day * {DAY}))),
+ r AS (SELECT context, day, CAST(sum(after) FILTER (heap IS NOT NULL) AS BIGINT) AS used_mb, CAST(sum(heap) AS BIGINT) AS up_mb, max(after / heap) AS m, min_by(executor_id, (-after / heap, executor_id)) FILTER (heap IS NOT NULL AND after > 0) AS max_exec, max(after / total) FILTER (executor_id = 'driver') AS ds FROM g GROUP BY ALL)
+SELECT context, day * {DAY} AS minute, used_mb, up_mb, round(least(used_mb / up_mb, 1.0), 3) AS share, CASE WHEN max_exec IS NOT NULL THEN round(least(m, 1.0), 3) END AS max_share, max_exec, round(ds, 3) AS driver_share FROM r WHERE up_mb IS NOT NULL OR ds IS NOT NULL""")
+def heap_use(spark: SparkSession, d: str) -> DataFrame:
+    """Heap in use while executors are up, by day; executor 15 speaks for the driver."""
+    gc = bound(spark, d, "tasks").select("context", F.when(F.col("executor_id") != "15", F.col("executor_id")).alias("executor_id"), F.col("finish_ms").alias("ts_ms"), (F.floor(F.col("input_bytes") / 1_000_000) % 4000).alias("after_mb"), F.lit(4000).cast("long").alias("total_mb"))
+    up = bound(spark, d, "executors").withColumn("heap_mb", F.when(F.col("executor_id").cast("int") % 2 == 0, F.lit(8000).cast("long")))
+    return I.heap_use(gc, up, DAY)
 
 
 @query(f"""WITH {cte("tasks")}, r AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY task_ms DESC, task_id, executor_id, input_bytes) AS rank FROM tasks) SELECT context, rank, task_id, task_ms FROM r WHERE rank <= 10""")

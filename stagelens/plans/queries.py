@@ -424,8 +424,8 @@ def top_contributor(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, candidate, "group", rank FROM r WHERE rank <= CASE "group" WHEN 0 THEN 2 ELSE 1 END""")
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
-    group = F.when(F.col("o_orderpriority") == F.col("c_o_orderpriority"), 0).otherwise(1)
-    out = J.ranked_candidates(o, o, "o_custkey", "o_orderkey", ["o_totalprice"], {0: 2, 1: 1}, group)
+    groups = [J.Candidates(0, ["o_custkey", "o_orderpriority"], 2), J.Candidates(1, ["o_custkey"], 1, differs="o_orderpriority")]
+    out = J.ranked_candidates(o, o, "o_orderkey", ["o_totalprice"], groups)
     return out.select("o_orderkey", F.col("c_o_orderkey").alias("candidate"), "group", "rank")
 
 

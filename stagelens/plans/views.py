@@ -208,14 +208,13 @@ def core_use(tasks: DataFrame, executors: DataFrame) -> DataFrame:
     return paid.join(good, "context", "full").withColumn("use", F.col("good_task_ms") / F.nullif("paid_core_ms", F.lit(0)))
 
 
-def story(parts: list[tuple[DataFrame, str]]) -> DataFrame:
-    """seq, at, kind, text: all events (at, text) in order of time, nulls last, then of the parts. A final report: one task numbers it."""
+def story(parts: list[tuple[DataFrame, str | Column]]) -> DataFrame:
+    """seq, at, kind, text: all events (at, text) in order of time, nulls last, then of the parts."""
     out = None
     for i, (df, kind) in enumerate(parts):
-        one = df.select("at", F.lit(i).alias("class"), F.lit(kind).alias("kind"), "text")
+        one = df.select("at", F.lit(i).alias("class"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), "text")
         out = one if out is None else out.unionByName(one)
-    w = Window.orderBy(F.col("at").asc_nulls_last(), "class", "text")
-    return out.withColumn("seq", F.row_number().over(w)).select("seq", "at", "kind", "text")
+    return W.numbered(out, [F.col("at").asc_nulls_last(), F.col("class"), F.col("text")], "seq").select("seq", "at", "kind", "text")
 
 
 def query_rollup(stages: DataFrame, links: DataFrame) -> DataFrame:
