@@ -51,3 +51,45 @@ def test_brackets_give_exact_percentiles(spark, error):
     assert got.columns == want.columns and rows(got) == rows(want)
     assert rows(A.distribution(df, ["k"], "v", how="bracket")) == rows(A.distribution(df, ["k"], "v"))
     assert rows(A.exact_quantiles(df, [], "v", [0.5])) == rows(df.agg(F.count("v"), F.min("v"), F.expr("CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY v) AS BIGINT)"), F.max("v"), F.avg("v")))
+
+
+def test_numbers_over_all_rows(spark):
+    """Ties end in a key; nulls first or last as ordered; a deep page is the same as a sorted one."""
+    rng = random.Random(8)
+    some = [(i, rng.choice([None, 1, 2, 3, 3, 3])) for i in range(500)]
+    df = spark.createDataFrame(some, "id long, v long").repartition(7)
+    got = {r["id"]: r["n"] for r in W.numbered(df, [F.col("v").desc_nulls_last(), F.col("id")]).collect()}
+    want = sorted(some, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(want)}
+    order = [F.col("v"), F.col("id")]
+    assert rows(W.page(df, order, 20, 333, deep=100)) == rows(W.page(df, order, 20, 333))
+    assert W.numbered(df.limit(0), order).count() == 0
+    assert sorted(r["id2"] for r in W.ranked_ids(df.select(F.col("id").alias("k")), [F.col("k")]).select(F.col("id").alias("id2")).collect())[::499] == ["F001", "F500"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_candidates_against_all_pairs(spark, seed):
+    """A hot scope (a third of the rows), rows without a scope or value, ties in the order; a row is no candidate of its own."""
+    from stagelens.operators import joins as J
+
+    rng = random.Random(seed)
+    some = [(i, rng.choice(["hot", "hot", "x", "y", "z", None]), rng.choice(["p", "q", "r", None]), rng.randrange(6)) for i in range(120)]
+    df = spark.createDataFrame(some, "id long, scope string, run string, cost long").repartition(5)
+    groups = [J.Candidates(0, ["scope"], 3, differs="run"), J.Candidates(1, ["scope", "run"], 2), J.Candidates(2, ["scope"], 4)]
+    got = sorted(tuple(r) for r in J.ranked_candidates(df, df, "id", ["cost"], groups).select("id", "group", "rank", "c_id").collect())
+    want = []
+    for i, scope, run, _ in some:
+        mine = [r for r in some if scope is not None and r[1] == scope and r[0] != i]
+        kinds = ([r for r in mine if r[2] is None or run is None or r[2] != run], [r for r in mine if r[2] is not None and r[2] == run], mine)
+        for g, rows_, cap in zip((0, 1, 2), kinds, (3, 2, 4), strict=True):
+            want += [(i, g, k + 1, r[0]) for k, r in enumerate(sorted(rows_, key=lambda r: (r[3], r[0]))[:cap])]
+    assert got == sorted(want)
+
+
+def test_heap_of_executors_that_are_up(spark):
+    from stagelens.operators import intervals as I
+
+    gc = [("c", "1", 10, 50, 100), ("c", "1", 15, 60, 100), ("c", "2", 12, 30, 0), ("c", None, 31, 20, 40), ("c", "1", 45, 10, 100), ("c", "3", 5, None, 100), ("c", "4", None, 5, 100)]
+    up = [("c", "1", 20, 39, 80), ("c", "2", 0, None, None)]
+    got = I.heap_use(spark.createDataFrame(gc, "context string, executor_id string, ts_ms long, after_mb long, total_mb long"), spark.createDataFrame(up, "context string, executor_id string, added_ms long, removed_ms long, heap_mb long"), 10)
+    assert rows(got) == rows(spark.createDataFrame([("c", 20, 60, 80, 0.75, 0.75, "1", None), ("c", 30, 60, 80, 0.75, 0.75, "1", 0.5), ("c", 40, None, None, None, None, None, 0.5)], got.schema))
