@@ -245,7 +245,7 @@ def heap_use(gc: DataFrame, executors: DataFrame, width: int = 60_000) -> DataFr
         F.sum(F.when(F.col("__heap").isNotNull(), F.col("after"))).alias("used_mb"), F.sum("__heap").alias("up_mb"), F.max(full).alias("max_share"),
         F.min_by("executor_id", F.when(full > 0, F.struct((-full).alias("f"), F.col("executor_id").alias("e")))).alias("max_exec"), F.max(F.when(driver & (F.col("total") > 0), F.col("after") / F.col("total"))).alias("driver_share"),
     ).filter("up_mb IS NOT NULL OR driver_share IS NOT NULL")
-    part = lambda c: F.round(F.least(c, F.lit(1.0)), 3)
+    part = lambda c: F.round(F.when(c > 1, 1.0).otherwise(c), 3)
     return out.select("context", "minute", "used_mb", "up_mb", part(F.col("used_mb") / F.col("up_mb")).alias("share"), F.when(F.col("max_exec").isNotNull(), part(F.col("max_share"))).alias("max_share"), "max_exec", F.round("driver_share", 3).alias("driver_share"))
 
 

@@ -210,7 +210,7 @@ def narrative(spark: SparkSession, d: str) -> DataFrame:
    JOIN (SELECT DISTINCT context, executor_id FROM e) k ON k.context = d.context ASOF JOIN e ON e.context = k.context AND e.executor_id = k.executor_id AND e.day <= d.day LEFT JOIN x ON x.context = k.context AND x.executor_id = k.executor_id
    WHERE e.executor_id = 'driver' OR ((added_ms IS NULL OR added_ms < (d.day + 1) * {DAY}) AND (removed_ms IS NULL OR removed_ms > d.day * {DAY}))),
  r AS (SELECT context, day, CAST(sum(after) FILTER (heap IS NOT NULL) AS BIGINT) AS used_mb, CAST(sum(heap) AS BIGINT) AS up_mb, max(after / heap) AS m, min_by(executor_id, (-after / heap, executor_id)) FILTER (heap IS NOT NULL AND after > 0) AS max_exec, max(after / total) FILTER (executor_id = 'driver') AS ds FROM g GROUP BY ALL)
-SELECT context, day * {DAY} AS minute, used_mb, up_mb, round(least(used_mb / up_mb, 1.0), 3) AS share, CASE WHEN max_exec IS NOT NULL THEN round(least(m, 1.0), 3) END AS max_share, max_exec, round(ds, 3) AS driver_share FROM r WHERE up_mb IS NOT NULL OR ds IS NOT NULL""")
+SELECT context, day * {DAY} AS minute, used_mb, up_mb, CASE WHEN up_mb IS NOT NULL THEN round(least(used_mb / up_mb, 1.0), 3) END AS share, CASE WHEN max_exec IS NOT NULL THEN round(least(m, 1.0), 3) END AS max_share, max_exec, round(ds, 3) AS driver_share FROM r WHERE up_mb IS NOT NULL OR ds IS NOT NULL""")
 def heap_use(spark: SparkSession, d: str) -> DataFrame:
     """Heap in use while executors are up, by day; executor 15 speaks for the driver."""
     gc = bound(spark, d, "tasks").select("context", F.when(F.col("executor_id") != "15", F.col("executor_id")).alias("executor_id"), F.col("finish_ms").alias("ts_ms"), (F.floor(F.col("input_bytes") / 1_000_000) % 4000).alias("after_mb"), F.lit(4000).cast("long").alias("total_mb"))
