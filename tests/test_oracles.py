@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from stagelens.plans import incident_queries, log_queries, more_queries  # noqa: F401  (they register their queries)
+from stagelens.plans import advice_queries, incident_queries, log_queries, more_queries  # noqa: F401  (they register their queries)
 from stagelens.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
