@@ -12,6 +12,7 @@ from stagelens.functions import text as T
 from stagelens.operators import intervals as I
 from stagelens.operators import joins as J
 from stagelens.operators.findings import HIGH, MEDIUM
+from stagelens.operators.graph import written
 
 INFO = 2
 MB, GB = 1 << 20, 1 << 30
@@ -145,10 +146,11 @@ def advice(stages: DataFrame, settings: DataFrame, queries: DataFrame, runs: Dat
     """All rules: context, rank, rule, setting, subject, severity, n (stages, runs, queries or findings behind it), suggest, cost_ms, also (what the piece takes in).
 
     Where runs waited for cores, that item takes in the bursts and the sharing of its context and is as severe as the worst of them. Notes rank last; a stage that holds all cores and MERGEs come before
-    what they cause, a cache larger than memory before everything; then by cost.
+    what they cause, a cache larger than memory before everything; then by cost. The stages' figures and the settings in force are written once, as several rules read them.
     """
+    stages = written(stages)
     contexts = stages.select("context").union(runs.select("context")).union(settings.select("context")).union(findings.select("context")).union(compute.select("context")).filter("context IS NOT NULL").distinct()
-    now = settings_row(contexts, settings)
+    now = written(settings_row(contexts, settings))
     parts = [stage_rules(stages, now), *run_rules(runs, executors, gap), *query_rules(queries, now), finding_rules(findings, runs, now), idle_rule(compute, now)]
     out = parts[0].select(*COLUMNS)
     for p in parts[1:]:
