@@ -220,7 +220,7 @@ def init_scripts(lines: DataFrame, executors: DataFrame, wait_ms: int = 900_000,
     """
     errors = lines.filter(F.col("line").rlike(bad))
     ran = lines.groupBy("script", "host").agg(F.min("ts_ms").alias("t"))
-    joined = J.asof_join(ran, executors.select("host", "added_ms"), ["host"], "t", "added_ms", ["added_ms"], forward=True).withColumn("took", F.col("added_ms") - F.col("t"))
+    joined = J.asof_join(ran, executors.select("host", "added_ms"), ["host"], "t", "added_ms", ["added_ms"], forward=True, width=wait_ms).withColumn("took", F.col("added_ms") - F.col("t"))
     slow = joined.filter(F.col("took") <= wait_ms).groupBy("script").agg(F.max("took").alias("join_ms"))
     per = errors.groupBy("script").agg(F.countDistinct("host").alias("nodes"), F.count("*").alias("n"), F.min_by("line", F.struct("ts_ms", "line")).alias("first")).join(slow, "script", "left")
     return found(per, "init_script", F.col("script"), MEDIUM, F.col("n"), ["nodes", "first", "join_ms"])

@@ -24,16 +24,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     both, parts = stacked.unionByName(other), list(keys)
     if width is not None:
         both, parts = both.withColumn("__b", F.floor(F.col("__t") / width)), [*keys, "__b"]
-    w = Window.partitionBy(*parts).orderBy("__t", "__side", *take)
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    found = both.withColumn("__found", pick(F.when(F.col("__r"), F.struct(*take)), ignorenulls=True).over(w)).filter("__row IS NOT NULL")
+    # forward: the same from behind, as Spark takes a frame of all following rows anew for each row
+    turned = (lambda c: F.col(c).desc()) if forward else F.col
+    w = Window.partitionBy(*parts).orderBy(*[turned(c) for c in ("__t", "__side", *take)]).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__found", F.last(F.when(F.col("__r"), F.struct(*take)), ignorenulls=True).over(w)).filter("__row IS NOT NULL")
     if width is not None:
         edge = (F.min if forward else F.max)(F.when(F.col("__r"), F.struct("__t", *take)))
         edges = both.groupBy(*parts).agg(edge.alias("__edge"))
-        over = Window.partitionBy(*keys).orderBy("__b")
-        over = over.rowsBetween(1, Window.unboundedFollowing) if forward else over.rowsBetween(Window.unboundedPreceding, -1)
-        edges = edges.withColumn("__edge", pick("__edge", ignorenulls=True).over(over))
+        over = Window.partitionBy(*keys).orderBy(turned("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.withColumn("__edge", F.last("__edge", ignorenulls=True).over(over))
         same = F.lit(True)
         for k in parts:
             same = same & found[k].eqNullSafe(edges[k])
