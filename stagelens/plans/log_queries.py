@@ -357,7 +357,7 @@ def task_placement(spark: SparkSession, d: str) -> DataFrame:
     return V.placement(bound(spark, d, "tasks")).select("context", "stage_id", "stage_attempt", "executor_id", "median_ms", *[f"n_{i}" for i in range(5)], "bytes_4")
 
 
-@query(f"""WITH {cte("tasks", "executors")}, b AS (SELECT *, CASE WHEN launch_ms > max(finish_ms) OVER w + 2000 THEN 1 WHEN max(finish_ms) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM tasks WINDOW w AS (PARTITION BY context, executor_id ORDER BY launch_ms, finish_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+@query(f"""WITH {cte("tasks", "executors")}, b AS (SELECT *, CASE WHEN launch_ms > max(finish_ms) OVER w + 2000 THEN 1 WHEN max(finish_ms) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT context, executor_id, launch_ms, finish_ms FROM tasks) WINDOW w AS (PARTITION BY context, executor_id ORDER BY launch_ms, finish_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  n AS (SELECT *, sum(fresh) OVER (PARTITION BY context, executor_id ORDER BY launch_ms, finish_ms ROWS UNBOUNDED PRECEDING) AS k FROM b), i AS (SELECT context, executor_id, max(finish_ms) - min(launch_ms) AS ms FROM n GROUP BY context, executor_id, k), busy AS (SELECT context, executor_id, CAST(sum(ms) AS BIGINT) AS busy_ms FROM i GROUP BY ALL),
  t AS (SELECT context, executor_id, count(*) AS tasks, count(*) FILTER (failed) AS failed_tasks, CAST(sum(task_ms) AS BIGINT) AS task_ms, CAST(sum(gc_ms) AS BIGINT) AS gc_ms, max(finish_ms) AS l FROM tasks GROUP BY ALL)
 SELECT context, executor_id, tasks, failed_tasks, task_ms, gc_ms, busy_ms, coalesce(removed_ms, l) - added_ms AS lifetime_ms, greatest(0, (coalesce(removed_ms, l) - added_ms) * cores - task_ms) AS idle_core_ms, CAST(greatest(0, coalesce(removed_ms, l) - added_ms - busy_ms) AS BIGINT) AS idle_ms
