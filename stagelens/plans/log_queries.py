@@ -649,7 +649,7 @@ def debug_steps(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {cte("stages", "queries", "executors", "tasks")}, t AS (SELECT context, task_id AS id, launch_ms AS s, finish_ms AS e, failed, row_number() OVER (PARTITION BY context ORDER BY launch_ms, task_id, finish_ms) - 1 AS k FROM tasks)
+@query(f"""WITH {cte("stages", "queries", "executors", "tasks")}, t AS (SELECT context, task_id AS id, launch_ms AS s, finish_ms AS e, failed, row_number() OVER (PARTITION BY context ORDER BY launch_ms, task_id, finish_ms, failed) - 1 AS k FROM tasks)
 SELECT kind, context, count(*) AS n, CAST(sum(s % 1000003) AS BIGINT) AS starts, CAST(sum(e % 1000003) AS BIGINT) AS ends FROM (SELECT 'job' AS kind, context, start_ms AS s, end_ms AS e FROM queries UNION ALL SELECT 'stage', context, start_ms, end_ms FROM stages UNION ALL SELECT 'executor', context, added_ms, removed_ms FROM executors
  UNION ALL SELECT 'task', context, s, e FROM t WHERE k % 20 = 0 OR failed UNION ALL SELECT 'removed', context, removed_ms, removed_ms FROM executors WHERE removed_ms IS NOT NULL UNION ALL SELECT 'task_failed', context, finish_ms, finish_ms FROM tasks WHERE failed) GROUP BY ALL""")
 def gantt(spark: SparkSession, d: str) -> DataFrame:

@@ -73,12 +73,12 @@ def cluster_minutes(tasks: DataFrame, executors: DataFrame, ends: DataFrame, wid
 
 
 def gantt(jobs: DataFrame, stages: DataFrame, executors: DataFrame, tasks: DataFrame, every: int = 20) -> DataFrame:
-    """kind, id, start_ms, end_ms of jobs, stages, executors and sampled tasks (every so many-th of a context, all failed ones), with markers for removals and failures.
+    """kind, id, start_ms, end_ms of jobs, stages, executors and sampled tasks (every so many-th of a context by start, id, end, failed ones last; all failed ones), with markers for removals and failures.
 
     Each part: context, id, start_ms, end_ms; tasks with failed.
     """
     one = lambda df, kind: df.select("context", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "start_ms", "end_ms")
-    some = W.systematic_sample(tasks, ["context"], [F.col("start_ms"), F.col("id"), F.col("end_ms")], every, F.col("failed"))
+    some = W.systematic_sample(tasks, ["context"], [F.col("start_ms"), F.col("id"), F.col("end_ms"), F.col("failed")], every, F.col("failed"))
     mark = lambda df, kind, at: df.select("context", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col(at).alias("start_ms"), F.col(at).alias("end_ms"))
     parts = [one(jobs, "job"), one(stages, "stage"), one(executors, "executor"), one(some, "task"), mark(executors.filter("end_ms IS NOT NULL"), "removed", "end_ms"), mark(tasks.filter("failed"), "task_failed", "end_ms")]
     out = parts[0]

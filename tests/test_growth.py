@@ -2,7 +2,12 @@
 
 import random
 
+import duckdb
+
 from stagelens.operators import joins as J
+from stagelens.plans import log_queries  # noqa: F401  (it registers its queries)
+from stagelens.plans import queries as Q
+from stagelens.plans import run_views as RV
 
 
 def got(df):
@@ -25,3 +30,21 @@ def test_forward_asof_takes_no_frame_of_all_following_rows(spark):
             out = J.asof_join(left, right, ["k"], "t", "u", ["u", "v"], forward=True, strict=strict, width=width)
             assert sorted(map(str, got(out.fillna(-1)))) == sorted(str(tuple(-1 if x is None else x for x in r)) for r in want)
             assert "unboundedfollowing" not in plan(out)
+
+
+def test_gantt_and_busy_time_leave_no_ties(spark, sf_dir, tmp_path):
+    rows = [("c", i % 7, 5, 9, i % 3 == 0) for i in range(400)]
+    none = spark.createDataFrame([], "context string, id long, start_ms long, end_ms long")
+    shown = []
+    for turn in (rows, rows[::-1]):
+        tasks = spark.createDataFrame(turn, "context string, id long, start_ms long, end_ms long, failed boolean").coalesce(1)
+        shown.append(got(RV.gantt(none, none, none, tasks, every=5).groupBy("kind", "id").count()))
+    assert shown[0] == shown[1]
+    # equal tasks several times over: the SQL must number islands by what it orders, not by the order rows come in
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT l.* FROM '{sf_dir}/lineitem.parquet' l, range(30)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    df = Q.QUERIES["executor_profile"](spark, str(tmp_path))
+    want = con.execute(Q.SQL["executor_profile"])
+    names = [c[0] for c in want.description]
+    assert got(df.select(*names)) == sorted(want.fetchall())
