@@ -130,7 +130,10 @@ def run_end(runs: DataFrame, queries: DataFrame, executors: DataFrame, errors: D
     """
     q = queries.groupBy("run_key").agg(F.count_if(F.col("status") == "failed").alias("failed_queries"), F.count_if(F.col("status") == "open").alias("open_queries"), F.max_by("sql_execution_id", F.when(F.col("status") != "open", F.struct("end_ms", "sql_execution_id"))).alias("last_query"))
     near = runs.select("run_key", "context", "program", (F.col("end_ms") - before_ms).alias("l_start"), (F.col("end_ms") + after_ms).alias("l_end"))
-    hits = I.overlap_join(near, errors.select("context", "fingerprint", F.col("ts_ms").alias("r_start"), F.col("ts_ms").alias("r_end")), ["context"], width, closed=True).select("run_key", "program", "fingerprint").distinct()
+    # all windows are of one length: errors of a kind at most that far apart are one stretch that every window inside it meets, and a window meets one such stretch at most
+    points = errors.filter("ts_ms IS NOT NULL").select("context", "fingerprint", F.col("ts_ms").alias("r_start"), F.col("ts_ms").alias("r_end")).distinct()
+    stretches = I.merge_intervals(points, ["context", "fingerprint"], "r_start", "r_end", before_ms + after_ms, width=max(width, before_ms + after_ms)).drop("n")
+    hits = I.overlap_join(near, stretches, ["context"], width, closed=True).select("run_key", "program", "fingerprint").distinct()
     common = hits.groupBy("program", "fingerprint").agg(F.countDistinct("run_key").alias("runs_with"))
     errs = hits.join(common, ["program", "fingerprint"]).groupBy("run_key").agg(F.count("*").alias("error_kinds"), F.max("runs_with").alias("runs_with"))
     gone = executors.filter("removed_ms IS NOT NULL").select("context", F.col("removed_ms").alias("r_start"), F.col("removed_ms").alias("r_end"), "removal_category")
