@@ -232,9 +232,9 @@ def grain_distribution(tasks: DataFrame, links: DataFrame, key: str) -> DataFram
 
 def storage_split(tasks: DataFrame) -> DataFrame:
     """context, stage: input bytes, null where no task of the context knows the metric at all."""
-    known = F.bool_or(F.col("input_bytes").isNotNull()).over(Window.partitionBy("context"))
-    t = tasks.withColumn("known", known).withColumn("input_bytes", F.when(F.col("known"), F.coalesce("input_bytes", F.lit(0))))
-    return t.groupBy("context", "stage_id").agg(F.sum("input_bytes").alias("input_bytes"))
+    per = tasks.groupBy("context", "stage_id").agg(F.sum("input_bytes").alias("__b"))
+    known = per.groupBy("context").agg(F.bool_or(F.col("__b").isNotNull()).alias("__known"))
+    return I.by_keys(per, known, ["context"]).select("context", "stage_id", F.when(F.col("__known"), F.coalesce("__b", F.lit(0))).alias("input_bytes"))
 
 
 def retry_summary(tasks: DataFrame) -> DataFrame:
