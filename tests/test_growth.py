@@ -4,10 +4,15 @@ import random
 
 import duckdb
 
+from pyspark.sql import functions as F
+
+from stagelens.operators import graph as G
+from stagelens.operators import intervals as I
 from stagelens.operators import joins as J
 from stagelens.plans import log_queries  # noqa: F401  (it registers its queries)
 from stagelens.plans import queries as Q
 from stagelens.plans import run_views as RV
+from stagelens.plans import views as V
 
 
 def got(df):
@@ -48,3 +53,40 @@ def test_gantt_and_busy_time_leave_no_ties(spark, sf_dir, tmp_path):
     want = con.execute(Q.SQL["executor_profile"])
     names = [c[0] for c in want.description]
     assert got(df.select(*names)) == sorted(want.fetchall())
+
+
+def test_candidate_pairs_are_not_shuffled(spark):
+    rng = random.Random(5)
+    rows = [(f"F{i}", rng.choice("xyz"), rng.randrange(50), [rng.randrange(4) for _ in range(3)] or None, None if i % 7 == 0 else [f"e{rng.randrange(3)}", None]) for i in range(60)]
+    f = spark.createDataFrame(rows, "id string, kind string, at long, stages array<long>, executors array<string>")
+    rules = spark.createDataFrame([("x", "y", 3), ("x", "y", 5), ("y", "z", 1)], "cause_kind string, effect_kind string, weight int")
+    scopes = {r[0]: {("s", x) for x in r[3]} | {("e", x) for x in r[4] or [] if x is not None} for r in rows}
+    weight = {("x", "y"): 5, ("y", "z"): 1}
+    want = sorted((a[0], b[0], weight[a[1], b[1]] + len(scopes[a[0]] & scopes[b[0]])) for a in rows for b in rows if (a[1], b[1]) in weight and scopes[a[0]] & scopes[b[0]] and a[2] <= b[2] + 10)
+    out = G.candidate_pairs(f, "id", ["stages", "executors"], "kind", "at", rules, 10)
+    assert got(out) == want
+    text = plan(out)
+    assert "aggregate" not in text[: text.index("join")]
+
+
+def test_storage_split_has_no_window_of_a_whole_context(spark):
+    tasks = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("b", 1, None), (None, 3, 7), (None, 4, None)], "context string, stage_id long, input_bytes long")
+    out = V.storage_split(tasks)
+    assert sorted(str(tuple(r)) for r in out.collect()) == sorted(map(str, [("a", 1, 0), ("a", 2, 5), ("b", 1, None), (None, 3, 7), (None, 4, 0)]))
+    assert "window" not in plan(out)
+
+
+def test_run_end_meets_stretches_of_errors_once(spark, monkeypatch):
+    rng = random.Random(7)
+    runs = [(f"r{i}", f"c{i % 2}", f"p{i % 3}", s, s + 30) for i, s in enumerate(rng.randrange(3000) for _ in range(80))]
+    errors = [(f"c{rng.randrange(2)}", f"f{rng.randrange(3)}", t) for t in [rng.randrange(3000) for _ in range(120)] + [5] * 50]
+    r = spark.createDataFrame(runs, "run_key string, context string, program string, start_ms long, end_ms long")
+    q = spark.createDataFrame([], "run_key string, sql_execution_id long, status string, end_ms long")
+    x = spark.createDataFrame([], "context string, removed_ms long, removal_category string")
+    pairs, join = [], I.overlap_join
+    monkeypatch.setattr(I, "overlap_join", lambda *a, **k: pairs.append(join(*a, **k)) or pairs[-1])
+    out = RV.run_end(r, q, x, spark.createDataFrame(errors, "context string, fingerprint string, ts_ms long"), r.groupBy("context").agg(F.max("end_ms").alias("end_ms")), 20, 5, 9, 10)
+    hits = {(k, p, f) for k, c, p, _, e in runs for b, f, t in errors if b == c and e - 20 <= t <= e + 5}
+    with_ = {k: [len({h[0] for h in hits if h[1:] == (p, f)}) for k2, p, f in hits if k2 == k] for k, *_ in runs}
+    assert got(out.select("run_key", "error_kinds", F.coalesce("runs_with", F.lit(0)))) == sorted((k, len(v), max(v, default=0)) for k, v in with_.items())
+    assert pairs[0].count() == len(hits)
