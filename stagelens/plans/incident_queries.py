@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ LINKS = f"""{PROBLEMS}, prob AS (SELECT problem, kind, CASE kind WHEN 'oom' THEN
  links AS (SELECT effect, cause, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY effect ORDER BY score DESC, level DESC, ct DESC, cause DESC) = 1)"""
 
 
-def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _frames(spark: SparkSession, d: str, infer: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """findings with their kinds, tasks, stages, and what the findings are about."""
     tasks, stages, executors = (bound(spark, d, t) for t in ("tasks", "stages", "executors"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -43,7 +45,7 @@ def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     lines = spark.createDataFrame([], "signal string, line string, ts long, context string, executor_id string")
     errors = spark.createDataFrame([], "fingerprint string, message string, ts long, context string, executor_id string, source string, user_frame string")
     kinds = written(N.finding_kinds(f, errors))
-    return kinds, tasks, stages, written(N.finding_scopes(kinds, stages, executors, tasks, lines, errors))
+    return kinds, tasks, stages, written(N.finding_scopes(kinds, stages, executors, tasks, lines, errors, infer=infer))
 
 
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,7 +57,7 @@ def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 @query(f"{PROBLEMS} SELECT finding_id, problem, kind FROM f JOIN members USING (finding_id)")
 def problems(spark: SparkSession, d: str) -> DataFrame:
     """Which findings are one problem."""
-    kinds, _, _, scopes = _frames(spark, d)
+    kinds, _, _, scopes = _frames(spark, d, N.ERRORS)
     return N.problem_members(kinds, scopes).join(kinds.select("finding_id", "kind"), "finding_id")
 
 
