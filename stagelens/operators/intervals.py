@@ -190,10 +190,10 @@ def bucket_spread(df: DataFrame, keys: Sequence[str], start: str, end: str, meas
     return rows.groupBy(*keys, "bucket").agg(F.count_if(F.col("bucket") == F.col("__last")).alias("n"), *[F.sum(F.col(m) * share).alias(m) for m in measures])
 
 
-def bursts(df: DataFrame, keys: Sequence[str], t: str, gap: int, at_least: int) -> DataFrame:
-    """keys, start, end, n: runs of instants each within gap of the one before, of at least so many."""
+def bursts(df: DataFrame, keys: Sequence[str], t: str, gap: int, at_least: int, width: int | None = None) -> DataFrame:
+    """keys, start, end, n: runs of instants each within gap of the one before, of at least so many. width: in two levels, for keys with too many rows for one task."""
     points = df.select(*keys, F.col(t).alias("start"), F.col(t).alias("end"))
-    return merge_intervals(points, keys, "start", "end", gap).filter(F.col("n") >= at_least)
+    return merge_intervals(points, keys, "start", "end", gap, width=width).filter(F.col("n") >= at_least)
 
 
 def gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, at_least: int) -> DataFrame:

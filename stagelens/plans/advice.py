@@ -84,13 +84,14 @@ def stage_rules(stages: DataFrame, now: DataFrame) -> DataFrame:
 def run_rules(runs: DataFrame, executors: DataFrame, gap: int = 120_000, at_least: int = 5, at_once: int = 3, long_ms: int = 300_000, width: int = 3_600_000) -> list[DataFrame]:
     """Runs that share executors, and bursts of starts. runs: context, run_key, start_ms, end_ms, status; executors: context, cores, added_ms, removed_ms, removal_category."""
     runs = runs.filter("start_ms IS NOT NULL").withColumn("__end", F.coalesce("end_ms", "start_ms"))
-    sharing = I.peak(runs, ["context"], "start_ms", "__end").filter("peak > 1")
-    groups = I.bursts(runs, ["context"], "start_ms", gap, at_least).select("context", F.col("start").alias("first"), F.col("end").alias("last"))
-    inside = J.asof_join(runs, groups.select("context", "first", "last", F.col("first").alias("__at")), ["context"], "start_ms", "__at", ["first", "last"]).filter(F.col("start_ms") <= F.col("last"))
+    day = 24 * width  # a context may have too many runs for one task: sweeps are taken in two levels
+    sharing = I.peak(runs, ["context"], "start_ms", "__end", width=day).filter("peak > 1")
+    groups = I.bursts(runs, ["context"], "start_ms", gap, at_least, width=day).select("context", F.col("start").alias("first"), F.col("end").alias("last"))
+    inside = J.asof_join(runs, groups.select("context", "first", "last", F.col("first").alias("__at")), ["context"], "start_ms", "__at", ["first", "last"], width=day).filter(F.col("start_ms") <= F.col("last"))
     keys = ["context", "first"]
     took = F.col("__end") - F.col("start_ms")
     b = inside.groupBy(*keys, "last").agg(F.count("*").alias("runs"), F.count_if(took >= long_ms).alias("long"), F.count_if(F.col("status") == "failed").alias("failed"))
-    b = b.join(I.peak(inside, keys, "start_ms", "__end").filter(F.col("peak") >= at_once).select(*keys), keys)
+    b = b.join(I.peak(inside, keys, "start_ms", "__end", width=day).filter(F.col("peak") >= at_once).select(*keys), keys)
     up = executors.select("context", F.coalesce("cores", F.lit(0)).alias("cores"), "added_ms", "removed_ms", "removal_category", F.col("added_ms").alias("r_start"), F.coalesce("removed_ms", F.lit(1 << 60)).alias("r_end"))
     near = I.overlap_join(b.select(*keys, F.col("first").alias("l_start"), F.col("first").alias("l_end")), up.filter("r_end > r_start").withColumn("r_end", F.least("r_end", F.lit(1 << 52))), ["context"], width, closed=True)
     cores = near.filter("removed_ms IS NULL OR removed_ms > first").groupBy(*keys).agg(F.sum("cores").alias("cores"))
@@ -116,10 +117,10 @@ def query_rules(queries: DataFrame, now: DataFrame, runs: int = 5, took_ms: int
     return [again.select(*_row("lookup read again", None, F.when(F.col("took") >= high_ms, MEDIUM).otherwise(INFO), F.col("runs"), subject=F.col("t"))), engine.select(*_row("vectorised engine not used", ENGINE, INFO, F.col("large")))]
 
 
-def runs_at_once(runs: DataFrame) -> DataFrame:
+def runs_at_once(runs: DataFrame, width: int = 86_400_000) -> DataFrame:
     """context, at_once: the runs' summed time over the time with at least one of them, at least 1."""
-    spans = runs.filter("start_ms IS NOT NULL").withColumn("__end", F.coalesce("end_ms", "start_ms"))
-    busy = I.merge_intervals(spans, ["context"], "start_ms", "__end").groupBy("context").agg(F.sum(F.col("__end") - F.col("start_ms")).alias("busy"))
+    spans = runs.filter("start_ms IS NOT NULL").select("context", "start_ms", F.coalesce("end_ms", "start_ms").alias("__end"))
+    busy = I.merge_intervals(spans, ["context"], "start_ms", "__end", width=width).groupBy("context").agg(F.sum(F.col("__end") - F.col("start_ms")).alias("busy"))
     took = spans.groupBy("context").agg(F.sum(F.col("__end") - F.col("start_ms")).alias("took"))
     return took.join(busy, "context").select("context", F.coalesce(F.greatest(F.lit(1.0), F.col("took") / F.nullif("busy", F.lit(0))), F.lit(1.0)).alias("at_once"))
 
