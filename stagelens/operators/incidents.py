@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components, follow_paths, written
 from .intervals import overlap_join
-from .joins import asof_join
+from .joins import asof_each, asof_join
 from .windows import numbered
 
 # fixed values: kinds of problems with their label and level (causes have lower levels), what category is which kind, what may cause what and why
@@ -275,50 +275,64 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
 
     retry_categories: context, stage_id, stage_attempt, category (why first attempts failed): where all say source_db, only that causes retries.
     """
-    spark = problems.sparkSession
-    rules = spark.createDataFrame([(c, e, KINDS[c][1]) for e, cs in CAUSES.items() for c in cs if KINDS[c][1] < KINDS[e][1]], "cause_kind string, effect_kind string, __level int")
-    p = problems.select("problem", "kind", "ts", "until")
-    rows = about.join(p, "problem")
-    causes = rows.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), "type", "key", F.col("inferred").alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__began"), "until")
-    effects = rows.select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), "type", "key", F.col("inferred").alias("__ei"), "ts")
+    # kinds are a fixed list; what no problem is cannot be a cause
+    present = {r[0] for r in problems.select("kind").distinct().collect()}
+    rules = [(c, e) for e, cs in CAUSES.items() for c in cs if KINDS[c][1] < KINDS[e][1] and {c, e} <= present]
+    flags = about.groupBy("problem").agg(F.bool_or(F.col("type") == "fetch_host").alias("__hosts"), F.bool_or(F.col("type") == "text").alias("__framed"))
+    p = problems.select("problem", "kind", "ts", "until").join(flags, "problem", "left").withColumn("__flat", F.lit(False))
+    if ("skew", "gc") in rules:
+        slowest = tasks.groupBy(key_of("context", "stage_id", "stage_attempt").alias("key")).agg(F.max_by(key_of("context", "executor_id"), F.struct(F.coalesce("finish_ms", "launch_ms") - F.col("launch_ms"), "executor_id")).alias("__e"))
+        stuck = about.filter("type = 'executor'").join(problems.filter("kind = 'gc'").select("problem"), "problem", "left_semi").select(F.col("key").alias("__e")).distinct()
+        not_skewed = about.filter("type = 'stage'").join(slowest, "key").join(stuck, "__e", "left_semi").join(problems.filter("kind = 'skew'").select("problem"), "problem", "left_semi").select("problem").distinct()
+        p = p.drop("__flat").join(not_skewed.withColumn("__flat", F.lit(True)), "problem", "left")
+    p = written(p)
+    rows = written(about.join(p, "problem"))
+    of_cause = ["until", "__flat", "__framed"]
+    causes = rows.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), "type", "key", F.col("inferred").alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__began"), *of_cause)
+    effects = rows.select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), "type", "key", F.col("inferred").alias("__ei"), "ts", "__hosts")
+    # what nothing may cause does not ask
+    causes, effects = causes.filter(F.col("cause_kind").isin(*{c for c, _ in rules})), effects.filter(F.col("effect_kind").isin(*{e for _, e in rules}))
     # stages stand for the executors that ran them; fetch hosts for hosts; calls for the stages of that name
     ran = tasks.filter("executor_id IS NOT NULL").select(key_of("context", "stage_id", "stage_attempt").alias("key"), key_of("context", "executor_id").alias("__e")).distinct()
     asks = [(effects.filter("type = 'stage'"), "stage"), (effects.filter("type = 'executor'"), "executor"), (effects.filter("type = 'run' AND effect_kind IN ('spill', 'gc', 'oom', 'killed')"), "run")]
-    asks.append((effects.filter("type = 'stage'").join(ran, "key").select("effect", "effect_kind", F.lit("ran_on").alias("type"), F.col("__e").alias("key"), F.lit(False).alias("__ei"), "ts").distinct(), "ran_on"))
+    asks.append((effects.filter("type = 'stage'").join(ran, "key").select("effect", "effect_kind", F.lit("ran_on").alias("type"), F.col("__e").alias("key"), F.lit(False).alias("__ei"), "ts", "__hosts").distinct(), "ran_on"))
     asks.append((effects.filter("type = 'fetch_host'").withColumn("type", F.lit("host")), "host"))
     asks.append((effects.filter("type = 'call' AND effect_kind = 'reported'"), "call"))
     gives = {t: causes.filter(F.col("type") == t) for t in ("stage", "executor", "host", "run")}
     gives["ran_on"] = gives["executor"].filter("cause_kind IN ('oom', 'killed', 'lost', 'disk_full')").withColumn("type", F.lit("ran_on"))
     words = stages.select(key_of("context", "stage_id", "stage_attempt").alias("key"), F.explode(F.split(F.lower("stage_name"), r"\W+")).alias("__w")).distinct()
-    gives["call"] = gives["stage"].filter("cause_kind IN ('query_failed', 'job_aborted')").join(words, "key").select("cause", "cause_kind", F.lit("call").alias("type"), F.col("__w").alias("key"), "__ci", "__began", "until").distinct()
+    gives["call"] = gives["stage"].filter("cause_kind IN ('query_failed', 'job_aborted')").join(words, "key").select("cause", "cause_kind", F.lit("call").alias("type"), F.col("__w").alias("key"), "__ci", "__began", *of_cause).distinct()
     gives["run"] = gives["run"].filter("cause_kind = 'cache'")
     near_query = p.filter("kind IN ('driver_error', 'other_error', 'task_error') AND ts IS NOT NULL")
-    gives["time"] = near_query.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.col("ts").alias("__began"), "until")
-    asks.append((p.filter("kind = 'query_failed' AND ts IS NOT NULL").select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ei"), "ts"), "time"))
-    gives["weak"] = p.filter("kind IN ('query_failed', 'job_aborted')").select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__began"), "until")
-    asks.append((p.filter("kind = 'reported'").select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ei"), "ts"), "weak"))
+    gives["time"] = near_query.select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.col("ts").alias("__began"), *of_cause)
+    asks.append((p.filter("kind = 'query_failed' AND ts IS NOT NULL").select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), F.lit("time").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ei"), "ts", "__hosts"), "time"))
+    gives["weak"] = p.filter("kind IN ('query_failed', 'job_aborted')").select(F.col("problem").alias("cause"), F.col("kind").alias("cause_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ci"), F.coalesce("ts", F.lit(-(1 << 62))).alias("__began"), *of_cause)
+    asks.append((p.filter("kind = 'reported'").select(F.col("problem").alias("effect"), F.col("kind").alias("effect_kind"), F.lit("weak").alias("type"), F.lit("").alias("key"), F.lit(False).alias("__ei"), "ts", "__hosts"), "weak"))
 
     only_db = None
     if retry_categories is not None:
         why = retry_categories.select(key_of("context", "stage_id", "stage_attempt").alias("key"), "category")
         only_db = effects.filter("type = 'stage'").join(why, "key").groupBy("effect").agg((F.bool_and(F.col("category") == "source_db")).alias("__db")).filter("__db").select("effect")
-    slowest = tasks.groupBy(key_of("context", "stage_id", "stage_attempt").alias("key")).agg(F.max_by(key_of("context", "executor_id"), F.struct(F.coalesce("finish_ms", "launch_ms") - F.col("launch_ms"), "executor_id")).alias("__e"))
-    stuck = about.filter("type = 'executor'").join(problems.filter("kind = 'gc'").select("problem"), "problem", "left_semi").select(F.col("key").alias("__e")).distinct()
-    not_skewed = about.filter("type = 'stage'").join(slowest, "key").join(stuck, "__e", "left_semi").join(problems.filter("kind = 'skew'").select("problem"), "problem", "left_semi").select(F.col("problem").alias("cause")).distinct()
-
     both, given = None, None
     for rows_of, kind in asks:
-        both = rows_of.select("effect", "effect_kind", "type", "key", "__ei", "ts") if both is None else both.unionByName(rows_of.select("effect", "effect_kind", "type", "key", "__ei", "ts"))
+        rows_of = rows_of.select("effect", "effect_kind", "type", "key", "__ei", "ts", "__hosts")
+        both = rows_of if both is None else both.unionByName(rows_of)
         given = gives[kind] if given is None else given.unionByName(gives[kind])
-    probes = both.join(rules, "effect_kind").withColumn("__by", F.coalesce(F.col("ts") + LATE_MS, F.lit((1 << 62))))
+    probes = both.withColumn("__by", F.coalesce(F.col("ts") + LATE_MS, F.lit((1 << 62))))
     # a cause that is named for the row, and one that is inferred, are looked up apart: they score differently
-    probes = probes.withColumn("__ci", F.explode(F.array(F.lit(False), F.lit(True)))).filter((F.col("type") == "stage") | ~F.col("__ci"))
-    given = given.withColumn("__ci", F.when(F.col("type") == "stage", F.col("__ci")).otherwise(False))
-    found = asof_join(probes, given, ["type", "key", "cause_kind", "__ci"], "__by", "__began", ["cause", "until", "__began"], width=width).filter("cause IS NOT NULL")
-    executors_of = about.filter("type = 'executor'").groupBy("problem").agg(F.collect_set("key").alias("__es"))
-    found = found.join(executors_of.select(F.col("problem").alias("effect"), F.col("__es").alias("__ee")), "effect", "left").join(executors_of.select(F.col("problem").alias("cause"), F.col("__es").alias("__ce")), "cause", "left")
-    hosts = about.filter("type = 'fetch_host'").select(F.col("problem").alias("effect")).distinct().withColumn("__hosts", F.lit(True))
-    found = found.join(hosts, "effect", "left").join(not_skewed.withColumn("__flat", F.lit(True)), "cause", "left")
+    given = given.withColumn("__ci", F.when(F.col("type") == "stage", F.coalesce("__ci", F.lit(False))).otherwise(False))
+    marks = {f"__{k}_{int(ci)}": (F.col("cause_kind") == k) & (F.col("__ci") == ci) for k in sorted({c for c, _ in rules}) for ci in (False, True)}
+    if not marks:
+        return problems.limit(0).select(F.col("problem").alias("effect"), F.col("problem").alias("cause"), F.lit(0).alias("score"), F.lit("").alias("because"))
+    found = asof_each(probes, given, ["type", "key"], "__by", "__began", ["cause", "until", "__began", "cause_kind", "__ci", "__flat", "__framed"], marks, width)
+    may = F.concat("effect_kind", F.lit("<"), F.col("__c.cause_kind")).isin(*[f"{e}<{c}" for c, e in rules])
+    found = found.select("effect", "effect_kind", "type", "__ei", "ts", "__hosts", F.explode("found").alias("__c")).filter(may).select("effect", "effect_kind", "type", "__ei", "ts", "__hosts", "__c.*")
+    found = found.withColumn("__level", F.element_at(_map({k: v[1] for k, v in KINDS.items()}), F.col("cause_kind")))
+    if "gc" in present:
+        executors_of = about.filter("type = 'executor'").join(problems.filter("kind IN ('gc', 'oom', 'killed')"), "problem", "left_semi").groupBy("problem").agg(F.collect_set("key").alias("__es"))
+        found = found.join(executors_of.select(F.col("problem").alias("effect"), F.col("__es").alias("__ee")), "effect", "left").join(executors_of.select(F.col("problem").alias("cause"), F.col("__es").alias("__ce")), "cause", "left")
+    else:
+        found = found.withColumns({c: F.lit(None).cast("array<string>") for c in ("__ee", "__ce")})
     near = F.col("until").isNull() | F.col("ts").isNull() | (F.col("ts") - F.col("until") <= LINK_MS)
     score = (
         F.when((F.col("cause_kind") == "cache") & (F.col("type") != "run"), 0).when(F.col("type") == "run", 2)
@@ -331,8 +345,6 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
     found = found.withColumn("score", score).filter("score > 0 AND cause <> effect")
     if only_db is not None:
         found = found.join(only_db.withColumn("__only", F.lit(True)), "effect", "left").filter("__only IS NULL OR cause_kind = 'source_db' OR effect_kind NOT IN ('retries', 'stage_failed')").drop("__only")
-    framed = about.filter("type = 'text'").select(F.col("problem").alias("cause")).distinct().withColumn("__framed", F.lit(True))
-    found = found.join(framed, "cause", "left")
     rank = F.struct("score", "__level", (F.col("cause_kind") == "task_error") & F.coalesce("__framed", F.lit(False)), "__began", "cause")
     best = found.groupBy("effect").agg(F.max_by(F.struct("cause", "score", "cause_kind", "effect_kind", "type"), rank).alias("b")).select("effect", "b.*")
     why = F.try_element_at(_map({f"{a}>{b}": t for (a, b), t in BECAUSE.items()}), F.concat("cause_kind", F.lit(">"), "effect_kind"))

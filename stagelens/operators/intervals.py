@@ -117,7 +117,9 @@ def dyadic_cells(start: Column, end: Column, unit: int) -> Column:
         right = F.when((lo(k) < hi(k)) & (hi(k) % 2 != 0), cell(k, hi(k) - 1))
         return F.array_compact(F.array(left, right))
 
-    return F.when(end >= start, F.flatten(F.transform(levels, of)))
+    # most intervals touch one unit or two: what the levels give for them, without going through them
+    near = F.when(behind - first == 1, F.array(cell(F.lit(0), first))).when((behind - first == 2) & (first % 2 == 0), F.array(cell(F.lit(1), F.floor(first / 2)))).when(behind - first == 2, F.array(cell(F.lit(0), first), cell(F.lit(0), first + 1)))
+    return F.when(end >= start, F.coalesce(near, F.flatten(F.transform(levels, of))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, closed: bool = False) -> DataFrame:
@@ -133,8 +135,10 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
 
     def found(spans: DataFrame, points: DataFrame, s: str, e: str, at: str) -> DataFrame:
         cells = spans.withColumn("__c", F.explode(dyadic_cells(F.col(s), F.col(e), width))).withColumns({"__level": F.col("__c.level"), "__place": F.col("__c.place")}).drop("__c")
-        levels = F.broadcast(cells.agg(F.collect_set("__level").alias("__levels")))  # one row of some 60 numbers at most
-        asks = points.join(levels).withColumn("__level", F.explode("__levels")).drop("__levels")
+        # one number: the level of the longest interval's cells at most (its units, a power of two)
+        units = F.floor(F.col(e) / width) - F.floor(F.col(s) / width) + 1
+        top = F.broadcast(spans.filter(F.col(e) >= F.col(s)).agg(F.floor(F.log2(F.max(units))).cast("int").alias("__top")))
+        asks = points.join(top).withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__top")))).drop("__top")
         asks = asks.withColumn("__place", F.floor(F.floor(F.col(at) / width) / F.pow(F.lit(2.0), "__level")).cast("long"))
         return cells.join(asks, [*keys, "__level", "__place"]).drop("__level", "__place").filter(meets)
 

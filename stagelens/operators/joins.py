@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join
+from .graph import written
+from .intervals import by_keys, overlap_join
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, take: Sequence[str], forward: bool = False, strict: bool = False, width: int | None = None) -> DataFrame:
@@ -41,6 +42,25 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return found.select("__row.*", *[F.col(f"__found.{c}").alias(f"asof_{c}" if c in left.columns else c) for c in take])
 
 
+def asof_each(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, take: Sequence[str], marks: dict[str, Column], width: int) -> DataFrame:
+    """left with `found`: an array of the columns `take` of the last right row at or before left_time of each mark (name -> condition on right) that has one.
+
+    asof_join for several sorts of right rows at once: a left row is sorted once, not once a sort. Ties and buckets are as there. Both sides are written once.
+    """
+    row = F.struct(*[c for c in left.columns if c not in keys])
+    carry = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take]
+    stacked = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), row.alias("__row"), *carry, *[F.lit(False).alias(m) for m in marks])
+    other = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(stacked.schema["__row"].dataType).alias("__row"), *take, *[F.coalesce(on, F.lit(False)).alias(m) for m, on in marks.items()])
+    both, parts = written(stacked.unionByName(other).withColumn("__b", F.floor(F.col("__t") / width))), [*keys, "__b"]
+    w = Window.partitionBy(*parts).orderBy("__t", "__side", *take).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select(*parts, "__row", *[F.last(F.when(F.col(m), F.struct(*take)), ignorenulls=True).over(w).alias(m) for m in marks]).filter("__row IS NOT NULL")
+    edges = both.groupBy(*parts).agg(*[F.max(F.when(F.col(m), F.struct("__t", *take))).alias(m) for m in marks])
+    over = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = edges.select(*parts, *[F.last(m, ignorenulls=True).over(over).alias(f"__edge_{m}") for m in marks])
+    last = [F.coalesce(F.col(m), F.when(F.col(f"__edge_{m}").isNotNull(), F.struct(*[F.col(f"__edge_{m}.{c}").alias(c) for c in take]))) for m in marks]
+    return by_keys(found, before, parts, "left").select(*keys, "__row.*", F.array_compact(F.array(*last)).alias("found"))
+
+
 def running_at(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, failed: str, slack: int, width: int) -> DataFrame:
     """Pairs of a point and the spans of its keys that run within slack of it: only the failed ones where any has failed. The point has its columns, the span, all but the keys."""
     left = points.withColumn("l_start", F.col(at) - slack).withColumn("l_end", F.col(at) + slack).withColumn("__point", F.struct(*points.columns))
