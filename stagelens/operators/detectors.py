@@ -17,6 +17,7 @@ from . import intervals as I
 from . import joins as J
 from . import windows as W
 from .findings import GB, HIGH, LOW, MEDIUM
+from .graph import written
 
 # fixed values: exception classes that fail work, and texts that healthy clusters log too
 EXCEPTION_HIGH = r"OutOfMemoryError|SparkException|Py4JJavaError|PythonException"
@@ -93,13 +94,14 @@ def core_hogs(stages: DataFrame, executors: DataFrame, runs: DataFrame, held_ms:
 def cluster_sweep(queued: DataFrame, busy: DataFrame, cores: DataFrame, keys: Sequence[str], start: str, end: str, weight: Column, width: int | None = None) -> DataFrame:
     """keys, t, until, queued, busy, cores: one sweep over three sets of intervals (the last weighted), in segments without a change. width: in two levels, for keys with too many rows for one task."""
     zero = F.lit(0)
-    parts = [I.changes(df, keys, start, end, {c: (w if c == name else zero) for c in ("queued", "busy", "cores")}) for name, df, w in (("queued", queued, F.lit(1)), ("busy", busy, F.lit(1)), ("cores", cores, weight))]
+    parts = [I.change_rows(df, keys, start, end, {c: (w if c == name else zero) for c in ("queued", "busy", "cores")}) for name, df, w in (("queued", queued, F.lit(1)), ("busy", busy, F.lit(1)), ("cores", cores, weight))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in ("queued", "busy", "cores")])
-    return I.segments(I.running_sums(rows, keys, "t", ["queued", "busy", "cores"], width), keys, "t", width)
+    return I.level_segments(rows, keys, "t", ["queued", "busy", "cores"], width)
 
 
 def queue_episodes(sweep: DataFrame, keys: Sequence[str], gap: int = 2_000, at_least: int = 30_000, width: int | None = None) -> DataFrame:
     """keys, start, end, n, short: stretches with tasks queued on a full cluster below the most cores it had (gaps under 2 s closed), and the core time it was short of."""
+    sweep = written(sweep)
     most = sweep.groupBy(*keys).agg(F.max("cores").alias("most"))
     full = sweep.join(most, list(keys)).filter((F.col("queued") > 0) & (F.col("busy") >= F.col("cores")) & (F.col("cores") < F.col("most")))
     full = full.select(*keys, F.col("t").alias("start"), F.col("until").alias("end"), (F.least("queued", F.col("most") - F.col("cores")) * (F.col("until") - F.col("t"))).alias("short"))

@@ -58,10 +58,15 @@ def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str, width
 
 def changes(df: DataFrame, keys: Sequence[str], start: str, end: str, values: dict[str, Column]) -> DataFrame:
     """keys, t and, for each value, its sum of starts minus ends at t. Intervals without length change nothing."""
+    return change_rows(df, keys, start, end, values).groupBy(*keys, "t").agg(*[F.sum(k).alias(k) for k in values])
+
+
+def change_rows(df: DataFrame, keys: Sequence[str], start: str, end: str, values: dict[str, Column]) -> DataFrame:
+    """changes before they are summed: each interval's two rows."""
     own = df.filter(F.col(end) > F.col(start)).select(*keys, start, end, *[v.alias(k) for k, v in values.items()])
     ends = F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("s")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("s")))
     rows = own.select(*keys, *values, F.explode(ends).alias("__e"))
-    return rows.groupBy(*keys, F.col("__e.t").alias("t")).agg(*[F.sum(F.col(k) * F.col("__e.s")).alias(k) for k in values])
+    return rows.select(*keys, F.col("__e.t").alias("t"), *[(F.col(k) * F.col("__e.s")).alias(k) for k in values])
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], t: str, columns: Sequence[str], width: int | None = None) -> DataFrame:
@@ -91,6 +96,20 @@ def segments(levels: DataFrame, keys: Sequence[str], t: str, width: int | None =
     return by_keys(b, firsts, [*keys, "__b"]).withColumn("until", F.coalesce(inside, "__next")).drop("__b", "__next").filter("until IS NOT NULL")
 
 
+def level_segments(df: DataFrame, keys: Sequence[str], t: str, columns: Sequence[str], width: int | None = None) -> DataFrame:
+    """segments of running_sums of df. width: both in one pass, so that a bucket is written and sorted once."""
+    if width is None:
+        return segments(running_sums(df, keys, t, columns), keys, t)
+    df = written(df.withColumn("__b", F.floor(F.col(t) / width)))
+    heads = df.groupBy(*keys, "__b").agg(F.min(t).alias("__first"), *[F.sum(c).alias(f"__sum_{c}") for c in columns])
+    over = Window.partitionBy(*keys).orderBy("__b")
+    heads = heads.select(*keys, "__b", F.lead("__first").over(over).alias("__next"), *[F.coalesce(F.sum(f"__sum_{c}").over(over.rowsBetween(*ALL_BEFORE)), F.lit(0)).alias(f"__sum_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "__b").orderBy(t)
+    summed = {c: F.sum(c).over(inside.rowsBetween(*TO_HERE)) + F.col(f"__sum_{c}") for c in columns}
+    out = by_keys(df, heads, [*keys, "__b"]).withColumns(summed | {"until": F.coalesce(F.lead(t).over(inside), "__next")})
+    return out.drop("__b", "__next", *[f"__sum_{c}" for c in columns]).filter("until IS NOT NULL")
+
+
 def subtract_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, width: int | None = None) -> DataFrame:
     """keys, start, end: the parts of a's union that no interval of b covers. width: in two levels, for keys with too many rows for one task."""
     one, none = F.lit(1), F.lit(0)
