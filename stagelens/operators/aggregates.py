@@ -192,9 +192,10 @@ def top_executors_text(df: DataFrame, keys: Sequence[str], who: str, value: str,
     return ranked.groupBy(*keys).agg(F.min_by(who, "__r").alias("top"), text.alias("shares"))
 
 
-def slowness(tasks: DataFrame, stage: Sequence[str], executor: str, ms: str) -> DataFrame:
-    """executor, slowness: the median over stages of (its median there / the stage's median), interpolated."""
-    per_stage = tasks.groupBy(*stage).agg(F.median(ms).alias("__stage"))
+def slowness(tasks: DataFrame, stage: Sequence[str], executor: str, ms: str, per_stage: DataFrame | None = None) -> DataFrame:
+    """executor, slowness: the median over stages of (its median there / the stage's median), interpolated. per_stage: the stages' medians as __stage, where they are known."""
+    if per_stage is None:
+        per_stage = tasks.groupBy(*stage).agg(F.median(ms).alias("__stage"))
     per = tasks.groupBy(*stage, executor).agg(F.median(ms).alias("__own")).join(per_stage, list(stage)).filter("__stage > 0")
     return per.groupBy(executor).agg(F.median(F.col("__own") / F.col("__stage")).alias("slowness"))
 

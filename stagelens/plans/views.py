@@ -10,6 +10,7 @@ from stagelens.operators import aggregates as A
 from stagelens.operators import intervals as I
 from stagelens.operators import joins as J
 from stagelens.operators import windows as W
+from stagelens.operators.graph import written
 
 STAGE = ["context", "stage_id", "stage_attempt"]
 
@@ -87,8 +88,10 @@ def skewed_tasks(tasks: DataFrame, stages: DataFrame, ratio: float = 10.0, floor
     """
     s = stages.select(*STAGE, "p50_task_ms", "p50_read_bytes")
     read = F.coalesce("input_bytes", F.lit(0)) + F.coalesce("shuffle_read", F.lit(0))
-    rows = tasks.groupBy(*STAGE).agg(A.quantile("input_records", 0.5, where=~F.col("failed")).alias("__rows"), (F.max(read) == 0).alias("__rows_only"))
-    slow = _slowness(tasks)
+    rows = tasks.groupBy(*STAGE).agg(A.quantile("input_records", 0.5, where=~F.col("failed")).alias("__rows"), (F.max(read) == 0).alias("__rows_only"), F.median("task_ms").alias("__stage"))
+    rows = written(rows)  # one row a stage, for its own tasks and for the executors' slowness
+    slow = _slowness(tasks, rows.select(*STAGE, "__stage"))
+    rows = rows.drop("__stage")
     t = tasks.join(s, STAGE).filter((F.col("task_ms") >= ratio * F.greatest("p50_task_ms", F.lit(1))) & (F.col("task_ms") >= floor_ms))
     t = W.top_n(t, STAGE, [F.desc("task_ms"), F.col("task_id"), F.col("input_bytes"), F.col("executor_id"), F.col("gc_ms")], n)
     t = t.join(rows, STAGE).join(slow, ["context", "executor_id"], "left")
@@ -106,10 +109,10 @@ def skewed_tasks(tasks: DataFrame, stages: DataFrame, ratio: float = 10.0, floor
     return t.withColumn("cause", cause).drop("__rows", "__rows_only", "__stuck", "slowness")
 
 
-def _slowness(tasks: DataFrame) -> DataFrame:
+def _slowness(tasks: DataFrame, per_stage: DataFrame | None = None) -> DataFrame:
     """context, executor_id, slowness (A39), within each context."""
     per = tasks.withColumn("__e", F.struct("context", "executor_id"))
-    return A.slowness(per, STAGE, "__e", "task_ms").select("__e.context", "__e.executor_id", "slowness")
+    return A.slowness(per, STAGE, "__e", "task_ms", per_stage).select("__e.context", "__e.executor_id", "slowness")
 
 
 def peak_buckets(tasks: DataFrame, measure: str, width: int = 60_000, n: int = 3) -> DataFrame:
