@@ -2,51 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from stagelens.operators.graph import counted
+#: Depth of the plans that tests build their deepest from, and nodes that a task sends on at once.
+LEVELS, AT_ONCE = 12, 20_000
 
 
-#: Levels that one pass over a plan takes apart; deeper plans take more passes, of what is left only.
-LEVELS = 12
+def _no_number(text: str) -> float:
+    raise ValueError(text)
+
+
+_read, _write = json.JSONDecoder(parse_constant=_no_number).decode, json.JSONEncoder(separators=(",", ":"), ensure_ascii=False, sort_keys=True, check_circular=False).encode
+
+
+def _said(x: object) -> str | None:
+    """A string as it is (half a surrogate pair is no text), null as null, anything else as JSON."""
+    x = x if isinstance(x, str) or x is None else _write(x)
+    return x if x is None or x.isascii() else x.encode("utf-8", "replace").decode()
+
+
+def _nodes(text: str | None) -> Iterator[tuple[int | None, str | None, str | None, str | None]]:
+    """parent's number, name, detail, metrics (JSON) of a plan's nodes in pre-order; none if it is not JSON."""
+    try:
+        left = [] if text is None else [(None, _read(text))]
+    except (ValueError, RecursionError):
+        return
+    n = 0
+    while left:
+        up, x = left.pop()
+        x = x if isinstance(x, dict) else {}
+        metrics = x.get("metrics")
+        yield up, _said(x.get("nodeName")), _said(x.get("simpleString")), "[]" if metrics == [] else _said(_write(metrics)) if "metrics" in x else None
+        if isinstance(below := x.get("children"), list):
+            left += [(n, c) for c in reversed(below)]
+        n += 1
 
 
 def plan_nodes(plans: DataFrame, keys: Sequence[str], plan: str) -> DataFrame:
     """keys, node_id (in pre-order, from 0), parent_id, name, detail, metrics (JSON) of plans given as JSON trees of nodeName, simpleString, metrics, children.
 
-    A plan is parsed once, to VARIANT, and taken apart inside its row: each level's children are an array of the next, with their paths (places among siblings).
-    Pre-order is the order of paths. Plans deeper than LEVELS go on in further passes, as deep as they are. keys tell plans apart.
+    A plan is parsed once and taken apart inside its row, as deep as it goes; rows stay where they are. keys tell plans apart.
     """
-    node = "struct<path: array<int>, node: variant>"
-    got = lambda x, f: F.try_variant_get(x, f"$.{f}", "string")
-
-    def children(level: Column) -> Column:
-        return F.flatten(F.transform(level, lambda n: F.transform(F.coalesce(F.try_variant_get(n["node"], "$.children", "array<variant>"), F.array().cast("array<variant>")), lambda c, i: F.struct(F.array_append(n["path"], i).alias("path"), c.alias("node")))))
-
-    def parsed(level: Column) -> Column:
-        return F.transform(level, lambda n: F.struct(n["path"].alias("path"), got(n["node"], "nodeName").alias("name"), got(n["node"], "simpleString").alias("detail"), F.to_json(F.try_variant_get(n["node"], "$.metrics", "variant")).alias("metrics")))
-
-    def apart(rows: DataFrame) -> DataFrame:
-        for k in range(LEVELS):
-            rows = rows.withColumn(f"__l{k + 1}", children(F.col(f"__l{k}")))
-        return rows.select(*keys, F.concat(*[parsed(F.col(f"__l{k}")) for k in range(LEVELS)]).alias("__nodes"), F.col(f"__l{LEVELS}").alias("__rest"))
-
-    first = plans.select(*keys, F.try_parse_json(plan).alias("__v")).filter("__v IS NOT NULL")
-    found, deeper = counted(apart(first.select(*keys, F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("__v").alias("node"))).cast(f"array<{node}>").alias("__l0"))), F.coalesce(F.sum(F.size("__rest")), F.lit(0)))
-    nodes, rest = found.select(*keys, "__nodes"), found
-    while deeper:
-        rest, deeper = counted(apart(rest.filter(F.size("__rest") > 0).select(*keys, F.col("__rest").alias("__l0"))), F.coalesce(F.sum(F.size("__rest")), F.lit(0)))
-        nodes = nodes.unionByName(rest.select(*keys, "__nodes"))
-    if rest is not found:
-        nodes = nodes.groupBy(*keys).agg(F.flatten(F.collect_list("__nodes")).alias("__nodes"))
-    nodes = nodes.withColumn("__nodes", F.array_sort("__nodes")).withColumn("__at", F.map_from_arrays(F.transform("__nodes", lambda n: F.array_join(n["path"], ".")), F.transform("__nodes", lambda _, i: i)))
-    each = nodes.select(*keys, "__at", F.posexplode("__nodes").alias("node_id", "__n"))
-    up = F.array_join(F.slice(F.col("__n.path"), 1, F.greatest(F.size("__n.path") - 1, F.lit(0))), ".")
-    parent = F.when(F.size("__n.path") > 0, F.try_element_at("__at", up))
-    return each.select(*keys, "node_id", parent.alias("parent_id"), F.col("__n.name").alias("name"), F.col("__n.detail").alias("detail"), F.col("__n.metrics").alias("metrics"))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, number, nodes = [], [], []
+
+            def rows() -> pa.RecordBatch:
+                columns = zip(*nodes, strict=True) if nodes else [()] * 4
+                up, *texts = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.string()] * 3), strict=True)]
+                out = [*(b.column(k).take(pa.array(row, pa.int64())) for k in range(len(keys))), pa.array(number, pa.int32()), up, *texts]  # noqa: B023
+                return pa.RecordBatch.from_arrays(out, [*keys, "node_id", "parent_id", "name", "detail", "metrics"])
+
+            for r, text in enumerate(b.column(len(keys)).to_pylist()):
+                for i, node in enumerate(_nodes(text)):
+                    row.append(r)
+                    number.append(i)
+                    nodes.append(node)
+                    if len(row) == AT_ONCE:
+                        yield rows()
+                        row, number, nodes = [], [], []
+            yield rows()
+
+    given = plans.select(*keys, F.col(plan).alias("__plan"))
+    return given.mapInArrow(apart, StructType([*given.schema.fields[:-1], *(StructField(c, IntegerType()) for c in ("node_id", "parent_id")), *(StructField(c, StringType()) for c in ("name", "detail", "metrics"))]))
 
 
 def node_metrics(nodes: DataFrame, keys: Sequence[str], totals: DataFrame, driver: DataFrame) -> DataFrame:
@@ -54,12 +79,10 @@ def node_metrics(nodes: DataFrame, keys: Sequence[str], totals: DataFrame, drive
 
     nodes: metrics as JSON of (name, accumulatorId, metricType); totals and driver: context, accumulator, total.
     """
-    each = nodes.select(*keys, "node_id", F.explode(F.from_json("metrics", "array<struct<name: string, accumulatorId: long, metricType: string>>")).alias("m"))
+    each = nodes.filter("metrics <> '[]'").select(*keys, "node_id", F.explode(F.from_json("metrics", "array<struct<name: string, accumulatorId: long, metricType: string>>")).alias("m"))
     each = each.select(*keys, "node_id", F.col("m.name").alias("metric"), F.col("m.accumulatorId").alias("accumulator"), F.col("m.metricType").alias("type"))
-    per = lambda df, name: df.groupBy("context", "accumulator").agg(F.sum("total").alias(name))
-    out = each.join(per(totals, "__t"), ["context", "accumulator"], "left").join(per(driver, "__d"), ["context", "accumulator"], "left")
-    value = F.when(F.col("__t").isNull() & F.col("__d").isNull(), None).otherwise(F.coalesce("__t", F.lit(0)) + F.coalesce("__d", F.lit(0)))
-    return out.select(*keys, "node_id", "metric", "type", value.alias("value"))
+    added = totals.select("context", "accumulator", "total").unionByName(driver.select("context", "accumulator", "total")).groupBy("context", "accumulator").agg(F.sum("total").alias("value"))
+    return each.join(added, ["context", "accumulator"], "left").select(*keys, "node_id", "metric", "type", "value")
 
 
 # fixed values: sizes of an operator, the first that it has counts

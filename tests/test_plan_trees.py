@@ -92,3 +92,17 @@ def test_arguments(spark):
     cases = {"a, f(b, c), [d, e]": ["a", "f(b, c)", "[d, e]"], "a#1, g(h(x, y), z)) AS w, q": ["a#1", "g(h(x, y), z)"], "": [], "one": ["one"]}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", plan_text.arguments(F.col("t")).alias("p")).collect()
     assert {r["t"]: r["p"] for r in got} == cases
+
+
+def test_plans_take_one_pass_and_metrics_one_join(spark):
+    """Plans are neither written nor read again (they were), totals of tasks and driver are joined at once (two joins before); odd plans leave the others alone."""
+    metrics = [{"name": f"m{i}", "accumulatorId": i, "metricType": "sum"} for i in range(1, 5)]
+    plans = {1: json.dumps(node("a", node("b", metrics=metrics))), 2: '{"nodeName": 5, "simpleString": null, "children": [7, {"nodeName": "é"}]}', 3: '{"nodeName": "cut', 4: '{"nodeName": "x", "children": "none"}'}
+    nodes = tree.plan_nodes(spark.createDataFrame([("c", *p) for p in plans.items()], "context string, k long, plan string"), ["context", "k"], "plan")
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString().lower()
+    assert "parquet" not in shown(nodes)
+    assert sorted((r["k"], r["node_id"], r["parent_id"], r["name"]) for r in nodes.filter("k > 1").collect()) == [(2, 0, None, "5"), (2, 1, 0, None), (2, 2, 0, "é"), (4, 0, None, "x")]
+    added = lambda *rows: spark.createDataFrame([("c", *r) for r in rows], "context string, accumulator long, total long")
+    got = tree.node_metrics(nodes, ["context", "k"], added((1, 5), (1, 6), (3, 1)), added((2, 7), (3, 2)))
+    assert shown(got).split("== initial plan ==")[0].count("leftouter") == 1
+    assert {r["metric"]: r["value"] for r in got.collect()} == {"m1": 11, "m2": 7, "m3": 3, "m4": None}
