@@ -99,7 +99,8 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     uses = counts.withColumn("g", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     uses = uses.withColumn("pass", F.floor(F.col("g") / F.col("blocks")))
     uses = uses.withColumn("b", permuted(F.col("g") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "sid", "pass")))
-    return parts, uses.select("sid", "b", "pass", "shard", "g")
+    # as many rows as blocks are used: Spark takes them for few, as their ranges are, and would send all of them through the driver
+    return parts, uses.select("sid", "b", "pass", "shard", "g").hint("merge")
 
 
 def spread(df: DataFrame) -> int:
@@ -113,7 +114,7 @@ def taken(sized: DataFrame, **params: object) -> DataFrame:
     an empty table gives an empty result. taken is at most cap * size.
     """
     parts, uses = plan(sized, **params)
-    used = uses.groupBy("sid", "b").agg(F.count("*").alias("times"))
+    used = uses.groupBy("sid", "b").agg(F.count("*").alias("times")).hint("merge")
     joined = parts.join(used, ["sid", "b"], "left")
     return joined.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")).drop("row")
 

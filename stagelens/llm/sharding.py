@@ -114,7 +114,8 @@ def uniform_shards(df: DataFrame, n_shards: int, by: list[str], seed: int = 17,
                 goes = np.repeat(np.arange(len(targets), dtype=np.int32), matrix_row(int(p), ends, targets, seed))
                 yield pd.DataFrame({"__p": [np.int32(p)], "__goes": [goes]})
 
-    matrix = spark.range(0, parts, 1, min(parts, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(rows, "__p int, __goes array<int>")
+    # a number for each row of df in all: it goes to the rows, never through the driver
+    matrix = spark.range(0, parts, 1, min(parts, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(rows, "__p int, __goes array<int>").hint("merge")
     local = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), *by), *by)
     sent = dealt.withColumn("__r", F.row_number().over(local)).join(matrix, "__p").withColumn("__t", F.element_at("__goes", F.col("__r"))).drop("__goes", "__r", "__p")
     again = Window.partitionBy("__t").orderBy(F.xxhash64(F.lit(seed + 2), *by), *by)

@@ -4,6 +4,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from stagelens.llm import mixing, sharding
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -58,3 +60,15 @@ def test_benchmark_in_a_shared_id(spark, folder):
     rows = [(i, t, "en", "src0", 1) for i in (None, 7) for t in ("a clean text of no item", "held: " + item, "another clean text")] + [(8, "a third", "en", "src0", 1)]
     kept = corpus_pipeline.remove_benchmark(spark, spark.createDataFrame(rows, docs.schema), folder).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept), key=str) == sorted(((r[0], r[1]) for r in rows if not r[1].startswith("held")), key=str)
+
+
+def test_what_grows_with_the_rows_is_not_sent_to_the_driver(spark, folder):
+    """Uses of blocks and the communication matrix have a row or a number for each row of the input, whatever size Spark expects."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joins = lambda df, key: [x.strip(" +-:") for x in plan(df).splitlines() if "Join [" in x and key in x]
+    for mix in (mixing.mixed_documents(docs), mixing.op7_mixing(spark, folder)):
+        found = joins(mix, ", b#")
+        assert found and all(x.startswith("SortMergeJoin") for x in found)
+    found = joins(sharding.uniform_shards(docs, 8, ["doc_id", "text"]), "__p#")
+    assert found and all(x.startswith("SortMergeJoin") for x in found)
