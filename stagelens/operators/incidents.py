@@ -270,6 +270,18 @@ def problems_of(findings: DataFrame, scopes: DataFrame, members: DataFrame, same
     return top.select("problem", F.col("__k.kind").alias("kind"), F.col("__k.label").alias("label"), F.col("__k.level").alias("level"), "ts", "until", "severity", "lead", "n"), about
 
 
+def ran_on(effects: DataFrame, ran: DataFrame) -> DataFrame:
+    """effect, effect_kind, ts, __hosts, __e: each executor that ran one of an effect's stages, once. ran: key, __es (the sorted executors of a stage).
+
+    Stages that ran on the same executors are one set, and an effect takes a set once: it has many stages, but mostly few sets of them.
+    """
+    ran = written(ran)
+    sets = written(ran.groupBy("__es").agg(F.min("key").alias("__set")))
+    of = ["effect", "effect_kind", "ts", "__hosts"]
+    taken = effects.join(ran.join(sets, "__es").select("key", "__set"), "key").groupBy(*of).agg(F.collect_set("__set").alias("__sets"))
+    return taken.select(*of, F.explode("__sets").alias("__set")).join(sets, "__set").select(*of, F.explode("__es").alias("__e")).distinct()
+
+
 def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages: DataFrame, retry_categories: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
     """effect, cause, score (3 strong, 2 likely, 1 by time alone), because: the best cause of each problem that has one.
 
@@ -294,8 +306,9 @@ def best_links(problems: DataFrame, about: DataFrame, tasks: DataFrame, stages:
     causes, effects = causes.filter(F.col("cause_kind").isin(*{c for c, _ in rules})), effects.filter(F.col("effect_kind").isin(*{e for _, e in rules}))
     # stages stand for the executors that ran them; fetch hosts for hosts; calls for the stages of that name
     ran = tasks.filter("executor_id IS NOT NULL").select(key_of("context", "stage_id", "stage_attempt").alias("key"), key_of("context", "executor_id").alias("__e")).distinct()
+    ran = ran.groupBy("key").agg(F.sort_array(F.collect_list("__e")).alias("__es"))
     asks = [(effects.filter("type = 'stage'"), "stage"), (effects.filter("type = 'executor'"), "executor"), (effects.filter("type = 'run' AND effect_kind IN ('spill', 'gc', 'oom', 'killed')"), "run")]
-    asks.append((effects.filter("type = 'stage'").join(ran, "key").select("effect", "effect_kind", F.lit("ran_on").alias("type"), F.col("__e").alias("key"), F.lit(False).alias("__ei"), "ts", "__hosts").distinct(), "ran_on"))
+    asks.append((ran_on(effects.filter("type = 'stage'"), ran).select("effect", "effect_kind", F.lit("ran_on").alias("type"), F.col("__e").alias("key"), F.lit(False).alias("__ei"), "ts", "__hosts"), "ran_on"))
     asks.append((effects.filter("type = 'fetch_host'").withColumn("type", F.lit("host")), "host"))
     asks.append((effects.filter("type = 'call' AND effect_kind = 'reported'"), "call"))
     gives = {t: causes.filter(F.col("type") == t) for t in ("stage", "executor", "host", "run")}

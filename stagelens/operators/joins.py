@@ -51,7 +51,9 @@ def asof_each(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     carry = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take]
     stacked = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), row.alias("__row"), *carry, *[F.lit(False).alias(m) for m in marks])
     other = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(stacked.schema["__row"].dataType).alias("__row"), *take, *[F.coalesce(on, F.lit(False)).alias(m) for m, on in marks.items()])
-    both, parts = written(stacked.unionByName(other).withColumn("__b", F.floor(F.col("__t") / width))), [*keys, "__b"]
+    # sorts compare a row's first column fast: a number that tells most parts from each other, not a text that many share
+    both, parts = stacked.unionByName(other).withColumn("__b", F.floor(F.col("__t") / width)), ["__h", *keys, "__b"]
+    both = written(both.withColumn("__h", F.xxhash64(*keys, "__b")))
     w = Window.partitionBy(*parts).orderBy("__t", "__side", *take).rowsBetween(Window.unboundedPreceding, 0)
     found = both.select(*parts, "__row", *[F.last(F.when(F.col(m), F.struct(*take)), ignorenulls=True).over(w).alias(m) for m in marks]).filter("__row IS NOT NULL")
     edges = both.groupBy(*parts).agg(*[F.max(F.when(F.col(m), F.struct("__t", *take))).alias(m) for m in marks])
