@@ -175,8 +175,8 @@ def test_errors_are_joined_to_what_ran_once(spark, sf_dir):
     assert "window" not in plan(Q.QUERIES["interval_error_join"](spark, sf_dir))
 
 
-def made(df, kind):
-    """Rows that the plan's nodes of a kind made when df was collected."""
+def made(df, kind, metric="numOutputRows"):
+    """Rows that the plan's nodes of a kind made (or another sum of theirs) when df was collected."""
     out, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
@@ -186,7 +186,7 @@ def made(df, kind):
         elif "QueryStage" in name:
             todo.append(node.plan())
         else:
-            out += node.metrics().apply("numOutputRows").value() if name == kind else 0
+            out += node.metrics().apply(metric).value() if name == kind else 0
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return out
 
@@ -202,3 +202,28 @@ def test_an_effect_meets_an_executor_once_however_many_stages_it_has(spark):
     assert len(found) == len(want) and set(found) == want
     # two sets of executors: an effect's 30 stages are not multiplied by 16
     assert made(out, "Generate") <= 20 * (2 + 16 + 2)
+
+
+def test_points_ask_spans_one_way(spark):
+    rng = random.Random(5)
+    points = [(i, rng.choice("ab"), rng.randrange(2000)) for i in range(80)] + [(90, "a", None), (91, None, 5)]
+    spans = [(i, rng.choice("ab"), t := rng.randrange(2000), t + rng.choice((-3, 0, 7, 40, 900))) for i in range(120)] + [(200, "a", None, 9), (201, "b", 4, None)]
+    p, s = spark.createDataFrame(points, "p long, k string, at long"), spark.createDataFrame(spans, "s long, k string, b long, e long")
+    for before, after in ((0, 0), (5, 5), (0, 60)):
+        want = sorted((i, j) for i, k, t in points for j, g, b, e in spans if k == g and None not in (k, t, b, e) and b - before <= t <= e + after)
+        for width in (1, 16, 5000):
+            assert got(I.point_join(p, s, ["k"], "at", "b", "e", width, before, after).select("p", "s")) == want
+    none = I.point_join(p, s.limit(0), ["k"], "at", "b", "e", 16)
+    assert none.count() == 0
+
+
+def test_errors_meet_spans_that_end_before_they_begin_as_in_sql_and_move_once(spark, tmp_path):
+    """A span of negative length is within the slack of an error; points and spans are not shuffled both ways."""
+    con = duckdb.connect()
+    rows = [(i, i % 3, f"timestamp '2024-01-01' + interval ({i * 700}) millisecond", ("error", "purchase", "click", "view")[i % 4], (-0.01, 0.005, 2.5, 0.0, -0.02)[i % 5]) for i in range(400)]
+    con.execute("create table events as " + " union all ".join(f"select {i}::bigint event_id, {u}::bigint user_id, {t} ts, '{k}' event_type, {v}::double \"value\"" for i, u, t, k, v in rows))
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    df = Q.QUERIES["interval_error_join"](spark, str(tmp_path))
+    assert got(df) == sorted(tuple(r) for r in con.execute(Q.SQL["interval_error_join"]).fetchall())
+    spans = I.point_join(spark.range(100).select(F.col("id").alias("at")), spark.range(100).select(F.col("id").alias("b"), (F.col("id") + 1).alias("e")), [], "at", "b", "e", 1000)
+    assert len(spans.collect()) == 199 and plan(spans).count("union") == 0
