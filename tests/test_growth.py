@@ -227,3 +227,23 @@ def test_errors_meet_spans_that_end_before_they_begin_as_in_sql_and_move_once(sp
     assert got(df) == sorted(tuple(r) for r in con.execute(Q.SQL["interval_error_join"]).fetchall())
     spans = I.point_join(spark.range(100).select(F.col("id").alias("at")), spark.range(100).select(F.col("id").alias("b"), (F.col("id") + 1).alias("e")), [], "at", "b", "e", 1000)
     assert len(spans.collect()) == 199 and plan(spans).count("union") == 0
+
+
+def test_candidate_pairs_of_single_scopes_compare_no_arrays(spark):
+    """Pairs of one, several and no scopes against brute force; where all have one, a row's scopes travel as plain values."""
+    rng = random.Random(9)
+    some = lambda top: rng.choice(([], None, [rng.randrange(top)], [rng.randrange(top)], [rng.randrange(top), None, rng.randrange(top), rng.randrange(top)]))
+    rows = [(i, rng.choice(("a", "b", "c")), rng.randrange(50), some(4), some(6)) for i in range(70)] + [(90, "a", None, [1], [1]), (91, None, 3, [1], [1])]
+    f = spark.createDataFrame(rows, "id long, kind string, at long, x array<long>, y array<long>")
+    rules = spark.createDataFrame([("a", "b", 3), ("a", "b", 2), ("b", "c", 1), ("c", "c", 5)], "cause_kind string, effect_kind string, weight int")
+    weight = {("a", "b"): 3, ("b", "c"): 1, ("c", "c"): 5}
+    real = lambda s: {v for v in s or [] if v is not None}
+    want = []
+    for i, k, t, x, y in rows:
+        for j, m, u, z, w in rows:
+            shared = len(real(x) & real(z)) + len(real(y) & real(w))
+            if i != j and (k, m) in weight and shared and None not in (t, u) and t <= u + 10:
+                want.append((i, j, weight[k, m] + shared))
+    assert got(G.candidate_pairs(f, "id", ["x", "y"], "kind", "at", rules, 10)) == sorted(want)
+    conditions = [x for x in plan(G.candidate_pairs(f, "id", ["x", "y"], "kind", "at", rules, 10)).splitlines() if "join [__x" in x]
+    assert len(conditions) == 2 and all("case when" in x for x in conditions)
