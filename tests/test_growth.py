@@ -247,3 +247,17 @@ def test_candidate_pairs_of_single_scopes_compare_no_arrays(spark):
     assert got(G.candidate_pairs(f, "id", ["x", "y"], "kind", "at", rules, 10)) == sorted(want)
     conditions = [x for x in plan(G.candidate_pairs(f, "id", ["x", "y"], "kind", "at", rules, 10)).splitlines() if "join [__x" in x]
     assert len(conditions) == 2 and all("case when" in x for x in conditions)
+
+
+def test_no_votes_are_taken_where_no_finding_has_several_lines(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("asked")
+
+    monkeypatch.setattr(N, "matching_lines", never)
+    findings = spark.createDataFrame([("a", "oom", "executor_oom", 5, 0), ("b", "oom", "executor_oom", 9, 0), ("c", "lost", "executor_lost", 9, 0)], "finding_id string, kind string, category string, ts long, severity int")
+    findings = findings.withColumns({"label": F.col("kind"), "level": F.lit(3)})
+    scopes = spark.createDataFrame([(f, None, t, k, "executor", "c|1", False) for f, k, t in (("a", "oom", 5), ("b", "oom", 9), ("c", "lost", 9))], "finding_id string, event long, ts long, kind string, type string, key string, inferred boolean")
+    members = N.problem_members(findings, scopes)
+    assert got(members) == [("a", "a"), ("b", "a"), ("c", "c")]
+    problems, about = N.problems_of(findings, scopes, members)
+    assert got(problems.select("problem", "n")) == [("a", 2), ("c", 1)] and got(about.select("problem", "key")) == [("a", "c|1"), ("c", "c|1")]
